@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import estimate, hashing
-from bitloom.operators.sketch import Sketches, filled, pow_sum
+from bitloom.operators.sketch import Sketches, cards, filled, pow_sum, union_all
 
 PAIR = ["set_a", "set_b"]
 
@@ -136,6 +136,31 @@ def cosine() -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(F.col("bits_intersect") / norm)
 
 
+def conditional(sketches: Sketches, pairs: DataFrame) -> DataFrame:
+    """P(A), P(B), P(A given B), P(B given A) from the estimates of each pair.
+
+    The universe is the union of all sets; its estimate is a one-row scalar.
+    """
+    everything = union_all(sketches, F.lit("U"))
+    universe = cards(everything).select("card").scalar()
+
+    def share(part, whole):
+        return F.round(F.try_divide(part.cast("double"), whole), 6)
+
+    a, b, ab, u = (F.col(c) for c in ("card_a", "card_b", "card_ab", "card_u"))
+    return (
+        pair_cards(sketches, pairs)
+        .select(*PAIR, "card_a", "card_b", F.col("card_intersect").alias("card_ab"), universe.alias("card_u"))
+        .select(
+            "*",
+            share(a, u).alias("p_a"),
+            share(b, u).alias("p_b"),
+            share(ab, b).alias("p_a_given_b"),
+            share(ab, a).alias("p_b_given_a"),
+        )
+    )
+
+
 def equal_pairs(sketches: Sketches, pairs: DataFrame) -> DataFrame:
     """Whether both sketches of a pair have the same registers."""
     same = F.bool_and(F.col("word_a") == F.col("word_b"))
@@ -202,6 +227,13 @@ def contract(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("value"))
 
 
+def contract_diagonal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Only the cells of ``contract`` with i = j, without computing the others."""
+    left = a.groupBy("i", "k").agg(F.sum("a").alias("a"))
+    right = b.groupBy(F.col("j").alias("i"), "k").agg(F.sum("b").alias("b"))
+    return left.join(right, ["i", "k"]).groupBy("i").agg(F.sum(F.col("a") * F.col("b")).alias("value"))
+
+
 def set_laws(sketches: Sketches, a: str, b: str, c: str) -> DataFrame:
     """Ten identities of set algebra, compared register by register: ``(law, holds)``."""
     word = F.col("word")
@@ -253,5 +285,5 @@ def intersect_estimate(tokens: DataFrame, set_id: Column, token: Column, pairs:
         *PAIR,
         count(F.theta_intersection("ta", "tb")).alias("n_intersect"),
         count(F.theta_difference("ta", "tb")).alias("n_comp"),
-        count(F.theta_union("ta", "tb")).alias("n_union"),
+        count(F.theta_union("ta", "tb", lg_k)).alias("n_union"),
     )

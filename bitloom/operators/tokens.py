@@ -1,7 +1,166 @@
-"""Tokens."""
-from bitloom.functions import text
+"""The inverted token index and conditional search over it."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-def column_tokens(df, parent, columns):
+
+from bitloom.functions import hashing, text
+
+
+def column_id(parent: Column, column: Column) -> Column:
+    """Id of one column of a parent table."""
+    return F.sha1(F.concat_ws(":", F.lit("column"), parent, column))
+
+
+def column_tokens(
+    df: DataFrame, parent: str, columns: Sequence[str], tokenizer: text.Tokenizer = text.words
+) -> DataFrame:
+    """Tokens of several columns in one pass: ``(column_id, token)``; nulls are skipped."""
     values = df.select(*(F.col(c).cast("string").alias(c) for c in columns))
-    long = values.unpivot([], columns, "column", "value").where("value is not null")
-    return long.select(F.sha1(F.concat_ws(":", F.lit("column"), F.lit(parent), "column")).alias("column_id"), F.explode(text.words(F.col("value"))).alias("token"))
+    long = values.unpivot([], list(columns), "column", "value").where("value IS NOT NULL")
+    return long.select(
+        column_id(F.lit(parent), F.col("column")).alias("column_id"),
+        F.explode(tokenizer(F.col("value"))).alias("token"),
+    )
+
+
+def with_id(tokens: DataFrame) -> DataFrame:
+    """Add the hash id of each token."""
+    return tokens.withColumn("id", hashing.token_hash(F.col("token")))
+
+
+def postings(tokens: DataFrame, distinct: bool = False) -> DataFrame:
+    """Long form of the index: ``(id, token, ref, n)`` from rows ``(ref, batch, token)``.
+
+    ``n`` counts the batches of a ref that hold the token. Pass ``distinct=True``
+    when rows are already distinct, as they are when each batch is one text whose
+    repeats were removed in place; that saves a shuffle of all tokens.
+    """
+    rows = tokens.select("ref", "batch", "token")
+    if not distinct:
+        rows = rows.distinct()
+    # Counting by token first leaves one hash per distinct (ref, token).
+    counted = rows.groupBy("ref", "token").agg(F.count("*").alias("n"))
+    return with_id(counted).select("id", "token", "ref", "n")
+
+
+def index_counts(post: DataFrame) -> DataFrame:
+    """Per id, without lists: ``tf`` (batches), ``df`` (refs). Holds for any number of refs."""
+    per_ref = post.groupBy("id", "ref").agg(F.sum("n").alias("n"))
+    return per_ref.groupBy("id").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+
+
+def index_batch(post: DataFrame, p: int = 10) -> DataFrame:
+    """One record per id: ``(id, bin, zeros, tokens, refs, tf)``, tf counting batches.
+
+    Tokens share an id only when their hashes collide, and refs are the catalogue
+    of ingested columns; both lists are short. Where refs are unbounded use
+    ``postings`` or ``index_counts``.
+    """
+    listed = post.groupBy("id").agg(
+        F.array_sort(F.collect_set("token")).alias("tokens"),
+        F.array_sort(F.collect_set("ref")).alias("refs"),
+        F.sum("n").alias("tf"),
+    )
+    return _with_coordinates(listed, p)
+
+
+def index_refs(post: DataFrame, p: int = 10) -> DataFrame:
+    """The same with ``tf`` = further refs after the first, and ``df`` = all refs."""
+    listed = post.groupBy("id").agg(
+        F.array_sort(F.collect_set("token")).alias("tokens"),
+        F.array_sort(F.collect_set("ref")).alias("refs"),
+    )
+    n_refs = F.size("refs").cast("bigint")
+    counted = listed.select("id", "tokens", "refs", (n_refs - 1).alias("tf"), n_refs.alias("df"))
+    return _with_coordinates(counted, p)
+
+
+def _with_coordinates(index: DataFrame, p: int) -> DataFrame:
+    rest = [c for c in index.columns if c != "id"]
+    return index.select(
+        "id",
+        (hashing.bin_of(F.col("id"), p) + 1).alias("bin"),
+        (hashing.top_bit(hashing.word_of(F.col("id"), p)) - 1).alias("zeros"),
+        *rest,
+    )
+
+
+def merge_postings(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Fold new postings into stored ones; refs and batch counts add up."""
+    both = stored.select("id", "token", "ref", "n").unionByName(fresh.select("id", "token", "ref", "n"))
+    return both.groupBy("id", "token", "ref").agg(F.sum("n").alias("n"))
+
+
+def token_lookup(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """Index records whose id is listed."""
+    return index.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def condition(field: str, op: str, value, is_list: bool) -> Column:
+    """One search condition; a missing field fails it."""
+    column = F.col(field)
+    as_text = F.array_join(column, ",") if is_list else column.cast("string")
+    items = column if is_list else F.split(column.cast("string"), ",")
+    if op == "==":
+        test = as_text == str(value)
+    elif op == "!=":
+        test = as_text != str(value)
+    elif op in (">", "<"):
+        number = as_text.try_cast("double") if is_list else column.try_cast("double")
+        limit = F.lit(float(value))
+        test = number > limit if op == ">" else number < limit
+    elif op == "has":
+        test = F.array_contains(items, str(value))
+    elif op == "match":
+        wanted = str(value).split()
+        test = F.arrays_overlap(items, F.array(*map(F.lit, wanted))) if wanted else F.lit(False)
+    else:
+        test = F.lit(False)
+    return F.coalesce(test, F.lit(False))
+
+
+def token_query(index: DataFrame, conditions: Sequence[tuple[str, str, object]]) -> DataFrame:
+    """Records meeting every ``(field, operator, value)``: ``(id, tf)``.
+
+    The conditions fold into one predicate, so a stored index prunes on it.
+    """
+    types = dict(index.dtypes)
+    keep = F.lit(True)
+    for field, op, value in conditions:
+        if field not in types:
+            keep = F.lit(False)
+            break
+        keep = keep & condition(field, op, value, types[field].startswith("array"))
+    return index.where(keep).select("id", "tf")
+
+
+def refs_match(post: DataFrame, refs: DataFrame) -> DataFrame:
+    """Ids with at least one of the listed refs, from the long form."""
+    hits = post.join(refs.select("ref").distinct(), "ref", "left_semi")
+    return hits.groupBy("id").agg(F.count_distinct("ref").alias("n_refs"))
+
+
+def text_to_tokens(texts: DataFrame, key: str, index: DataFrame) -> DataFrame:
+    """Index records of each text's words: ``key`` beside the record."""
+    words = texts.select(key, F.explode(text.distinct_words(F.col("text"))).alias("token"))
+    ids = with_id(words).select(key, "id").distinct()
+    return ids.join(index, "id")
+
+
+def text_to_refs(texts: DataFrame, key: str, post: DataFrame, k: int) -> DataFrame:
+    """The ``k`` refs that hold most of each text's words, ties by ref.
+
+    The rank filter prunes to k rows per text in every task before its shuffle.
+    """
+    from pyspark.sql import Window
+
+    words = texts.select(key, F.explode(text.distinct_words(F.col("text"))).alias("token"))
+    ids = with_id(words).select(key, "id").distinct()
+    held = post.select("id", "ref").distinct()
+    scored = ids.join(held, "id").groupBy(key, "ref").agg(F.count("*").alias("matched"))
+    order = Window.partitionBy(key).orderBy(F.desc("matched"), "ref")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.functions import hashing, vectors
+from bitloom.functions import hashing
 from bitloom.operators import skew
-from bitloom.operators.sketch import Sketches
+from bitloom.operators.sketch import Sketches, dump_dense
 
 
 def label_filter(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
@@ -25,3 +27,197 @@ def word_filter(df: DataFrame, column: str, word: str) -> DataFrame:
     """Rows whose text has a word, between non-letters."""
     edge = "[^a-z]"
     return df.where(F.col(column).rlike(f"(^|{edge}){re.escape(word)}($|{edge})"))
+
+
+# Scores of one query against a batch, lower is nearer. Rows are dense vectors or
+# dense register words; each row is reduced on its own, so equal rows score equally.
+def _vector_scores(batch: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return np.sqrt(((batch - query) ** 2).sum(axis=1))
+    inner = (batch * query).sum(axis=1)
+    if metric == "ip":
+        return 1.0 - inner
+    norms = np.sqrt((batch**2).sum(axis=1)) * np.sqrt((query**2).sum())
+    return 1.0 - np.divide(inner, norms, out=np.zeros_like(inner), where=norms != 0)
+
+
+def _register_scores(batch: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+    shared = np.bitwise_count(batch & query).sum(axis=1, dtype=np.int64).astype(float)
+    if metric == "ip":
+        return -shared
+    mine = np.bitwise_count(batch).sum(axis=1, dtype=np.int64).astype(float)
+    asked = float(np.bitwise_count(query).sum(dtype=np.int64))
+    if metric == "l2":
+        return np.sqrt(mine + asked - 2 * shared)
+    norms = np.sqrt(mine * asked)
+    return 1.0 - np.divide(shared, norms, out=np.zeros_like(shared), where=norms != 0)
+
+
+_SCORERS = {"vector": (_vector_scores, np.float64), "register": (_register_scores, np.int64)}
+
+
+def _best_of_batch(pdf: pd.DataFrame, query_ids, queries: np.ndarray, k: int, metric: str, kind: str, digits: int):
+    score, dtype = _SCORERS[kind]
+    ids = pdf["id"].to_numpy()
+    batch = np.stack([np.asarray(v, dtype=dtype) for v in pdf["vec"]])
+    out = []
+    for query_id, query in zip(query_ids, queries):
+        scores = np.round(score(batch, query, metric), digits) + 0.0
+        best = np.lexsort((ids, scores))[:k]
+        out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": scores[best]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def nearest(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int,
+    metric: str = "l2",
+    kind: str = "vector",
+    digits: int = 6,
+    max_queries: int = 1024,
+    chunk_rows: int = 50_000,
+) -> DataFrame:
+    """The ``k`` nearest corpus rows of each query: ``(query_id, id, score, rank)``.
+
+    ``corpus`` and ``queries`` have ``(id, vec)``; ties go to the smaller id. The
+    number of queries is looked at first. Up to ``max_queries`` travel to the tasks
+    and the corpus stays where it is: every Arrow batch keeps its own k best, so
+    only k rows per query and batch are shuffled. More queries than that are met
+    with the corpus in bounded blocks, with the same result.
+    """
+    if metric not in ("l2", "ip", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}; use l2, ip or cosine")
+    dtype = _SCORERS[kind][1]
+    id_type, query_type = corpus.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
+    schema = f"query_id {query_type}, id {id_type}, score double"
+    corpus, queries = corpus.select("id", "vec"), queries.select("id", "vec")
+
+    head = queries.limit(max_queries + 1).collect()
+    if not head:
+        best = corpus.limit(0).select(F.lit(None).cast(query_type).alias("query_id"), "id", F.lit(0.0).alias("score"))
+    elif len(head) <= max_queries:
+        ids = [r["id"] for r in head]
+        asked = np.stack([np.asarray(r["vec"], dtype=dtype) for r in head])
+
+        def per_partition(batches):
+            for pdf in batches:
+                if len(pdf):
+                    yield _best_of_batch(pdf, ids, asked, k, metric, kind, digits)
+
+        best = corpus.mapInPandas(per_partition, schema)
+    else:
+        blocks = -(-queries.count() // max_queries)
+        chunks = max(1, -(-corpus.count() // chunk_rows))
+
+        def numbers(n):
+            return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+        rows = corpus.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("block", numbers(blocks))
+        asks = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("chunk", numbers(chunks))
+
+        def per_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            asked = np.stack([np.asarray(v, dtype=dtype) for v in right["vec"]])
+            return _best_of_batch(left, right["id"].to_numpy(), asked, k, metric, kind, digits)
+
+        best = (
+            rows.groupBy("block", "chunk").cogroup(asks.groupBy("block", "chunk")).applyInPandas(per_block, schema)
+        )
+    order = Window.partitionBy("query_id").orderBy("score", "id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_sketches(corpus: Sketches, queries: Sketches, k: int, metric: str = "cosine", **options) -> DataFrame:
+    """The same over sketches, compared by the bits they share."""
+    corpus.same_p(queries)
+    dense = [dump_dense(s).select(F.col("set_id").alias("id"), F.col("words").alias("vec")) for s in (corpus, queries)]
+    return nearest(dense[0], dense[1], k, metric, kind="register", **options)
+
+
+def nearest_approx(
+    corpus: DataFrame, queries: DataFrame, k: int, bucket_length: float = 2.0, tables: int = 8, seed: int = 7
+) -> DataFrame:
+    """Approximate nearest rows by random projection hashing, re-ranked by exact L2 distance.
+
+    Only rows sharing a hash bucket with a query are compared, so a near row can
+    be missed; use ``nearest`` for the exact answer.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    def vectors_of(df):
+        return df.select("id", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
+
+    lsh = BucketedRandomProjectionLSH(
+        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
+    )
+    model = lsh.fit(vectors_of(corpus))
+    met = model.approxSimilarityJoin(vectors_of(corpus), vectors_of(queries), float("inf"), distCol="score")
+    found = met.select(F.col("datasetB.id").alias("query_id"), F.col("datasetA.id").alias("id"), F.round("score", 6).alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def ngrams(df: DataFrame, key: str, order: str, value: str, n: int, bucket_rows: int = 4096) -> DataFrame:
+    """All windows of ``n`` consecutive values per key: ``(key, pos, items)``; none if shorter.
+
+    A key of any length is cut into blocks of ``bucket_rows`` positions, each with
+    the first n - 1 rows of the next block appended, so no task sorts a whole key.
+    """
+    if not 1 <= n <= bucket_rows:
+        raise ValueError(f"n must be in 1..{bucket_rows}, got {n}")
+    coarse = df.select(key, F.col(order).alias("_o"), F.col(value).alias("_v"))
+    coarse = coarse.withColumn("_bucket", F.floor(F.col("_o") / bucket_rows))
+    placed = skew.positions(coarse, [key], "_bucket", [F.col("_o")])
+    block = F.floor(F.col("pos") / bucket_rows)
+    lent = (block > 0) & (F.col("pos") % bucket_rows < n - 1)
+    copies = F.explode(F.when(lent, F.array(block, block - 1)).otherwise(F.array(block)))
+    rows = placed.select(key, "pos", "_v", copies.alias("_block"))
+    ahead = Window.partitionBy(key, "_block").orderBy("pos").rowsBetween(0, n - 1)
+    windows = rows.withColumn("items", F.collect_list("_v").over(ahead))
+    own = F.floor(F.col("pos") / bucket_rows) == F.col("_block")
+    return windows.where(own & (F.size("items") == n)).select(key, "pos", "items")
+
+
+def draws(spark, n: int, seed: int) -> DataFrame:
+    """``n`` seeded 63-bit numbers: ``(draw, h)``."""
+    return spark.range(n).select(
+        F.col("id").alias("draw"), hashing.token_hash(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))).alias("h")
+    )
+
+
+def weighted_sample(
+    terms: DataFrame, term: str, weight: str, n: int, seed: int = 0, buckets: int = 1024, slots: int = 1 << 16
+) -> DataFrame:
+    """``n`` terms with replacement, with odds proportional to an integer weight.
+
+    Terms lie end to end on a line of length sum(weight); a draw takes the term at
+    its point. The line is cut into ``slots`` pieces, so draws meet terms in an
+    equi-join; a term longer than a piece lies in several of them.
+    """
+    rows = terms.select(F.col(term).alias("term"), F.col(weight).cast("bigint").alias("w")).where("w > 0")
+    rows = rows.withColumn("_bucket", F.pmod(hashing.token_hash(F.col("term")), F.lit(buckets)))
+    line = skew.running_total(rows, [], "_bucket", [F.col("term")], F.col("w"), "start")
+    total = rows.agg(F.sum("w").alias("total")).scalar()
+    piece = F.greatest(F.floor(F.col("total") / slots), F.lit(1).cast("bigint"))
+    placed = line.withColumn("total", total).withColumn("piece", piece)
+    first, last = F.floor(F.col("start") / F.col("piece")), F.floor((F.col("start") + F.col("w") - 1) / F.col("piece"))
+    placed = placed.select("term", "start", "w", F.explode(F.sequence(first, last)).alias("slot"))
+    points = draws(terms.sparkSession, n, seed).withColumn("total", total).withColumn("piece", piece)
+    points = points.select("draw", (F.col("h") % F.col("total")).alias("point"), "piece")
+    points = points.withColumn("slot", F.floor(F.col("point") / F.col("piece")))
+    inside = (F.col("point") >= F.col("start")) & (F.col("point") < F.col("start") + F.col("w"))
+    return points.join(placed, "slot").where(inside).select("draw", "term")
+
+
+def sample_keys(keys: DataFrame, key: str, n: int, seed: int = 0, buckets: int = 1024) -> DataFrame:
+    """``n`` records' keys with replacement, each record equally likely."""
+    rows = keys.select(F.col(key).alias("key"))
+    rows = rows.withColumn("_bucket", F.pmod(hashing.token_hash(F.col("key").cast("string")), F.lit(buckets)))
+    placed = skew.positions(rows, [], "_bucket", [F.col("key")])
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    points = draws(keys.sparkSession, n, seed).withColumn("total", total)
+    points = points.select("draw", (F.col("h") % F.col("total")).alias("pos"))
+    return points.join(placed, "pos").select("draw", "key")

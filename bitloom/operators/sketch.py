@@ -184,19 +184,21 @@ def dump_sparse(sketches: Sketches) -> DataFrame:
 
 
 def dump_dense(sketches: Sketches) -> DataFrame:
-    """Per set, all 2^p registers in bin order, 0 where empty."""
-    as_map = F.map_from_entries(F.collect_list(F.struct("bin", "word")))
-    all_bins = F.sequence(F.lit(0), F.lit((1 << sketches.p) - 1))
-    return (
-        sketches.rows.groupBy("set_id")
-        .agg(as_map.alias("by_bin"))
-        .select(
-            "set_id",
-            F.transform(
-                all_bins, lambda b: F.coalesce(F.element_at("by_bin", b), F.lit(0))
-            ).alias("words"),
-        )
-    )
+    """Per set, all 2^p registers in bin order, 0 where empty.
+
+    Each register brings the zeros of the gap before it, so the array is put
+    together in one pass over the non-empty registers.
+    """
+    zero = F.lit(0).cast("bigint")
+    listed = dump_sparse(sketches)
+
+    def with_gap(register, i):
+        before = F.coalesce(F.get(F.col("registers"), i - 1)["bin"], F.lit(-1))
+        return F.concat(F.array_repeat(zero, register["bin"] - before - 1), F.array(register["word"]))
+
+    last = F.element_at("registers", -1)["bin"]
+    tail = F.array_repeat(zero, F.lit((1 << sketches.p) - 1) - last)
+    return listed.select("set_id", F.concat(F.flatten(F.transform("registers", with_gap)), tail).alias("words"))
 
 
 def restore(dumps: DataFrame, p: int, into: Sketches | None = None) -> Sketches:

@@ -27,8 +27,9 @@ def lookup(
     )
     spread = F.pmod(F.xxhash64(*(F.col(c) for c in facts.columns)), F.coalesce("_salts", F.lit(1)))
     left = facts.join(hot, on, "left").withColumn("_salt", spread).drop("_salts")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    right = dims.join(hot, on, "left").withColumn("_salt", copies.cast("bigint")).drop("_salts")
+    zero = F.lit(0).cast("bigint")
+    copies = F.sequence(zero, F.coalesce("_salts", F.lit(1)).cast("bigint") - 1)
+    right = dims.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

@@ -1 +1,120 @@
+"""Commits and life cycle over orders and events."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bitloom.operators import versions
+from bitloom.plans.registry import query
+from bitloom.session import checkpointed
+from bitloom.sources.tables import read_table
+
+# Each year of orders is one commit; its snapshot holds every customer's order count so far.
+SNAPSHOTS = """per AS (SELECT o_custkey AS key, extract('year' FROM o_orderdate)::INT AS y, count(*) AS n FROM orders GROUP BY ALL),
+    years AS (SELECT DISTINCT y FROM per),
+    snap AS (SELECT 'y' || years.y AS snapshot_id, key, sum(n)::BIGINT AS value FROM per JOIN years ON per.y <= years.y GROUP BY ALL),
+    log AS (SELECT 'main' AS branch, row_number() OVER (ORDER BY y) AS seq, 'orders of ' || y AS message,
+      y || '-12-31' AS ts, 'y' || y AS snapshot_id FROM years)"""
+
+
+def order_history(spark, folder):
+    """The commit log and its snapshots."""
+    orders = read_table(spark, folder, "orders").select(F.col("o_custkey").alias("key"), F.year("o_orderdate").alias("y"))
+    per_year = orders.groupBy("key", "y").agg(F.count("*").alias("n"))
+    span = orders.agg(F.min("y").alias("lo"), F.max("y").alias("hi")).select(F.struct("lo", "hi").alias("s")).scalar()
+    spread = per_year.withColumn("s", span).select("key", "n", F.explode(F.sequence(F.col("y"), F.col("s.hi"))).alias("y"))
+    name = F.concat(F.lit("y"), F.col("y").cast("string"))
+    snapshots = spread.groupBy(name.alias("snapshot_id"), "key").agg(F.sum("n").alias("value"))
+    years = orders.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    listed = years.select("lo", F.explode(F.sequence("lo", "hi")).alias("y"))
+    log = listed.select(
+        F.lit("main").alias("branch"),
+        (F.col("y") - F.col("lo") + 1).cast("bigint").alias("seq"),
+        F.concat(F.lit("orders of "), F.col("y").cast("string")).alias("message"),
+        F.concat(F.col("y").cast("string"), F.lit("-12-31")).alias("ts"),
+        name.alias("snapshot_id"),
+    )
+    return log, snapshots
+
+
+@query(
+    "commit_snapshot",
+    f"""WITH {SNAPSHOTS}, state AS (SELECT c_custkey AS key, c_nationkey::BIGINT AS value FROM customer),
+    more AS (SELECT * FROM log UNION ALL SELECT 'main', (SELECT max(seq) FROM log) + 1, 'nations', '2030-01-01', 'nations')
+    SELECT branch, seq, message, ts, snapshot_id, count(*) AS n_keys, sum(value)::BIGINT AS total FROM more
+    JOIN (SELECT * FROM snap UNION ALL SELECT 'nations', key, value FROM state) USING (snapshot_id) GROUP BY ALL""",
+)
+def commit_snapshot(spark, folder):
+    log, snapshots = order_history(spark, folder)
+    state = read_table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("bigint").alias("value"))
+    row, copy = versions.commit(log, "main", state, "nations", "nations", "2030-01-01")
+    both = snapshots.select("snapshot_id", "key", "value").unionByName(copy)
+    sizes = both.groupBy("snapshot_id").agg(F.count("*").alias("n_keys"), F.sum("value").alias("total"))
+    return log.unionByName(row).join(sizes, "snapshot_id")
+
+
+@query("checkout", f"WITH {SNAPSHOTS} SELECT key, value FROM snap WHERE snapshot_id = (SELECT snapshot_id FROM log WHERE seq = 3)")
+def checkout(spark, folder):
+    log, snapshots = order_history(spark, folder)
+    current = read_table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), F.lit(0).cast("bigint").alias("value"))
+    return versions.checkout(log, snapshots, "main", 3, current)
+
+
+@query("checkout_out_of_range", "SELECT c_custkey AS key, 0::BIGINT AS value FROM customer")
+def checkout_out_of_range(spark, folder):
+    log, snapshots = order_history(spark, folder)
+    current = read_table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), F.lit(0).cast("bigint").alias("value"))
+    return versions.checkout(log, snapshots, "main", 99, current)
+
+
+@query("create_branch", f"WITH {SNAPSHOTS} SELECT * FROM log UNION ALL SELECT 'trial', seq, message, ts, snapshot_id FROM log")
+def create_branch(spark, folder):
+    log, _ = order_history(spark, folder)
+    return versions.create_branch(log, "main", "trial")
+
+
+@query(
+    "merge_branch",
+    f"""WITH {SNAPSHOTS} SELECT * FROM log UNION ALL SELECT 'trial', seq, message, ts, snapshot_id FROM log
+    UNION ALL SELECT 'main', seq + (SELECT max(seq) FROM log), message, ts, snapshot_id FROM log""",
+)
+def merge_branch(spark, folder):
+    log, _ = order_history(spark, folder)
+    branched = versions.create_branch(log, "main", "trial")
+    merged = versions.merge_branch(branched, "main", "trial")
+    return versions.merge_branch(merged, "main", "no such branch")
+
+
+@query(
+    "commit_head_tail",
+    """SELECT event_id, user_id, CASE WHEN event_id < max(event_id) OVER (PARTITION BY user_id) THEN 'tail'
+      WHEN event_type = 'error' THEN 'deleted' ELSE 'head' END AS status FROM events""",
+)
+def commit_head_tail(spark, folder):
+    events = read_table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    staged = versions.head_tail(events, "user_id", "event_id", F.col("event_type") == "error")
+    return staged.select("event_id", "user_id", "status")
+
+
+@query(
+    "commit_matrix",
+    """WITH v AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(event_type, event_id) = 'error' AS removed
+      FROM events GROUP BY 1, 2),
+    n AS (SELECT *, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS next_day FROM v),
+    c AS (SELECT unnest(['2024-01-07', '2024-01-14', '2024-01-21', '2024-01-30']) AS commit)
+    SELECT user_id, day, commit, CASE WHEN next_day <= commit THEN 'tail' WHEN removed THEN 'deleted' ELSE 'head' END AS status
+    FROM n JOIN c ON day <= commit""",
+)
+def commit_matrix(spark, folder):
+    events = read_table(spark, folder, "events")
+    daily = events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        (F.max_by("event_type", "event_id") == "error").alias("removed")
+    )
+    return versions.commit_matrix(daily, "user_id", "day", "removed", ["2024-01-07", "2024-01-14", "2024-01-21", "2024-01-30"])
+
+
+@query("ttl_expire", "SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def ttl_expire(spark, folder):
+    events = read_table(spark, folder, "events").select("event_id", "user_id", "ts")
+    newest = events.agg(F.max("ts").alias("t")).scalar()
+    return versions.expire(events, "ts", newest, "7 DAYS").select("event_id", "user_id")

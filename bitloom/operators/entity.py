@@ -139,16 +139,15 @@ def backprop(entities: DataFrame, results: DataFrame) -> DataFrame:
     moved = edges.select("arg", "grad", (F.col("op") == "advance").alias("to_derived"), mode.alias("mode"))
     moved = moved.where("mode IS NOT NULL")
 
-    def product(only_terminal_safe: bool) -> Column:
-        keep = F.col("mode") == "multiply"
-        if only_terminal_safe:
-            keep = keep & ~F.col("to_derived")
+    def product(keep: Column) -> Column:
         return F.product(F.when(keep, F.col("grad")).otherwise(F.lit(1.0)))
 
+    multiplies = F.col("mode") == "multiply"
+
     updates = moved.groupBy(F.col("arg").alias("sha1")).agg(
         F.sum(F.when(F.col("mode") == "add", F.col("grad")).otherwise(F.lit(0.0))).alias("plus"),
-        product(False).alias("times_derived"),
-        product(True).alias("times_terminal"),
+        product(multiplies).alias("times_derived"),
+        product(multiplies & ~F.col("to_derived")).alias("times_terminal"),
     )
     times = F.when(F.col("op").isNull(), F.col("times_terminal")).otherwise(F.col("times_derived"))
     new_grad = (F.col("grad") + F.coalesce("plus", F.lit(0.0))) * F.coalesce(times, F.lit(1.0))

@@ -19,19 +19,13 @@ def overlaps(members: DataFrame, weight: Column | None = None) -> DataFrame:
     ``members`` has ``(item_set, element)``, repeats allowed; an element weighs 1, or
     the sum of ``weight`` over its rows.
     """
-    total = F.sum(weight) if weight is not None else F.lit(1).cast("bigint")
-    # Repeats are folded per (set, element) on the map side first.
-    if weight is not None:
-        seen = members.groupBy("item_set", "element").agg(F.sum(weight).alias("_w"))
-        total = F.sum("_w")
-    else:
-        seen = members.select("item_set", "element").distinct()
+    row_weight = F.lit(1).cast("bigint") if weight is None else weight
+    # Repeats fold per (set, element) on the map side, so an element meets one row per set.
+    seen = members.groupBy("item_set", "element").agg(F.sum(row_weight).alias("w"))
+    element_weight = F.max(F.lit(1).cast("bigint")) if weight is None else F.sum("w")
     per_element = seen.groupBy("element").agg(
-        F.array_sort(F.collect_set("item_set")).alias("held_by"), F.max(F.lit(1).cast("bigint")).alias("one"),
-        *([total.alias("w")] if weight is not None else []),
+        F.array_sort(F.collect_set("item_set")).alias("held_by"), element_weight.alias("w")
     )
-    if weight is None:
-        per_element = per_element.withColumnRenamed("one", "w")
     shared = per_element.groupBy("held_by").agg(F.sum("w").alias("w"))
     every = seen.select("item_set").distinct().agg(F.array_sort(F.collect_set("item_set")).alias("held_by"))
     patterns = shared.select("held_by", "w").unionByName(every.select("held_by", F.lit(0).cast("bigint").alias("w")))

@@ -43,25 +43,24 @@ def raw_estimate(pow_sum: Column, filled: Column, p: int) -> Column:
     return F.lit(alpha(p) * m * m) / (pow_sum + (F.lit(m) - filled))
 
 
-def _doubles(values) -> Column:
-    return F.expr("array(" + ",".join(f"{v!r}D" for v in values) + ")")
+def _doubles(values) -> str:
+    # One text literal keeps the plan small; repr round-trips a double.
+    return f"cast(split('{','.join(map(repr, values))}', ',') AS array<double>)"
 
 
-def bias_of(raw: Column, p: int) -> Column:
-    """Piecewise linear bias: first value below the table, 0 above it."""
+def _bias_sql(p: int) -> str:
+    """Bias at the raw estimate ``r``: linear between points, first value below, 0 above."""
     points = bias_points(p)
     xs, ys = _doubles(x for x, _ in points), _doubles(y for _, y in points)
-    below = F.size(F.filter(xs, lambda x: x < raw))
-    x1, x2 = F.get(xs, below - 1), F.get(xs, below)
-    y1, y2 = F.get(ys, below - 1), F.get(ys, below)
-    return (
-        F.when(below == 0, F.lit(points[0][1]))
-        .when(below == len(points), F.lit(0.0))
-        .otherwise(y1 + (raw - x1) / (x2 - x1) * (y2 - y1))
-    )
-
-
-def cardinality(pow_sum: Column, filled: Column, p: int) -> Column:
-    """Bias-corrected estimate, rounded half to even."""
-    raw = raw_estimate(pow_sum, filled, p)
-    return F.bround(raw - bias_of(raw, p)).cast("bigint")
+    return f"""get(transform(array(size(filter({xs}, x -> x < r))), i -> CASE
+        WHEN i = 0 THEN {points[0][1]!r}D
+        WHEN i = {len(points)} THEN 0.0D
+        ELSE get({ys}, i - 1) + (r - get({xs}, i - 1)) / (get({xs}, i) - get({xs}, i - 1))
+          * (get({ys}, i) - get({ys}, i - 1)) END), 0)"""
+
+
+def cardinality(pow_sum: str, filled: str, p: int) -> Column:
+    """Bias-corrected estimate, rounded half to even, from two columns' names."""
+    m = float(1 << p)
+    raw = f"{alpha(p) * m * m!r}D / (`{pow_sum}` + ({m!r}D - `{filled}`))"
+    return F.expr(f"cast(bround(get(transform(array({raw}), r -> r - {_bias_sql(p)}), 0)) AS bigint)")

@@ -24,11 +24,15 @@ def check_p(p: int) -> int:
 
 def _hash63(text: Column) -> Column:
     head = F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("bigint")
-    return head.bitwiseAND(F.lit(_MASK))
+    # Never null, so that joins on the hash add no null check that hashes once more.
+    return F.coalesce(head, F.lit(0)).bitwiseAND(F.lit(_MASK))
 
 
 def token_hash(token: Column, seed: int = 0) -> Column:
-    """Non-negative 63-bit hash; a seed other than 0 hashes the hash again."""
+    """Non-negative 63-bit hash; a seed other than 0 hashes the hash again.
+
+    Missing tokens are to be left out beforehand.
+    """
     first = _hash63(token)
     if seed == 0:
         return first

@@ -73,8 +73,12 @@ def combine(sketches: Sketches, pairs: DataFrame, *ops: str, strict: bool = Fals
     complement by an empty sketch fails the job; otherwise a share of an empty
     side is null.
     """
-    a, b = F.col("word_a"), F.col("word_b")
-    words = {"a": a, "b": b} | {name: op(a, b) for name, op in sim.WORD_OPS.items()}
+    needed = {"a", "b"}
+    for op in ops:
+        part, share = OPERATIONS[op]
+        needed |= {part, *(share or ())}
+        needed |= {"comp", "intersect", "comp_rev"} if op == "advance" else set()
+    words = sim.word_views(sorted(needed))
     sums = []
     for name, word in words.items():
         sums += [
@@ -86,7 +90,7 @@ def combine(sketches: Sketches, pairs: DataFrame, *ops: str, strict: bool = Fals
     per_pair = sim.align(sketches, pairs).groupBy(*sim.PAIR).agg(*sums)
     measured = per_pair.select(
         *sim.PAIR,
-        *(estimate.cardinality(F.col(f"s_{n}"), F.col(f"n_{n}"), sketches.p).alias(f"card_{n}") for n in words),
+        *(estimate.cardinality(f"s_{n}", f"n_{n}", sketches.p).alias(f"card_{n}") for n in words),
         *(F.col(f"bits_{n}") for n in words),
         *(content_id(F.col(f"regs_{n}")).alias(f"id_{n}") for n in words),
     )
@@ -185,7 +189,8 @@ def change_series(daily: DataFrame, p: int, first_day: Column, last_day: Column)
             F.bit_or(F.when(is_new, word).otherwise(F.lit(0))).alias("word_b"),
         )
     )
-    cards = sim.cards_of_aligned(aligned, p, ["key", "day"])
+    views = ("a", "b", "comp", "intersect", "comp_rev", "union")
+    cards = sim.cards_of_aligned(aligned, p, ["key", "day"], views)
 
     def share(over: str, under: str) -> Column:
         return F.when(F.col(f"bits_{under}") != 0, F.col(f"card_{over}").cast("double") / F.col(f"card_{under}"))

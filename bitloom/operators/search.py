@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from bitloom.functions import hashing
 from bitloom.operators import skew
 from bitloom.operators.sketch import Sketches, dump_dense
+from bitloom.session import checkpointed
 
 
 def label_filter(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
@@ -198,7 +199,8 @@ def weighted_sample(
     equi-join; a term longer than a piece lies in several of them.
     """
     rows = terms.select(F.col(term).alias("term"), F.col(weight).cast("bigint").alias("w")).where("w > 0")
-    rows = rows.withColumn("_bucket", F.pmod(hashing.token_hash(F.col("term")), F.lit(buckets)))
+    # Counted terms are used three times below; what made them runs once.
+    rows = checkpointed(rows.withColumn("_bucket", F.pmod(hashing.token_hash(F.col("term")), F.lit(buckets))))
     line = skew.running_total(rows, [], "_bucket", [F.col("term")], F.col("w"), "start")
     total = rows.agg(F.sum("w").alias("total")).scalar()
     piece = F.greatest(F.floor(F.col("total") / slots), F.lit(1).cast("bigint"))

@@ -7,6 +7,8 @@ grows with the pairs asked for.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,20 +98,23 @@ def change_parts(sketches: Sketches, pairs: DataFrame) -> DataFrame:
     return align(sketches, pairs).select(*PAIR, "bin", F.inline(parts)).where("word <> 0")
 
 
-def pair_cards(sketches: Sketches, pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Estimates and bit counts of both sides and of their combinations, one row per pair.
+def word_views(names: Sequence[str] | None = None) -> dict[str, Column]:
+    """Both sides and their combinations as register words, all or the named ones."""
+    a, b = F.col("word_a"), F.col("word_b")
+    views = {"a": lambda: a, "b": lambda: b} | {n: lambda op=op: op(a, b) for n, op in WORD_OPS.items()}
+    return {n: views[n]() for n in (names or views)}
+
 
-    Columns that nobody reads are pruned by the optimizer.
-    """
-    return cards_of_aligned(align(sketches, pairs), sketches.p, by or PAIR)
+def pair_cards(sketches: Sketches, pairs: DataFrame, views: Sequence[str] | None = None) -> DataFrame:
+    """Estimates ``card_*`` and bit counts ``bits_*`` of the views, one row per pair."""
+    return cards_of_aligned(align(sketches, pairs), sketches.p, PAIR, views)
 
 
-def cards_of_aligned(aligned: DataFrame, p: int, by: list[str]) -> DataFrame:
+def cards_of_aligned(aligned: DataFrame, p: int, by: list[str], views: Sequence[str] | None = None) -> DataFrame:
     """The same from rows that already carry ``word_a`` and ``word_b``."""
-    a, b = F.col("word_a"), F.col("word_b")
-    views = {"a": a, "b": b} | {name: op(a, b) for name, op in WORD_OPS.items()}
+    words = word_views(views)
     sums = []
-    for name, word in views.items():
+    for name, word in words.items():
         sums += [
             pow_sum(word).alias(f"s_{name}"),
             filled(word).alias(f"n_{name}"),
@@ -117,11 +122,8 @@ def cards_of_aligned(aligned: DataFrame, p: int, by: list[str]) -> DataFrame:
         ]
     return aligned.groupBy(*by).agg(*sums).select(
         *by,
-        *(
-            estimate.cardinality(F.col(f"s_{n}"), F.col(f"n_{n}"), p).alias(f"card_{n}")
-            for n in views
-        ),
-        *(F.col(f"bits_{n}") for n in views),
+        *(estimate.cardinality(f"s_{n}", f"n_{n}", p).alias(f"card_{n}") for n in words),
+        *(f"bits_{n}" for n in words),
     )
 
 
@@ -149,7 +151,7 @@ def conditional(sketches: Sketches, pairs: DataFrame) -> DataFrame:
 
     a, b, ab, u = (F.col(c) for c in ("card_a", "card_b", "card_ab", "card_u"))
     return (
-        pair_cards(sketches, pairs)
+        pair_cards(sketches, pairs, ("a", "b", "intersect"))
         .select(*PAIR, "card_a", "card_b", F.col("card_intersect").alias("card_ab"), universe.alias("card_u"))
         .select(
             "*",

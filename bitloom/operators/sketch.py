@@ -155,7 +155,7 @@ def meta(sketches: Sketches, registry: DataFrame | None = None) -> DataFrame:
             "set_id",
             F.lit(sketches.p).alias("p"),
             content_id(F.col("registers")).alias("sha1"),
-            estimate.cardinality(F.col("s"), F.col("n"), sketches.p).alias("card"),
+            estimate.cardinality("s", "n", sketches.p).alias("card"),
             "n_bits",
         )
     )

@@ -28,8 +28,8 @@ def column_tokens(
 
 
 def with_id(tokens: DataFrame) -> DataFrame:
-    """Add the hash id of each token."""
-    return tokens.withColumn("id", hashing.token_hash(F.col("token")))
+    """Add the hash id of each token; missing tokens are skipped."""
+    return tokens.where(F.col("token").isNotNull()).withColumn("id", hashing.token_hash(F.col("token")))
 
 
 def postings(tokens: DataFrame, distinct: bool = False) -> DataFrame:

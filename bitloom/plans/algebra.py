@@ -49,7 +49,8 @@ SOURCE = f"{o.doc_sketch('source')}, {o.ALL_PAIRS}, al AS ({o.aligned()})"
       round(bits_intersect / sqrt(bits_a::DOUBLE * bits_b), 6) AS cosine FROM pc""",
 )
 def vocabulary_similarity(spark, folder):
-    cards = sim.pair_cards(doc_sketches(spark, folder, "lang"), lang_pairs(spark, folder))
+    views = ("a", "b", "union", "intersect")
+    cards = sim.pair_cards(doc_sketches(spark, folder, "lang"), lang_pairs(spark, folder), views)
     return cards.select(
         F.col("set_a").alias("lang_a"),
         F.col("set_b").alias("lang_b"),
@@ -150,7 +151,7 @@ def sketch_equal(spark, folder):
 )
 def sketch_jaccard_pct(spark, folder):
     pairs = sim.all_pairs(registry(spark, folder, "source"))
-    cards = sim.pair_cards(doc_sketches(spark, folder, "source"), pairs)
+    cards = sim.pair_cards(doc_sketches(spark, folder, "source"), pairs, ("union", "intersect"))
     return cards.select("set_a", "set_b", sim.jaccard_pct().alias("jaccard_pct"))
 
 
@@ -161,7 +162,7 @@ def sketch_jaccard_pct(spark, folder):
 )
 def sketch_cosine(spark, folder):
     pairs = sim.all_pairs(registry(spark, folder, "source"))
-    cards = sim.pair_cards(doc_sketches(spark, folder, "source"), pairs)
+    cards = sim.pair_cards(doc_sketches(spark, folder, "source"), pairs, ("a", "b", "intersect"))
     return cards.select("set_a", "set_b", F.round(sim.cosine(), 6).alias("cosine"))
 
 

@@ -8,6 +8,7 @@ from bitloom.functions import text
 from bitloom.operators import sketch, tokens, verbs
 from bitloom.plans import oracle as o
 from bitloom.plans.registry import query
+from bitloom.sources.stores import stored
 from bitloom.sources.tables import read_table, spread
 
 
@@ -98,7 +99,7 @@ def refs_match_join(spark, folder):
       AND list_contains(string_split(refs, ','), 'src7') AND tf > 4 AND zeros < 3 AND bin <> 17""",
 )
 def token_query(spark, folder):
-    index = tokens.index_batch(doc_postings(spark, folder))
+    index = stored(tokens.index_batch(doc_postings(spark, folder)), "index")
     return tokens.token_query(
         index,
         [("refs", "match", "src1 src2"), ("refs", "has", "src7"), ("tf", ">", 4), ("zeros", "<", 3), ("bin", "!=", "17")],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.sources.files import new_folder
 from bitloom.operators.sketch import Sketches, concat, union_all
 
 
@@ -26,6 +27,17 @@ def load_sketches(
     return union_all(concat(into, stored) if into is not None else stored, F.col("set_id"))
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a result once to shared storage and read it back.
+
+    For results that several branches or later scans use: the work behind them is
+    done once, survives lost executors, and scans prune columns and row groups.
+    """
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_by(df: DataFrame, path: str, *partitions: str) -> None:
     """Append rows under their partition columns."""
     df.write.mode("append").partitionBy(*partitions).parquet(path)

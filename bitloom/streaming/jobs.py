@@ -37,7 +37,7 @@ def daily_sketches(events: DataFrame, ts: str, key: str, token: Column, p: int =
     return sums.select(
         F.date_format(F.col("day")["start"], "yyyy-MM-dd").alias("day"),
         "key",
-        estimate.cardinality(F.col("s"), F.col("n"), p).alias("card"),
+        estimate.cardinality("s", "n", p).alias("card"),
         "n_bits",
     )
 

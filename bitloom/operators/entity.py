@@ -94,19 +94,19 @@ def combine(sketches: Sketches, pairs: DataFrame, *ops: str, strict: bool = Fals
         *(F.col(f"bits_{n}") for n in words),
         *(content_id(F.col(f"regs_{n}")).alias(f"id_{n}") for n in words),
     )
-    if strict:
-        guard = F.when(F.col("bits_b") == 0, F.raise_error(F.lit("complement by an empty sketch")))
-        measured = measured.withColumn("card_b", F.coalesce(guard.cast("bigint"), F.col("card_b")))
-    rows = F.inline(F.array(*(_result(op) for op in ops)))
+    rows = F.inline(F.array(*(_result(op, strict) for op in ops)))
     return measured.select(*sim.PAIR, rows)
 
 
-def _result(op: str) -> Column:
+def _result(op: str, strict: bool) -> Column:
     part, share = OPERATIONS[op]
     grad = F.lit(0.0)
     if share:
         over, under = share
         grad = F.when(F.col(f"bits_{under}") != 0, F.col(f"card_{over}").cast("double") / F.col(f"card_{under}"))
+    if strict and op == "comp":
+        error = F.raise_error(F.lit("complement by an empty sketch")).cast("double")
+        grad = F.when(F.col("bits_b") == 0, error).otherwise(grad)
     args = ["id_a", "id_b"] if op != "advance" else ["id_comp", "id_intersect", "id_comp_rev"]
     return F.struct(
         F.col(f"id_{part}").alias("sha1"),

@@ -194,7 +194,7 @@ def shared_bits(sketches: Sketches, set_block: int = 256) -> DataFrame:
         F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
     )
 
-    def block_product(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def block_product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = key
         pdf = pdf.sort_values("set_id", kind="stable").reset_index(drop=True)
         words = np.zeros((len(pdf), 1 << p), dtype=np.int64)

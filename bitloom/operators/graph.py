@@ -88,15 +88,25 @@ def derived_nodes(
     return made, node_sketches, edges
 
 
-def attach_ends(edges: DataFrame, nodes: DataFrame, key: str, attributes: list[str], **skew_options) -> DataFrame:
+def attach_ends(
+    edges: DataFrame, nodes: DataFrame, key: str, attributes: list[str], hot_rows: int = skew.HOT_ROWS, salts: int = 64
+) -> DataFrame:
     """Node attributes for both ends of each edge; hubs are split over many tasks."""
     out = edges
     for end in ("source", "target"):
         side = nodes.select(F.col(key).alias(end), *(F.col(a).alias(f"{end}_{a}") for a in attributes))
-        out = skew.lookup(out, side, [end], **skew_options)
+        # Hubs are counted on the bare edges, not on what the first join made.
+        hubs = skew.hot_keys(edges, [end], hot_rows)
+        out = skew.lookup(out, side, [end], salts=salts, hot=hubs)
     return out
 
 
+def find_edges(edges: DataFrame, wanted: DataFrame, status: str, **skew_options) -> DataFrame:
+    """Edges of one status by ``(source, target)``; ``wanted`` lists each pair once."""
+    live = edges.where(F.col("status") == status)
+    return skew.lookup(live, wanted.select("source", "target"), ["source", "target"], **skew_options)
+
+
 def assemble(nodes: DataFrame, edges: DataFrame, status: str) -> DataFrame:
     """Nodes of one status with their in- and out-degree among edges of that status."""
     ends = F.inline(
@@ -140,8 +150,7 @@ def regenerate(base: Sketches, edges: DataFrame, depth: int) -> Sketches:
         ready = ready.join(arity, "target").where("n_known = n_args").select("target")
         word, first = F.col("word"), F.col("pos") == "0"
         per_bin = (
-            todo.join(ready, "target", "left_semi")
-            .join(known.rows, F.col("source") == F.col("set_id"))
+            sketch.meet(todo.join(ready, "target", "left_semi"), known, on="source")
             .groupBy("target", "r_type", "bin")
             .agg(
                 F.bit_or(word).alias("any"),
@@ -159,6 +168,7 @@ def regenerate(base: Sketches, edges: DataFrame, depth: int) -> Sketches:
         level = base.with_rows(
             per_bin.select(F.col("target").alias("set_id"), "bin", result.alias("word")).where("word <> 0")
         )
+        level = level.once()
         made.append(level)
         todo = todo.join(ready, "target", "left_anti")
         known = sketch.concat(known, level)

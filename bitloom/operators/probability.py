@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.operators import skew
+from bitloom.session import checkpointed
 
 
 def overlaps(members: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -34,6 +35,8 @@ def overlaps(members: DataFrame, weight: Column | None = None) -> DataFrame:
 
 
 def _with_sizes(cells: DataFrame) -> DataFrame:
+    # Few cells out of many elements; what made them runs once.
+    cells = checkpointed(cells)
     sizes = cells.where("i = j")
     return cells.join(sizes.select("i", F.col("w").alias("size_i")), "i").join(
         sizes.select("j", F.col("w").alias("size_j")), "j"
@@ -55,6 +58,7 @@ def conditional_weighted(cells: DataFrame) -> DataFrame:
 
 def joint(c: DataFrame) -> DataFrame:
     """J[a, b] = C[a, first] times the product of C[b, i] over all later i."""
+    c = checkpointed(c)
     first = c.agg(F.min("j").alias("m")).scalar()
     marked = c.withColumn("first", first)
     start = marked.where("j = first").select(F.col("i").alias("a"), F.col("p").alias("p_first"))
@@ -65,7 +69,7 @@ def joint(c: DataFrame) -> DataFrame:
 
 def posterior(j: DataFrame, evidence: str) -> DataFrame:
     """P(a | evidence): one column of the joint table, scaled to 1."""
-    column = j.where(F.col("b") == evidence)
+    column = checkpointed(j.where(F.col("b") == evidence))
     total = column.agg(F.sum("p").alias("t")).scalar()
     return column.select("a", F.try_divide(F.col("p"), total).alias("p"))
 
@@ -85,6 +89,7 @@ def transition_matrix(counts: DataFrame) -> DataFrame:
 
 def chain_joint(counts: DataFrame) -> DataFrame:
     """P(a, b, c) = P(a) P(b | a) P(c | b) from transition counts."""
+    counts = checkpointed(counts)
     total = counts.agg(F.sum("n").alias("t")).scalar()
     start = counts.groupBy(F.col("i").alias("a")).agg(F.sum("n").alias("n_a"))
     start = start.select("a", (F.col("n_a").cast("double") / total).alias("p_a"))
@@ -100,6 +105,7 @@ def row_stochastic(c: DataFrame) -> DataFrame:
 
     ``feasible`` is false for rows whose off-diagonals already exceed 1.
     """
+    c = checkpointed(c)
     off = F.sum(F.when(F.col("i") != F.col("j"), F.col("p")).otherwise(F.lit(0.0)))
     rest = c.groupBy("i").agg((F.lit(1.0) - off).alias("rest"))
     p = F.when(F.col("i") == F.col("j"), F.col("rest")).otherwise(F.col("p"))
@@ -108,6 +114,7 @@ def row_stochastic(c: DataFrame) -> DataFrame:
 
 def project(matrix: DataFrame, steps: int) -> DataFrame:
     """State after ``steps`` steps from a uniform start: ``(state, p)``."""
+    matrix = checkpointed(matrix)
     states = matrix.select("i").union(matrix.select("j")).distinct()
     n = states.agg(F.count("*").alias("n")).scalar()
     state = states.select("i", (F.lit(1.0) / n).alias("v"))

@@ -54,19 +54,28 @@ def _register_scores(batch: np.ndarray, query: np.ndarray, metric: str) -> np.nd
     return 1.0 - np.divide(shared, norms, out=np.zeros_like(shared), where=norms != 0)
 
 
+_SLICE_CELLS = 1 << 22
 _SCORERS = {"vector": (_vector_scores, np.float64), "register": (_register_scores, np.int64)}
 
 
 def _best_of_batch(pdf: pd.DataFrame, query_ids, queries: np.ndarray, k: int, metric: str, kind: str, digits: int):
     score, dtype = _SCORERS[kind]
-    ids = pdf["id"].to_numpy()
-    batch = np.stack([np.asarray(v, dtype=dtype) for v in pdf["vec"]])
     out = []
-    for query_id, query in zip(query_ids, queries):
-        scores = np.round(score(batch, query, metric), digits) + 0.0
-        best = np.lexsort((ids, scores))[:k]
-        out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": scores[best]}))
-    return pd.concat(out, ignore_index=True)
+    # Slices keep the dense working copy small however long the vectors are.
+    step = max(1, _SLICE_CELLS // max(1, queries.shape[1]))
+    for start in range(0, len(pdf), step):
+        part = pdf.iloc[start : start + step]
+        ids = part["id"].to_numpy()
+        batch = np.stack([np.asarray(v, dtype=dtype) for v in part["vec"]])
+        for query_id, query in zip(query_ids, queries):
+            scores = np.round(score(batch, query, metric), digits) + 0.0
+            best = np.lexsort((ids, scores))[:k]
+            out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": scores[best]}))
+    return _first_k(pd.concat(out, ignore_index=True), k)
+
+
+def _first_k(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["score", "id"], kind="stable").groupby("query_id", sort=False).head(k)
 
 
 def nearest(
@@ -83,8 +92,8 @@ def nearest(
 
     ``corpus`` and ``queries`` have ``(id, vec)``; ties go to the smaller id. The
     number of queries is looked at first. Up to ``max_queries`` travel to the tasks
-    and the corpus stays where it is: every Arrow batch keeps its own k best, so
-    only k rows per query and batch are shuffled. More queries than that are met
+    and the corpus stays where it is: every task keeps its own k best, so only k
+    rows per query and task are shuffled. More queries than that are met
     with the corpus in bounded blocks, with the same result.
     """
     if metric not in ("l2", "ip", "cosine"):
@@ -102,9 +111,13 @@ def nearest(
         asked = np.stack([np.asarray(r["vec"], dtype=dtype) for r in head])
 
         def per_partition(batches):
+            best = None
             for pdf in batches:
                 if len(pdf):
-                    yield _best_of_batch(pdf, ids, asked, k, metric, kind, digits)
+                    found = _best_of_batch(pdf, ids, asked, k, metric, kind, digits)
+                    best = found if best is None else _first_k(pd.concat([best, found], ignore_index=True), k)
+            if best is not None:
+                yield best
 
         best = corpus.mapInPandas(per_partition, schema)
     else:
@@ -126,8 +139,7 @@ def nearest(
         best = (
             rows.groupBy("block", "chunk").cogroup(asks.groupBy("block", "chunk")).applyInPandas(per_block, schema)
         )
-    order = Window.partitionBy("query_id").orderBy("score", "id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return skew.top_k(best, "query_id", ["score", "id"], k, ["id"])
 
 
 def nearest_sketches(corpus: Sketches, queries: Sketches, k: int, metric: str = "cosine", **options) -> DataFrame:
@@ -157,8 +169,7 @@ def nearest_approx(
     model = lsh.fit(vectors_of(corpus))
     met = model.approxSimilarityJoin(vectors_of(corpus), vectors_of(queries), float("inf"), distCol="score")
     found = met.select(F.col("datasetB.id").alias("query_id"), F.col("datasetA.id").alias("id"), F.round("score", 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return skew.top_k(found, "query_id", ["score", "id"], k, ["id"])
 
 
 def ngrams(df: DataFrame, key: str, order: str, value: str, n: int, bucket_rows: int = 4096) -> DataFrame:

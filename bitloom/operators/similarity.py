@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import estimate, hashing
-from bitloom.operators.sketch import Sketches, cards, filled, pow_sum, union_all
+from bitloom.operators.sketch import Sketches, cards, filled, meet, pow_sum, union_all
 
 PAIR = ["set_a", "set_b"]
 
@@ -63,7 +63,7 @@ def align(sketches: Sketches, pairs: DataFrame) -> DataFrame:
     )
     word, left = F.col("word"), F.col("left")
     return (
-        sides.join(sketches.rows, "set_id")
+        meet(sides, sketches)
         .groupBy(*PAIR, "bin")
         .agg(
             F.bit_or(F.when(left, word).otherwise(F.lit(0))).alias("word_a"),
@@ -143,6 +143,7 @@ def conditional(sketches: Sketches, pairs: DataFrame) -> DataFrame:
 
     The universe is the union of all sets; its estimate is a one-row scalar.
     """
+    sketches = sketches.once()
     everything = union_all(sketches, F.lit("U"))
     universe = cards(everything).select("card").scalar()
 
@@ -180,7 +181,7 @@ def shared_bits(sketches: Sketches, set_block: int = 256) -> DataFrame:
     block by block: each task holds two blocks of ``set_block`` packed sketches,
     so neither the number of sets nor one large set can overfill it.
     """
-    p = sketches.p
+    p, sketches = sketches.p, sketches.once()
     block = max(4, min(set_block, (1 << 18) >> p))
     packed = sketches.rows.groupBy("set_id").agg(
         F.sort_array(F.collect_list(F.struct("bin", "word"))).alias("registers")

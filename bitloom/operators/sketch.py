@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import estimate, hashing
+from bitloom.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,13 @@ class Sketches:
         if self.p != other.p:
             raise ValueError(f"precisions differ: {self.p} and {other.p}")
 
+    def once(self) -> Sketches:
+        """The same registers, computed now and kept, for use by several branches.
+
+        Registers are few beside the tokens behind them.
+        """
+        return self.with_rows(checkpointed(self.rows))
+
     def with_rows(self, rows: DataFrame) -> Sketches:
         return Sketches(rows.select("set_id", "bin", "word"), self.p)
 
@@ -71,6 +79,17 @@ def copy(sketches: Sketches, new_id: Column) -> Sketches:
     return sketches.with_rows(sketches.rows.withColumn("set_id", new_id))
 
 
+def meet(wanted: DataFrame, sketches: Sketches, on: str = "set_id", chunks: int = 16) -> DataFrame:
+    """Registers of the sets named in ``wanted``, beside its columns.
+
+    The join key is the set and a slice of its registers, so one set wanted by
+    very many rows is spread over as many tasks as there are slices.
+    """
+    sliced = sketches.rows.withColumnRenamed("set_id", on).withColumn("_slice", F.col("bin") % chunks)
+    asked = wanted.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return asked.join(sliced, [on, "_slice"]).drop("_slice")
+
+
 def union_all(sketches: Sketches, group: Column) -> Sketches:
     """Union of all sketches that share a group value."""
     rows = sketches.rows.select(group.alias("set_id"), "bin", "word")
@@ -87,7 +106,7 @@ def intersect_all(sketches: Sketches, members: DataFrame) -> Sketches:
     """
     sizes = members.groupBy("group").agg(F.count_distinct("set_id").alias("n_sets"))
     anded = (
-        sketches.rows.join(members.distinct(), "set_id")
+        meet(members.distinct(), sketches)
         .groupBy("group", "bin")
         .agg(F.bit_and("word").alias("word"), F.count("*").alias("n"))
         .join(sizes, "group")

@@ -6,26 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# From how many rows on a key is worth splitting.
+HOT_ROWS = 1_000_000
+
+
+def hot_keys(facts: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with at least ``hot_rows`` rows."""
+    counted = facts.groupBy(*on).agg(F.count("*").alias("_n"))
+    return counted.where(F.col("_n") >= hot_rows).select(*on)
+
+
+def top_k(df: DataFrame, key: str, order: list, k: int, spread_by: list[str], salts: int = 256) -> DataFrame:
+    """The first ``k`` rows of each key with their ``rank``, for keys of any size.
+
+    Each task keeps k rows per key before its shuffle, each salt of a key keeps k
+    after it, and only salts * k rows per key meet at the end.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
+    part = Window.partitionBy(key, "_salt").orderBy(*order)
+    best = salted.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("rank", "_salt")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def lookup(
     facts: DataFrame,
     dims: DataFrame,
     on: list[str],
     how: str = "inner",
-    hot_rows: int = 1_000_000,
+    hot_rows: int = HOT_ROWS,
     salts: int = 64,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to a table with one row per key, splitting the hot keys.
 
     A key with at least ``hot_rows`` rows is spread over ``salts`` join keys and
     its one row on the other side is repeated as often. There are at most
     rows / hot_rows hot keys, so that list is small by construction; whether it is
-    broadcast is left to the run-time size check.
+    broadcast is left to the run-time size check. ``hot`` gives the keys to split
+    where the caller has counted already.
     """
-    hot = (
-        facts.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows)
-        .select(*on, F.lit(salts).alias("_salts"))
-    )
-    spread = F.pmod(F.xxhash64(*(F.col(c) for c in facts.columns)), F.coalesce("_salts", F.lit(1)))
+    if hot is None:
+        hot = hot_keys(facts, on, hot_rows)
+    hot = hot.select(*on, F.lit(salts).alias("_salts"))
+    # Any column but a map can take part in the hash that picks a row's salt.
+    hashable = [c for c, kind in facts.dtypes if "map<" not in kind and "variant" not in kind]
+    spread = F.pmod(F.xxhash64(*hashable), F.coalesce("_salts", F.lit(1)))
     left = facts.join(hot, on, "left").withColumn("_salt", spread).drop("_salts")
     zero = F.lit(0).cast("bigint")
     copies = F.sequence(zero, F.coalesce("_salts", F.lit(1)).cast("bigint") - 1)

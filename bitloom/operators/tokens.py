@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import hashing, text
+from bitloom.operators import skew
 
 
 def column_id(parent: Column, column: Column) -> Column:
@@ -146,21 +147,21 @@ def refs_match(post: DataFrame, refs: DataFrame) -> DataFrame:
 
 def text_to_tokens(texts: DataFrame, key: str, index: DataFrame) -> DataFrame:
     """Index records of each text's words: ``key`` beside the record."""
-    words = texts.select(key, F.explode(text.distinct_words(F.col("text"))).alias("token"))
-    ids = with_id(words).select(key, "id").distinct()
-    return ids.join(index, "id")
+    return skew.lookup(_text_ids(texts, key), index, ["id"])
 
 
-def text_to_refs(texts: DataFrame, key: str, post: DataFrame, k: int) -> DataFrame:
+def _text_ids(texts: DataFrame, key: str) -> DataFrame:
+    """Distinct token ids of each text, one text per row of ``key``."""
+    ids = F.array_distinct(F.transform(text.distinct_words(F.col("text")), lambda w: hashing.token_hash(w)))
+    return texts.select(key, F.explode(ids).alias("id"))
+
+
+def text_to_refs(texts: DataFrame, key: str, index: DataFrame, k: int) -> DataFrame:
     """The ``k`` refs that hold most of each text's words, ties by ref.
 
-    The rank filter prunes to k rows per text in every task before its shuffle.
+    A word of very many texts is split over tasks and meets one index record; refs
+    are the catalogue of ingested columns, so a record fans out to a short list.
     """
-    from pyspark.sql import Window
-
-    words = texts.select(key, F.explode(text.distinct_words(F.col("text"))).alias("token"))
-    ids = with_id(words).select(key, "id").distinct()
-    held = post.select("id", "ref").distinct()
-    scored = ids.join(held, "id").groupBy(key, "ref").agg(F.count("*").alias("matched"))
-    order = Window.partitionBy(key).orderBy(F.desc("matched"), "ref")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    held = skew.lookup(_text_ids(texts, key), index.select("id", "refs"), ["id"])
+    scored = held.select(key, F.explode("refs").alias("ref")).groupBy(key, "ref").agg(F.count("*").alias("matched"))
+    return skew.top_k(scored, key, [F.desc("matched"), "ref"], k, ["ref"])

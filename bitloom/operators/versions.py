@@ -64,14 +64,17 @@ def merge_branch(log: DataFrame, into: str, other: str) -> DataFrame:
     return log.select(*LOG).unionByName(moved.select(*LOG))
 
 
-def head_tail(versions: DataFrame, key: str, version: str, deleted: Column, **skew_options) -> DataFrame:
+def head_tail(
+    versions: DataFrame, key: str, version: str, deleted: Column, hot_rows: int = skew.HOT_ROWS, salts: int = 64
+) -> DataFrame:
     """Add ``status``: the newest version of a key is its head, older ones its tail.
 
     A newest version that marks a removal is ``deleted``. The newest version comes
     from a combining aggregate, and a key with very many versions is split.
     """
-    newest = versions.groupBy(key).agg(F.max(version).alias("_newest"))
-    rows = skew.lookup(versions, newest, [key], **skew_options)
+    counted = versions.groupBy(key).agg(F.max(version).alias("_newest"), F.count("*").alias("_n"))
+    hot = counted.where(F.col("_n") >= hot_rows)
+    rows = skew.lookup(versions, counted.drop("_n"), [key], salts=salts, hot=hot)
     is_head = F.col(version) == F.col("_newest")
     status = F.when(is_head & deleted, "deleted").when(is_head, "head").otherwise("tail")
     return rows.withColumn("status", status).drop("_newest")

@@ -157,7 +157,7 @@ def backprop_sql() -> str:
 def grad_backprop(spark, folder):
     sketches, pairs = day_sketches(spark, folder), day_pairs(spark, folder)
     # Registers are small beside the events behind them, and used twice.
-    sketches = sketches.with_rows(checkpointed(sketches.rows))
+    sketches = sketches.once()
     results = checkpointed(entity.combine(sketches, pairs, "deleted", "retained", "added", "advance", "union"))
     base = entity.build(sketches).select("sha1", "card", "op", F.lit(1.0).alias("grad")).distinct()
     changes = results.where(F.col("op").isin("deleted", "retained", "added"))

@@ -115,7 +115,7 @@ def node_op_sql(op: str) -> str:
 
 
 def node_op(spark, folder, op):
-    sketches = doc_sketches(spark, folder, "lang")
+    sketches = doc_sketches(spark, folder, "lang").once()
     sha1s = sketch.meta(sketches).select("set_id", "sha1")
     made, registers, edges = graph.derived_nodes(sketches, lang_pairs(spark, folder), op, sha1s, "derived")
     cards = sketch.meta(registers).select(F.col("set_id").alias("target"), "card", "n_bits")
@@ -215,8 +215,7 @@ def node_lookup(spark, folder):
 def edge_lookup(spark, folder):
     edges = event_edges(spark, folder)
     wanted = edges.groupBy("source").agg(F.min_by("target", "event_id").alias("target"))
-    found = edges.where("status = 'b'").join(wanted, ["source", "target"], "left_semi")
-    return found.select("source", "target", "r_type", "event_id")
+    return graph.find_edges(edges, wanted, "b").select("source", "target", "r_type", "event_id")
 
 
 @query(
@@ -343,10 +342,10 @@ def edge_props(spark, folder):
     WHERE ((wa | wb) & ~wa) <> 0""",
 )
 def lineage_regen(spark, folder):
-    sketches = doc_sketches(spark, folder, "lang")
+    sketches = doc_sketches(spark, folder, "lang").once()
     sha1s = checkpointed(sketch.meta(sketches).select("set_id", "sha1"))
     base = sketches.with_rows(sketches.rows.join(sha1s, "set_id").select(F.col("sha1").alias("set_id"), "bin", "word"))
-    base = base.with_rows(checkpointed(base.rows))
+    base = base.once()
     pairs = sim.all_pairs(sha1s.select("set_id"))
     _, _, first = graph.derived_nodes(sketches, pairs, "union", sha1s, "derived")
     # A second level: each union without its first argument.

@@ -9,6 +9,7 @@ from bitloom.functions import hashing, text, vectors
 from bitloom.operators import sketch
 from bitloom.plans import oracle as o
 from bitloom.plans.registry import query
+from bitloom.session import checkpointed
 from bitloom.sources.tables import read_table, spread
 
 
@@ -270,8 +271,9 @@ def sketch_thin(spark, folder):
       round(({o.card_of()} - exact)::DOUBLE / exact, 6) AS rel_error FROM r JOIN e USING (set_id)""",
 )
 def estimate_vs_exact(spark, folder):
-    words = doc_words(spark, folder, "source")
-    exact = words.groupBy(F.col("source").alias("set_id")).agg(F.count_distinct("token").alias("exact"))
+    # The distinct words are found once and feed both the count and the sketch.
+    words = checkpointed(doc_words(spark, folder, "source").distinct())
+    exact = words.groupBy(F.col("source").alias("set_id")).agg(F.count("token").alias("exact"))
     cards = sketch.cards(sketch.build(words, F.col("source"), F.col("token")))
     error = (F.col("card") - F.col("exact")).cast("double") / F.col("exact")
     return exact.join(cards, "set_id").select("set_id", "exact", "card", F.round(error, 6).alias("rel_error"))

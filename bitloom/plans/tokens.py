@@ -124,7 +124,8 @@ def text_to_tokens(spark, folder):
     FROM s QUALIFY rank <= 5""",
 )
 def text_to_refs(spark, folder):
-    return tokens.text_to_refs(read_table(spark, folder, "benchmark"), "item_id", doc_postings(spark, folder), 5)
+    index = tokens.index_batch(doc_postings(spark, folder))
+    return tokens.text_to_refs(read_table(spark, folder, "benchmark"), "item_id", index, 5)
 
 
 @query(

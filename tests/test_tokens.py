@@ -56,7 +56,7 @@ def test_token_query(post, conditions, hits):
 
 def test_text_search_ranks_and_breaks_ties(spark, post):
     texts = spark.createDataFrame([(1, "BBB aaa"), (2, "nothing here")], "q int, text string")
-    got = [tuple(r) for r in tokens.text_to_refs(texts, "q", post, 5).collect()]
+    got = [tuple(r) for r in tokens.text_to_refs(texts, "q", tokens.index_batch(post), 5).collect()]
     assert sorted(got) == [(1, "r1", 1, 2), (1, "r2", 2, 1)]
     index = tokens.index_batch(post)
     assert tokens.text_to_tokens(texts, "q", index).count() == 2

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +46,36 @@ def lookup(
     its one row on the other side is repeated as often. There are at most
     rows / hot_rows hot keys, so that list is small by construction; whether it is
     broadcast is left to the run-time size check. ``hot`` gives the keys to split
-    where the caller has counted already.
+    where the caller knows them; splitting more or fewer keys never changes the
+    result.
     """
     if hot is None:
         hot = hot_keys(facts, on, hot_rows)
     hot = hot.select(*on, F.lit(salts).alias("_salts"))
+    right = dims.join(hot, on, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    return _salted_join(facts, hot, right, on, how)
+
+
+def lookup_counted(
+    facts: DataFrame, counted: DataFrame, on: list[str], n: str, hot_rows: int = HOT_ROWS, salts: int = 64
+) -> DataFrame:
+    """Inner ``lookup`` into an aggregate of the facts that also counted them as ``n``."""
+    is_hot = F.col(n) >= hot_rows
+    right = counted.withColumn("_salts", F.when(is_hot, F.lit(salts)).otherwise(F.lit(1)))
+    # Asking for every column makes this the same aggregate as above, so it runs once.
+    # A hot key left out here for a null still meets the copy for salt 0.
+    whole = [F.col(c).isNotNull() for c in counted.columns if c != n]
+    hot = counted.where(reduce(and_, whole, is_hot)).select(*on, F.lit(salts).alias("_salts"))
+    return _salted_join(facts, hot, right.drop(n), on, "inner")
+
+
+def _salted_join(facts: DataFrame, hot: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     # Any column but a map can take part in the hash that picks a row's salt.
     hashable = [c for c, kind in facts.dtypes if "map<" not in kind and "variant" not in kind]
     spread = F.pmod(F.xxhash64(*hashable), F.coalesce("_salts", F.lit(1)))
     left = facts.join(hot, on, "left").withColumn("_salt", spread).drop("_salts")
-    zero = F.lit(0).cast("bigint")
-    copies = F.sequence(zero, F.coalesce("_salts", F.lit(1)).cast("bigint") - 1)
-    right = dims.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.col("_salts").cast("bigint") - 1)
+    right = right.withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -98,8 +119,9 @@ def following(
     """
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
     packed = F.struct(*values)
-    rows = df.withColumn("_next", F.lead(packed).over(inside))
-    first = df.groupBy(*keys, bucket).agg(F.min_by(packed, F.struct(*order)).alias("_first"))
+    rows = df.withColumn("_next", F.lead(packed).over(inside)).withColumn("_seen", F.lag(F.lit(True)).over(inside))
+    # The rows are shuffled once; both branches read that shuffle.
+    first = rows.where("_seen IS NULL").select(*keys, bucket, packed.alias("_first"))
     across = Window.partitionBy(*keys).orderBy(bucket)
     heads = first.select(*keys, bucket, F.lead("_first").over(across).alias("_after"))
     joined = rows.join(heads, [*keys, bucket])

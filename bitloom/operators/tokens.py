@@ -145,9 +145,17 @@ def refs_match(post: DataFrame, refs: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.count_distinct("ref").alias("n_refs"))
 
 
-def text_to_tokens(texts: DataFrame, key: str, index: DataFrame) -> DataFrame:
-    """Index records of each text's words: ``key`` beside the record."""
-    return skew.lookup(_text_ids(texts, key), index, ["id"])
+def text_to_tokens(texts: DataFrame, key: str, index: DataFrame, hot_tf: int = skew.HOT_ROWS) -> DataFrame:
+    """Index records of each text's words: ``key`` beside the record.
+
+    Words that are frequent in the index are taken to be frequent in the texts too
+    and are split over tasks.
+    """
+    return skew.lookup(_text_ids(texts, key), index, ["id"], hot=_frequent(index, hot_tf))
+
+
+def _frequent(index: DataFrame, hot_tf: int) -> DataFrame:
+    return index.where(F.col("tf") >= hot_tf).select("id")
 
 
 def _text_ids(texts: DataFrame, key: str) -> DataFrame:
@@ -156,12 +164,15 @@ def _text_ids(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.explode(ids).alias("id"))
 
 
-def text_to_refs(texts: DataFrame, key: str, index: DataFrame, k: int) -> DataFrame:
+def text_to_refs(
+    texts: DataFrame, key: str, index: DataFrame, k: int, hot_tf: int = skew.HOT_ROWS
+) -> DataFrame:
     """The ``k`` refs that hold most of each text's words, ties by ref.
 
-    A word of very many texts is split over tasks and meets one index record; refs
-    are the catalogue of ingested columns, so a record fans out to a short list.
+    A frequent word is split over tasks and meets one index record. Refs are the
+    catalogue of ingested columns, so a record fans out to a short list.
     """
-    held = skew.lookup(_text_ids(texts, key), index.select("id", "refs"), ["id"])
+    hot = _frequent(index, hot_tf)
+    held = skew.lookup(_text_ids(texts, key), index.select("id", "refs"), ["id"], hot=hot)
     scored = held.select(key, F.explode("refs").alias("ref")).groupBy(key, "ref").agg(F.count("*").alias("matched"))
     return skew.top_k(scored, key, [F.desc("matched"), "ref"], k, ["ref"])

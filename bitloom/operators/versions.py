@@ -73,8 +73,7 @@ def head_tail(
     from a combining aggregate, and a key with very many versions is split.
     """
     counted = versions.groupBy(key).agg(F.max(version).alias("_newest"), F.count("*").alias("_n"))
-    hot = counted.where(F.col("_n") >= hot_rows)
-    rows = skew.lookup(versions, counted.drop("_n"), [key], salts=salts, hot=hot)
+    rows = skew.lookup_counted(versions, counted, [key], "_n", hot_rows, salts)
     is_head = F.col(version) == F.col("_newest")
     status = F.when(is_head & deleted, "deleted").when(is_head, "head").otherwise("tail")
     return rows.withColumn("status", status).drop("_newest")

@@ -20,6 +20,11 @@ def doc_postings(spark, folder, ref="source", n_bytes=2):
     return tokens.postings(rows, distinct=True)
 
 
+def doc_index(spark, folder):
+    """The documents' index, written once; searches scan what is stored."""
+    return stored(tokens.index_batch(doc_postings(spark, folder)), "index")
+
+
 POST = (
     f"tok AS (SELECT * FROM ({o.tokens('documents', 'source AS ref, doc_id AS batch')}) WHERE strlen(token) > 2), "
     f"post AS (SELECT {o.hash63('token')} AS id, token, ref, count(*) AS n FROM tok GROUP BY ALL)"
@@ -77,7 +82,7 @@ def index_scan_page(spark, folder):
 )
 def token_lookup(spark, folder):
     asked = read_table(spark, folder, "benchmark").select(F.explode(text.distinct_words(F.col("text"))).alias("token"))
-    return shown(tokens.token_lookup(tokens.index_batch(doc_postings(spark, folder)), tokens.with_id(asked)))
+    return shown(tokens.token_lookup(doc_index(spark, folder), tokens.with_id(asked)))
 
 
 @query(
@@ -99,7 +104,7 @@ def refs_match_join(spark, folder):
       AND list_contains(string_split(refs, ','), 'src7') AND tf > 4 AND zeros < 3 AND bin <> 17""",
 )
 def token_query(spark, folder):
-    index = stored(tokens.index_batch(doc_postings(spark, folder)), "index")
+    index = doc_index(spark, folder)
     return tokens.token_query(
         index,
         [("refs", "match", "src1 src2"), ("refs", "has", "src7"), ("tf", ">", 4), ("zeros", "<", 3), ("bin", "!=", "17")],
@@ -112,7 +117,7 @@ def token_query(spark, folder):
     SELECT item_id, ix.* FROM q JOIN ix USING (id)""",
 )
 def text_to_tokens(spark, folder):
-    index = tokens.index_batch(doc_postings(spark, folder))
+    index = doc_index(spark, folder)
     return shown(tokens.text_to_tokens(read_table(spark, folder, "benchmark"), "item_id", index))
 
 
@@ -124,7 +129,7 @@ def text_to_tokens(spark, folder):
     FROM s QUALIFY rank <= 5""",
 )
 def text_to_refs(spark, folder):
-    index = tokens.index_batch(doc_postings(spark, folder))
+    index = doc_index(spark, folder)
     return tokens.text_to_refs(read_table(spark, folder, "benchmark"), "item_id", index, 5)
 
 
@@ -148,7 +153,7 @@ def label_filter(spark, folder):
 
     docs = read_table(spark, folder, "documents")
     labels = docs.groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("labels"))
-    index = shown(tokens.index_batch(doc_postings(spark, folder)))
+    index = shown(doc_index(spark, folder))
     tagged = search.label_filter(labels, "labels", ["es", "de"]).select(F.lit("label").alias("kind"), F.col("source").alias("item"))
     worded = search.word_filter(index, "tokens", "the").select(F.lit("text").alias("kind"), F.col("tokens").alias("item"))
     return tagged.unionByName(worded)

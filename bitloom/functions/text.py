@@ -45,6 +45,18 @@ def quoted_extract(value: Column) -> Column:
     return F.coalesce(F.regexp_extract(value, QUOTED_PATTERN, 1), F.lit(""))
 
 
+def instant(wall: Column) -> Column:
+    """A time without zone as an instant, read as UTC whatever the session's zone."""
+    return F.concat(wall.cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
+
+
+def wall_time(at: Column) -> Column:
+    """An instant as UTC time without zone, whatever the session's zone."""
+    seconds = (F.unix_micros(at) / F.lit(1_000_000).cast("decimal(18,0)")).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
+
+
 def day_key(ts: Column) -> Column:
     """``yyyy-MM-dd`` of a timestamp or of a ``yyyy-MM-dd HH:mm:ss`` string."""
     return F.date_format(ts.cast("timestamp_ntz"), "yyyy-MM-dd")

@@ -91,4 +91,7 @@ def stream_dedup(spark, folder):
     WHERE expired_at <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 )
 def stream_ttl(spark, folder):
-    return run_append(jobs.expired(table_stream(spark, folder, "events"), "ts", "user_id", "6 hours"), "ttl")
+    lives = run_append(jobs.expired(table_stream(spark, folder, "events"), "ts", "user_id", "6 hours"), "ttl")
+    shown = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    times = [F.date_format(c, shown).alias(c) for c in ("first_seen", "expired_at")]
+    return lives.select("user_id", *times, "n")

@@ -1,6 +1,6 @@
 """Streaming twins of the daily sketch, the token index and the life cycle.
 
-Event time is a ``timestamp``; rows later than the watermark are dropped. Outputs
+Event time is read as UTC in any session zone; rows later than the watermark are dropped. Outputs
 written by batch go to a folder per batch id and are overwritten when a batch is
 repeated, so a restart never counts anything twice.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.functions import estimate, hashing
+from bitloom.functions import estimate, hashing, text
 from bitloom.operators import tokens as tok
 from bitloom.operators.sketch import filled, pow_sum
 from bitloom.streaming.sources import WATERMARK, run_batches
@@ -24,7 +24,7 @@ def daily_sketches(events: DataFrame, ts: str, key: str, token: Column, p: int =
     """
     h = hashing.token_hash(token)
     timed = events.select(
-        F.col(ts).cast("timestamp").alias("ts"),
+        text.instant(F.col(ts)).alias("ts"),
         F.col(key).alias("key"),
         hashing.bin_of(h, p).alias("bin"),
         hashing.word_of(h, p).alias("word"),
@@ -35,7 +35,7 @@ def daily_sketches(events: DataFrame, ts: str, key: str, token: Column, p: int =
         pow_sum(F.col("word")).alias("s"), filled(F.col("word")).alias("n"), F.sum(F.bit_count("word")).alias("n_bits")
     )
     return sums.select(
-        F.date_format(F.col("day")["start"], "yyyy-MM-dd").alias("day"),
+        text.day_key(text.wall_time(F.col("day")["start"])).alias("day"),
         "key",
         estimate.cardinality("s", "n", p).alias("card"),
         "n_bits",
@@ -44,7 +44,7 @@ def daily_sketches(events: DataFrame, ts: str, key: str, token: Column, p: int =
 
 def distinct_tokens(events: DataFrame, ts: str, keys: list[str], within: str) -> DataFrame:
     """Each key combination once within the watermark; state is dropped after that."""
-    timed = events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", within)
+    timed = events.withColumn("_at", text.instant(F.col(ts))).withWatermark("_at", within)
     return timed.dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
@@ -95,12 +95,11 @@ def expired(events: DataFrame, ts: str, key: str, ttl: str) -> DataFrame:
     Each write renews a record's life, so a life is a session with the time to
     live as its gap; it is put out once the watermark has passed its end.
     """
-    timed = events.select(F.col(ts).cast("timestamp").alias("ts"), key).withWatermark("ts", WATERMARK)
+    timed = events.select(text.instant(F.col(ts)).alias("ts"), key).withWatermark("ts", WATERMARK)
     lives = timed.groupBy(F.session_window("ts", ttl).alias("life"), key).agg(F.count("*").alias("n"))
-    shown = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return lives.select(
         key,
-        F.date_format(F.col("life")["start"], shown).alias("first_seen"),
-        F.date_format(F.col("life")["end"], shown).alias("expired_at"),
+        text.wall_time(F.col("life")["start"]).alias("first_seen"),
+        text.wall_time(F.col("life")["end"]).alias("expired_at"),
         "n",
     )

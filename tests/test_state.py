@@ -11,6 +11,7 @@ from bitloom.sources import files, stores
 from bitloom.streaming import jobs
 from bitloom.streaming.sources import run_append, staged_stream, table_stream
 
+FOLDER = "/root/testdata/sf0.01"
 LOG = "branch string, seq long, message string, ts string, snapshot_id string"
 
 
@@ -179,3 +180,18 @@ def test_late_rows_are_dropped(spark):
 def test_stream_of_table_reads_only_that_table(spark):
     stream = table_stream(spark, "/root/testdata/sf0.001", "region")
     assert run_append(stream.select("r_name"), "region").count() == 5
+
+
+def test_streams_and_days_do_not_depend_on_the_session_zone(spark):
+    from compare import difference, duck
+
+    import __spark_entry__ as driver
+
+    names = ("stream_ttl", "stream_daily_sketch", "stream_dedup", "daily_sketch", "change_series", "transition_counts", "ttl_expire", "filter_day", "commit_matrix")
+    con, sqls = duck(FOLDER), driver.oracle_sql()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        notes = {n: difference(spark, con, FOLDER, n, driver.queries()[n], sqls[n]) for n in names}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert notes == dict.fromkeys(names)

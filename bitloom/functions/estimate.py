@@ -18,6 +18,7 @@ from bitloom.functions.hashing import check_p
 
 def alpha(p: int) -> float:
     """Published HyperLogLog constant for 2^p registers."""
+    # Fixed values.
     small = {4: 0.673, 5: 0.697, 6: 0.709}
     return small.get(p, 0.7213 / (1 + 1.079 / (1 << p)))
 

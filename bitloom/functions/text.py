@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A word is a run of letters and digits in any script.
+# A word is a run of letters and digits in any script.
 WORD_PATTERN = r"([\p{L}\p{N}]+)"
 # The first part of a string that stands in single quotes.
 QUOTED_PATTERN = "'([^']*)'"

@@ -28,7 +28,7 @@ OPERATIONS = {
     "advance": ("b", ("a", "b")),
 }
 
-# Back-propagation of one step: how operand number ``pos`` takes up the gradient.
+# Fixed values. Back-propagation of one step: how operand number ``pos`` takes up the gradient.
 BACKPROP = {
     ("union", 0): "add",
     ("union", 1): "add",

@@ -79,16 +79,23 @@ def head_tail(
     return rows.withColumn("status", status).drop("_newest")
 
 
-def commit_matrix(versions: DataFrame, key: str, committed: str, deleted: str, commits: list) -> DataFrame:
-    """Status of every item version as of each of the asked commits.
+def commit_matrix(
+    versions: DataFrame, key: str, committed: str, deleted: str, commits: list | None = None
+) -> DataFrame:
+    """Status of every item version as of each commit, or of the asked ones.
 
     ``versions`` has at most one version of a key per commit. A version is head
     from its own commit until the key's next one and tail after that, so each row
-    needs only its successor.
+    needs only its successor. The list of commits, one entry per commit however
+    many items, is a scalar.
     """
     following = skew.following(versions.select(key, committed, deleted), [key], committed, [committed], [committed])
-    at = F.explode(F.array(*map(F.lit, commits)))
-    rows = following.withColumn("commit", at).where(F.col(committed) <= F.col("commit"))
+    if commits is None:
+        every = versions.select(committed).distinct().agg(F.sort_array(F.collect_set(committed)).alias("c")).scalar()
+    else:
+        every = F.array(*map(F.lit, commits))
+    since = F.filter("every", lambda commit: commit >= F.col(committed))
+    rows = following.withColumn("every", every).withColumn("commit", F.explode(since))
     superseded = F.col(f"next_{committed}") <= F.col("commit")
     status = F.when(superseded, "tail").when(F.col(deleted), "deleted").otherwise("head")
     return rows.select(key, committed, "commit", status.alias("status"))

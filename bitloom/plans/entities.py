@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitloom.functions import hashing, text
 from bitloom.operators import entity, sketch
 from bitloom.plans import oracle as o
 from bitloom.plans.algebra import DAYS, LANG, day_pairs, day_sketches, lang_pairs

@@ -8,7 +8,6 @@ from bitloom.operators import sketch
 from bitloom.plans import oracle as o
 from bitloom.plans.registry import query
 from bitloom.plans.sketches import doc_sketches
-from bitloom.session import checkpointed
 from bitloom.sources import files, stores
 from bitloom.sources.tables import read_table
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from bitloom.operators import versions
 from bitloom.plans.registry import query
-from bitloom.session import checkpointed
 from bitloom.sources.tables import read_table
 
 # Each year of orders is one commit; its snapshot holds every customer's order count so far.
@@ -101,7 +100,7 @@ def commit_head_tail(spark, folder):
     """WITH v AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(event_type, event_id) = 'error' AS removed
       FROM events GROUP BY 1, 2),
     n AS (SELECT *, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS next_day FROM v),
-    c AS (SELECT unnest(['2024-01-07', '2024-01-14', '2024-01-21', '2024-01-30']) AS commit)
+    c AS (SELECT DISTINCT day AS commit FROM v)
     SELECT user_id, day, commit, CASE WHEN next_day <= commit THEN 'tail' WHEN removed THEN 'deleted' ELSE 'head' END AS status
     FROM n JOIN c ON day <= commit""",
 )
@@ -110,7 +109,7 @@ def commit_matrix(spark, folder):
     daily = events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         (F.max_by("event_type", "event_id") == "error").alias("removed")
     )
-    return versions.commit_matrix(daily, "user_id", "day", "removed", ["2024-01-07", "2024-01-14", "2024-01-21", "2024-01-30"])
+    return versions.commit_matrix(daily, "user_id", "day", "removed")
 
 
 @query("ttl_expire", "SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")

@@ -1,6 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
-from reference_sets import registers
+from plain_sets import registers
 from test_sketch import A, B, C, build, collected, pairs_of
 
 from bitloom.operators import entity, graph, sketch

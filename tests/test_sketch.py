@@ -3,7 +3,7 @@ import string
 
 import pytest
 from pyspark.sql import functions as F
-from reference_sets import coordinates, estimate, h63, registers
+from plain_sets import coordinates, estimate, h63, registers
 
 from bitloom.functions import hashing
 from bitloom.functions.estimate import bias_points

@@ -53,6 +53,8 @@ def test_head_tail_and_matrix(spark):
     status = {(r["k"], r["c"]): r["status"] for r in versions.head_tail(df, "k", "c", F.col("gone"), hot_rows=2, salts=3).collect()}
     assert status == {("x", 1): "tail", ("x", 3): "head", ("y", 2): "deleted", ("z", 1): "head"}
     matrix = {(r["k"], r["c"], r["commit"]): r["status"] for r in versions.commit_matrix(df, "k", "c", "gone", [1, 2, 3]).collect()}
+    every = versions.commit_matrix(df, "k", "c", "gone")
+    assert {(r["k"], r["c"], r["commit"]): r["status"] for r in every.collect()} == matrix
     assert matrix == {
         ("x", 1, 1): "head", ("x", 1, 2): "head", ("x", 1, 3): "tail", ("x", 3, 3): "head",
         ("y", 2, 2): "deleted", ("y", 2, 3): "deleted",

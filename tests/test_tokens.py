@@ -1,6 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
-from reference_sets import h63
+from plain_sets import h63
 
 from bitloom.functions import text, vectors
 from bitloom.operators import tokens

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def running_start(
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the texts of each have at most ``most`` bytes, or are one text."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
         ends = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at, done = 0, 0
         while at < batch.num_rows:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bitloom.llm import simhash_dedup, token_counts
+from bitloom.llm import line_dedup, packing, sharding, simhash_dedup, token_counts
 from bitloom.llm.registry import QUERIES, SQL, query
 from bitloom.sources.tables import read_table
 
@@ -16,6 +17,29 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_copies(read_table(spark, folder, "documents"))
 
 
+@query("op3_line_dedup", line_dedup.SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    left = line_dedup.dedup_lines(read_table(spark, folder, "documents"))
+    return left.select(
+        "doc.doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("dropped").cast("long").alias("n_dropped"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+@query("op7_minimax_shards")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    sharded = sharding.minimax_shards(read_table(spark, folder, "documents"))
+    return sharded.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query("op8_mixture_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, folder, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, folder, "documents"))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def pieces_of(path: str | None) -> Pieces:
 
 def _coded(texts: pa.Array, encoder: Pieces) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     # Folding case would turn other spellings into special tokens, so it is left where one may be.
-    special = pa.compute.any(pa.compute.match_substring(texts, "<|")).as_py()
+    special = pc.any(pc.match_substring(texts, "<|")).as_py()
     words, bounds = split_words(texts, fold=not special)
     ids = encoder.ids(words.dictionary.to_pylist())
     return words.indices.to_numpy(zero_copy_only=False), ids, bounds
@@ -152,7 +153,7 @@ def token_counts(
         encoder = pieces_of(path)
         for batch in slices(batches, "text"):
             texts = filled(batch.column(1))
-            n_bytes = pa.compute.binary_length(texts).cast(pa.int64())
+            n_bytes = pc.binary_length(texts).cast(pa.int64())
             n_tokens = pa.array(token_lengths(texts, encoder), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n_tokens], ["id", "n_bytes", "n_tokens"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import line_dedup, packing, sharding, simhash_dedup, token_counts
+from bitloom.llm import line_dedup, packing, sharding, simhash_dedup, token_counts, vector_dedup
 from bitloom.llm.registry import QUERIES, SQL, query
 from bitloom.sources.tables import read_table
 
@@ -40,6 +40,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query("op9_vector_dedup", vector_dedup.SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(read_table(spark, folder, "embeddings"))
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, folder, "documents"))

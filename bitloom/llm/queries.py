@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import line_dedup, packing, sharding, simhash_dedup, token_counts, vector_dedup
+from bitloom.llm import line_dedup, packing, pii, sharding, simhash_dedup, token_counts, vector_dedup
 from bitloom.llm.registry import QUERIES, SQL, query
 from bitloom.sources.tables import read_table
 
@@ -28,6 +28,23 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_personal_data")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(read_table(spark, folder, "documents"))
+    plain = F.filter("spans", lambda s: ~s["disguised"])
+
+    def joined(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    counts = {f"n_{k}": F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.KINDS}
+    return found.select(
+        "doc_id",
+        *(n.alias(name) for name, n in counts.items()),
+        F.sha2(joined(plain), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op7_minimax_shards")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     sharded = sharding.minimax_shards(read_table(spark, folder, "documents"))

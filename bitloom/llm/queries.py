@@ -36,10 +36,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     def joined(spans):
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
-    counts = {f"n_{k}": F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.KINDS}
+    def count(kind):
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *(n.alias(name) for name, n in counts.items()),
+        *(count(kind) for kind in pii.KINDS),
         F.sha2(joined(plain), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import line_dedup, packing, pii, sharding, simhash_dedup, token_counts, vector_dedup
+from bitloom.llm import line_dedup, packing, pii, quality, sharding, simhash_dedup, token_counts, vector_dedup
 from bitloom.llm.registry import QUERIES, SQL, query
 from bitloom.sources.tables import read_table
 
@@ -28,6 +28,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_importance_resampling")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    drawn = quality.resample(docs, read_table(spark, folder, "labels"))
+    return drawn.select("doc.doc_id", "log_weight")
+
+
 @query("op5_personal_data")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.personal_data(read_table(spark, folder, "documents"))

@@ -12,9 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.operators import skew
-from bitloom.sources.stores import stored
-
-__all__ = ["stored", "nested", "in_order", "running_start", "slices", "split_words", "hashed_words", "mix", "shingles", "filled"]
+from bitloom.sources.stores import stored as stored
 
 # Bytes of text that a Python worker works on at once; one longer text is worked on alone.
 SLICE_BYTES = 8_000_000
@@ -113,6 +111,15 @@ def hashed_words(texts: pa.Array, form: Callable[[bytes], bytes] | None = None)
     return hashes[codes] if len(known) else np.zeros(0, np.uint64), bounds
 
 
+# Marks that don't count at a word's ends.
+EDGES = b".,;:!?\"'()[]{}<>*_-|#$%&"
+
+
+def bare(word: bytes) -> bytes:
+    """A word without case (of A-Z) and without marks around it."""
+    return word.lower().strip(EDGES)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers (the splitmix64 finaliser)."""
     # The published constants of the finaliser.

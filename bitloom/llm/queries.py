@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import line_dedup, packing, pii, quality, sharding, simhash_dedup, token_counts, vector_dedup
+from bitloom.llm import decontaminate, license_scan, line_dedup, packing, pii, quality, sharding, simhash_dedup, token_counts, vector_dedup
 from bitloom.llm.registry import QUERIES, SQL, query
 from bitloom.sources.tables import read_table
 
@@ -17,6 +17,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_copies(read_table(spark, folder, "documents"))
 
 
+@query("op2_license_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_notices(read_table(spark, folder, "documents"))
+
+
 @query("op3_line_dedup", line_dedup.SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     left = line_dedup.dedup_lines(read_table(spark, folder, "documents"))
@@ -54,6 +59,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_benchmark_leaks")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return decontaminate.leaks(docs, read_table(spark, folder, "benchmark")).drop("digest")
+
+
 @query("op7_minimax_shards")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     sharded = sharding.minimax_shards(read_table(spark, folder, "documents"))

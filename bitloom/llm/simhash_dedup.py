@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import stored
+from bitloom.llm.common import nested, stored
 from bitloom.llm.components import components
 
 # The seed of the shingle hash, and the links' greatest distance.
@@ -104,6 +104,12 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionAll(stars).distinct()
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """(fp, root): each distinct fingerprint with the least of its component."""
+    roots = components(links(fps)).select(F.col("node").alias("fp"), "root")
+    return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """Per row: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -117,9 +123,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), k).alias("fp"))
     rows = stored(rows, "simhash-fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(classes.select("fp")).join(classes, "fp")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
@@ -127,3 +131,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """The row of each component of near copies that has the smallest id, with all its columns.
+
+    Components are those of ``near_copies``. Null ids come last; of rows with one id
+    the first in the order of reading stays.
+    """
+    keyed = nested(docs).withColumn("fp", fingerprints(F.col(f"doc.{text_col}"), k))
+    keyed = stored(keyed.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    rows = keyed.select(F.col(f"doc.{id_col}").alias("id"), "row", "fp")
+    classes = stored(rows.groupBy("fp").agg(F.min(place).alias("first")), "simhash-classes")
+    rooted = _rooted(classes.select("fp")).join(classes, "fp")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return keyed.join(kept, "row", "left_semi").select("doc.*")

@@ -202,7 +202,8 @@ def leaks(
     as do null texts. Rows that repeat an id and a text give one row. Other columns
     are not carried; an empty table on either side gives no rows.
     """
-    items = stored(_items(benchmark, item_col, item_text_col), "leaks-items")
+    items = _items(benchmark, item_col, item_text_col).withColumn("index", F.monotonically_increasing_id())
+    items = stored(items, "leaks-items")
     widest = items.agg(F.max("n")).first()[0] or 0
     scanned = _stretches(docs, _bit_map(items), max(widest, K), id_col, text_col)
     stretches = stored(scanned.withColumn("stretch", F.monotonically_increasing_id()), "leaks-stretches")
@@ -210,11 +211,11 @@ def leaks(
     sizes = items.select("n", F.explode(F.array_distinct("runs")).alias("runs")).distinct()
     asked = hits.join(sizes, "runs").groupBy("stretch").agg(F.collect_set(F.struct("n", F.col("places").alias("place"))).alias("asked"))
     windows = _windows(stretches.select("stretch", "words").join(asked, "stretch"))
-    index = _blocks(items.select("item", "n", F.col("fp"))).withColumnRenamed("fp", "item_fp")
-    near = _blocks(windows).join(index, ["n", "block", "value"])
+    blocks = _blocks(items.select("index", "n", "fp")).withColumnRenamed("fp", "item_fp")
+    near = _blocks(windows).join(blocks, ["n", "block", "value"])
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("stretch", "start", "n", "item").distinct()
-    found = near.join(items.select("item", "runs"), "item").join(stretches.select("stretch", "id", "digest", "first", "words"), "stretch")
+    near = near.select("stretch", "start", "n", "index").distinct()
+    found = near.join(items.select("index", "item", "runs"), "index").join(stretches.select("stretch", "id", "digest", "first", "words"), "stretch")
     at = F.struct("id", "digest", (F.col("first") + F.col("start")).alias("start"), F.least("n", F.size("words")).alias("n_words"))
     found = found.select(at.alias("at"), "item", F.slice("words", F.col("start") + 1, F.col("n")).alias("words"), "runs")
     verified = _similar(found).where(F.col("similarity") >= similarity)

@@ -147,8 +147,8 @@ def license_notices(
     carried; an empty table on either side gives no rows.
     """
     texts = notices(docs.sparkSession) if texts is None else texts.select("license", F.col("text").cast("string"))
-    templates = stored(_templates(texts), "license-templates")
-    bands = templates.select("license", "s", F.posexplode("values").alias("band", "value"))
+    templates = stored(_templates(texts).withColumn("notice", F.monotonically_increasing_id()), "license-templates")
+    bands = templates.select("notice", "s", F.posexplode("values").alias("band", "value"))
     classes = [r["s"] for r in templates.select("s").distinct().orderBy("s").collect()]
     if not classes:
         return docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("start")).limit(0)
@@ -156,9 +156,9 @@ def license_notices(
     windows = stored(found.withColumn("window", F.monotonically_increasing_id()), "license-windows")
     keys = windows.select("window", "s", F.explode(F.arrays_zip("bands", "values")).alias("key"))
     keys = keys.select("window", "s", F.col("key.bands").alias("band"), F.col("key.values").alias("value"))
-    pairs = keys.join(bands, ["s", "band", "value"]).select("window", "license").distinct()
+    pairs = keys.join(bands, ["s", "band", "value"]).select("window", "notice").distinct()
     both = pairs.join(windows.select("window", "id", "start", "runs"), "window").join(
-        templates.select("license", F.col("runs").alias("wanted")), "license"
+        templates.select("notice", "license", F.col("runs").alias("wanted")), "notice"
     )
     share = F.size(F.array_intersect("runs", "wanted")) / F.size("wanted")
     held = both.withColumn("containment", share).where(F.col("containment") >= containment)

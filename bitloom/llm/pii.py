@@ -107,7 +107,7 @@ _SPELLED = re.compile(rf"(?i:(?<![^\W_])(?:plus{_GAP})?{_NAME}(?:{_GAP}(?:{_POIN
 _TOKEN = re.compile(r"[^\W\d_]+")
 _BRACKET = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:(?P<at>(?i:{_WORD_AT})|@)|(?i:{_POINT})|\.)\s{{0,3}}[\])}}>]\s{{0,3}}")
 _BARE = re.compile(
-    rf"(?i:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?P<at>\s{{1,3}}{_WORD_AT}\s{{1,3}})"
+    rf"(?i:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?P<at>\s{{1,3}}{_WORD_AT}\s{{1,3}}|@)"
     rf"(?!{_PROSE})[A-Za-z0-9-]{{1,63}}(?P<dots>(?:\s{{1,3}}{_POINT}\s{{1,3}}[A-Za-z0-9-]{{1,63}})*\s{{1,3}}{_POINT}\s{{1,3}}[A-Za-z]{{2,24}})(?![A-Za-z0-9-]))"
 )
 _POINTS, _ATS = {"dot", "point", "punto", "punkt"}, {"at", "arroba"}
@@ -186,10 +186,11 @@ def rewrite(text: str) -> Rewritten | None:
         out.apply([e for m in _SPELLED.finditer(out.text) for e in _spelled(m)])
     if any(c in out.text for c in "[({<"):
         out.apply([(*m.span(), "@" if m["at"] else ".") for m in _BRACKET.finditer(out.text)])
-    if not words.isdisjoint(_POINTS) and not words.isdisjoint(_ATS):
+    if not words.isdisjoint(_POINTS) and ("@" in out.text or not words.isdisjoint(_ATS)):
         bare = []
         for m in _BARE.finditer(out.text):
-            bare.append((*m.span("at"), "@"))
+            if m["at"] != "@":
+                bare.append((*m.span("at"), "@"))
             bare += [(*p.span(), ".") for p in _BARE_POINT.finditer(out.text, *m.span("dots"))]
         out.apply(bare)
     return out if out.text != text else None
@@ -202,8 +203,10 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     out = rewrite(text)
     if out is not None:
         for kind, a, b in plain(out.text):
-            if any(out.changed[a:b]):
-                found.setdefault((kind, out.start[a], out.end[b - 1]), True)
+            start, end = out.start[a], out.end[b - 1]
+            # A span of another length holds characters that were left out.
+            if end - start != b - a or any(out.changed[a:b]):
+                found.setdefault((kind, start, end), True)
     ordered = sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return [(*s, found[s]) for s in ordered]
 

@@ -61,6 +61,11 @@ def build(sketches: Sketches, prefix: str = "b") -> DataFrame:
     )
 
 
+def copy(entities: DataFrame) -> DataFrame:
+    """The same entities once more: id, dataset, gradient and operation are kept."""
+    return entities.select("*")
+
+
 def negate(entities: DataFrame) -> DataFrame:
     """The same entities with the gradient's sign turned."""
     return entities.withColumn("grad", -F.col("grad"))

@@ -13,6 +13,7 @@ from bitloom.functions import hashing
 from bitloom.operators import similarity as sim
 from bitloom.operators import skew, sketch
 from bitloom.operators.sketch import Sketches
+from bitloom.session import checkpointed
 
 
 def nodes(sketches: Sketches, labels: DataFrame, status: str = "b") -> DataFrame:
@@ -101,6 +102,11 @@ def attach_ends(
     return out
 
 
+def find_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Nodes by ``(status, sha1)``; ``wanted`` may list one more than once."""
+    return nodes.join(wanted.select("status", "sha1").distinct(), ["status", "sha1"], "left_semi")
+
+
 def find_edges(edges: DataFrame, wanted: DataFrame, status: str, **skew_options) -> DataFrame:
     """Edges of one status by ``(source, target)``; ``wanted`` lists each pair once."""
     live = edges.where(F.col("status") == status)
@@ -134,20 +140,26 @@ def equal_rows(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return l.join(r, key).select(*key, F.col("l").eqNullSafe(F.col("r")).alias("is_equal"))
 
 
-def regenerate(base: Sketches, edges: DataFrame, depth: int) -> Sketches:
+def regenerate(base: Sketches, edges: DataFrame, ids: DataFrame | None = None) -> Sketches:
     """Sketches of derived nodes, recomputed from their arguments along the edges.
 
-    ``base`` is keyed by sha1. Each of ``depth`` rounds makes the nodes whose
-    arguments are all known, by one join and one aggregate, so only the depth of
-    the lineage is looped over.
+    ``base`` is keyed by sha1. ``ids`` lists the base nodes as ``set_id``; without
+    it they are the arguments that no edge leads to. They are known whether or not
+    their sketch has rows, as an empty sketch has none. Each round makes the nodes
+    whose arguments are all known, by one join and one aggregate, until every node
+    is made. A node that can never be made, for an unknown argument or a circle of
+    edges, raises an error.
     """
     known, made = base, []
-    arity = edges.groupBy("target").agg(F.count("*").alias("n_args"))
     todo = edges.select("source", "target", "r_type", F.col("props")["pos"].alias("pos"))
-    for _ in range(depth):
-        have = known.rows.select(F.col("set_id").alias("source")).distinct()
-        ready = todo.join(have, "source", "left_semi").groupBy("target").agg(F.count("*").alias("n_known"))
-        ready = ready.join(arity, "target").where("n_known = n_args").select("target")
+    arity = edges.groupBy("target").agg(F.count("*").alias("n_args"))
+    leaves = edges.join(edges.select(F.col("target").alias("source")), "source", "left_anti").select("source")
+    done = checkpointed((leaves if ids is None else ids.select(F.col("set_id").alias("source"))).distinct())
+    while not todo.isEmpty():
+        ready = todo.join(done, "source", "left_semi").groupBy("target").agg(F.count("*").alias("n_known"))
+        ready = checkpointed(ready.join(arity, "target").where("n_known = n_args").select("target"))
+        if ready.isEmpty():
+            raise ValueError("no further node has all its arguments: some are unknown or the edges run in a circle")
         word, first = F.col("word"), F.col("pos") == "0"
         per_bin = (
             sketch.meet(todo.join(ready, "target", "left_semi"), known, on="source")
@@ -170,9 +182,10 @@ def regenerate(base: Sketches, edges: DataFrame, depth: int) -> Sketches:
         )
         level = level.once()
         made.append(level)
-        todo = todo.join(ready, "target", "left_anti")
+        todo = checkpointed(todo.join(ready, "target", "left_anti"))
+        done = done.unionByName(ready.withColumnRenamed("target", "source"))
         known = sketch.concat(known, level)
-    return sketch.concat(*made)
+    return sketch.concat(*made) if made else base.with_rows(base.rows.limit(0))
 
 
 def props_map(props: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.functions import hashing
+from bitloom.functions import hashing, text
 from bitloom.operators import skew
-from bitloom.operators.sketch import Sketches, dump_dense
+from bitloom.operators.sketch import Sketches
 from bitloom.session import checkpointed
 
 
@@ -25,13 +24,12 @@ def label_filter(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame
 
 
 def word_filter(df: DataFrame, column: str, word: str) -> DataFrame:
-    """Rows whose text has a word, between non-letters."""
-    edge = "[^a-z]"
-    return df.where(F.col(column).rlike(f"(^|{edge}){re.escape(word)}($|{edge})"))
+    """Rows whose text has a word, as the tokenizer splits it and in any case."""
+    return df.where(F.array_contains(text.words(F.col(column)), word.lower()))
 
 
-# Scores of one query against a batch, lower is nearer. Rows are dense vectors or
-# dense register words; each row is reduced on its own, so equal rows score equally.
+# Scores of one query against a batch, lower is nearer. Each row is reduced on its
+# own, so equal rows score equally.
 def _vector_scores(batch: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         return np.sqrt(((batch - query) ** 2).sum(axis=1))
@@ -42,111 +40,91 @@ def _vector_scores(batch: np.ndarray, query: np.ndarray, metric: str) -> np.ndar
     return 1.0 - np.divide(inner, norms, out=np.zeros_like(inner), where=norms != 0)
 
 
-def _register_scores(batch: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
-    shared = np.bitwise_count(batch & query).sum(axis=1, dtype=np.int64).astype(float)
-    if metric == "ip":
-        return -shared
-    mine = np.bitwise_count(batch).sum(axis=1, dtype=np.int64).astype(float)
-    asked = float(np.bitwise_count(query).sum(dtype=np.int64))
-    if metric == "l2":
-        return np.sqrt(mine + asked - 2 * shared)
-    norms = np.sqrt(mine * asked)
-    return 1.0 - np.divide(shared, norms, out=np.zeros_like(shared), where=norms != 0)
+# Numbers that one block of vectors holds at most, and so a task at a time.
+BLOCK_NUMBERS = 1 << 22
 
 
-_SLICE_CELLS = 1 << 22
-_SCORERS = {"vector": (_vector_scores, np.float64), "register": (_register_scores, np.int64)}
+def _best_of_batch(pdf: pd.DataFrame, asked: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    out = []
+    ids = pdf["id"].to_numpy()
+    batch = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
+    for query_id, query in zip(asked["id"], asked["vec"]):
+        scores = _vector_scores(batch, np.asarray(query, dtype=np.float64), metric) + 0.0
+        best = np.lexsort((ids, scores))[:k]
+        out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": scores[best]}))
+    return pd.concat(out, ignore_index=True)
 
 
-def _best_of_batch(pdf: pd.DataFrame, query_ids, queries: np.ndarray, k: int, metric: str, kind: str, digits: int):
-    score, dtype = _SCORERS[kind]
-    out = []
-    # Slices keep the dense working copy small however long the vectors are.
-    step = max(1, _SLICE_CELLS // max(1, queries.shape[1]))
-    for start in range(0, len(pdf), step):
-        part = pdf.iloc[start : start + step]
-        ids = part["id"].to_numpy()
-        batch = np.stack([np.asarray(v, dtype=dtype) for v in part["vec"]])
-        for query_id, query in zip(query_ids, queries):
-            scores = np.round(score(batch, query, metric), digits) + 0.0
-            best = np.lexsort((ids, scores))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": scores[best]}))
-    return _first_k(pd.concat(out, ignore_index=True), k)
+def _blocks(df: DataFrame, block_numbers: int) -> int:
+    """How many blocks of bounded size the vectors make."""
+    n, width = df.agg(F.count("*"), F.max(F.size("vec"))).first()
+    return max(1, -(-n // max(1, block_numbers // max(1, width or 1))))
 
 
-def _first_k(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    return found.sort_values(["score", "id"], kind="stable").groupby("query_id", sort=False).head(k)
+def _check_metric(metric: str) -> None:
+    if metric not in ("l2", "ip", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}; use l2, ip or cosine")
+
+
+def _ranked(best: DataFrame, k: int, digits: int) -> DataFrame:
+    """The k first by the whole score, which is rounded only to be shown."""
+    ranked = skew.top_k(best, "query_id", ["score", "id"], k, ["id"])
+    return ranked.withColumn("score", F.round("score", digits))
 
 
 def nearest(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int,
-    metric: str = "l2",
-    kind: str = "vector",
-    digits: int = 6,
-    max_queries: int = 1024,
-    chunk_rows: int = 50_000,
+    corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", digits: int = 6, block_numbers: int = BLOCK_NUMBERS
 ) -> DataFrame:
     """The ``k`` nearest corpus rows of each query: ``(query_id, id, score, rank)``.
 
-    ``corpus`` and ``queries`` have ``(id, vec)``; ties go to the smaller id. The
-    number of queries is looked at first. Up to ``max_queries`` travel to the tasks
-    and the corpus stays where it is: every task keeps its own k best, so only k
-    rows per query and task are shuffled. More queries than that are met
-    with the corpus in bounded blocks, with the same result.
+    ``corpus`` and ``queries`` have ``(id, vec)``; ties go to the smaller id. Both
+    are dealt into blocks of at most ``block_numbers`` numbers, and every block of
+    queries meets every block of the corpus in a task of its own, which keeps k
+    rows for each query. Only the numbers of rows reach the driver.
     """
-    if metric not in ("l2", "ip", "cosine"):
-        raise ValueError(f"unknown metric {metric!r}; use l2, ip or cosine")
-    dtype = _SCORERS[kind][1]
+    _check_metric(metric)
     id_type, query_type = corpus.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
     schema = f"query_id {query_type}, id {id_type}, score double"
     corpus, queries = corpus.select("id", "vec"), queries.select("id", "vec")
+    chunks, blocks = _blocks(corpus, block_numbers), _blocks(queries, block_numbers)
+    # Small tables are dealt to a few tasks more, so that the cores share them.
+    chunks = max(chunks, corpus.sparkSession.sparkContext.defaultParallelism)
+
+    def numbers(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    rows = corpus.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("block", numbers(blocks))
+    asks = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("chunk", numbers(chunks))
+
+    def per_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        return _best_of_batch(left, right, k, metric)
+
+    best = rows.groupBy("block", "chunk").cogroup(asks.groupBy("block", "chunk")).applyInPandas(per_block, schema)
+    return _ranked(best, k, digits)
 
-    head = queries.limit(max_queries + 1).collect()
-    if not head:
-        best = corpus.limit(0).select(F.lit(None).cast(query_type).alias("query_id"), "id", F.lit(0.0).alias("score"))
-    elif len(head) <= max_queries:
-        ids = [r["id"] for r in head]
-        asked = np.stack([np.asarray(r["vec"], dtype=dtype) for r in head])
-
-        def per_partition(batches):
-            best = None
-            for pdf in batches:
-                if len(pdf):
-                    found = _best_of_batch(pdf, ids, asked, k, metric, kind, digits)
-                    best = found if best is None else _first_k(pd.concat([best, found], ignore_index=True), k)
-            if best is not None:
-                yield best
-
-        best = corpus.mapInPandas(per_partition, schema)
-    else:
-        blocks = -(-queries.count() // max_queries)
-        chunks = max(1, -(-corpus.count() // chunk_rows))
-
-        def numbers(n):
-            return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-        rows = corpus.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("block", numbers(blocks))
-        asks = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("chunk", numbers(chunks))
-
-        def per_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "id": [], "score": []})
-            asked = np.stack([np.asarray(v, dtype=dtype) for v in right["vec"]])
-            return _best_of_batch(left, right["id"].to_numpy(), asked, k, metric, kind, digits)
-
-        best = (
-            rows.groupBy("block", "chunk").cogroup(asks.groupBy("block", "chunk")).applyInPandas(per_block, schema)
-        )
-    return skew.top_k(best, "query_id", ["score", "id"], k, ["id"])
-
-
-def nearest_sketches(corpus: Sketches, queries: Sketches, k: int, metric: str = "cosine", **options) -> DataFrame:
-    """The same over sketches, compared by the bits they share."""
+
+def nearest_sketches(corpus: Sketches, queries: Sketches, k: int, metric: str = "cosine", digits: int = 6) -> DataFrame:
+    """The same over sketches, compared by the bits they share.
+
+    Registers meet in an equality join on their number; what sets share is summed
+    on the map side, so the task of a register sends one row per pair that has it.
+    """
+    _check_metric(metric)
     corpus.same_p(queries)
-    dense = [dump_dense(s).select(F.col("set_id").alias("id"), F.col("words").alias("vec")) for s in (corpus, queries)]
-    return nearest(dense[0], dense[1], k, metric, kind="register", **options)
+    mine = corpus.rows.select(F.col("set_id").alias("id"), "bin", F.col("word").alias("w"))
+    asked = queries.rows.select(F.col("set_id").alias("query_id"), "bin", F.col("word").alias("q"))
+    shared = mine.join(asked, "bin").groupBy("query_id", "id").agg(
+        F.sum(F.bit_count(F.col("w").bitwiseAND(F.col("q")))).cast("double").alias("shared")
+    )
+    bits = F.sum(F.bit_count("word")).cast("double")
+    sizes = corpus.rows.groupBy(F.col("set_id").alias("id")).agg(bits.alias("n"))
+    wanted = queries.rows.groupBy(F.col("set_id").alias("query_id")).agg(bits.alias("m"))
+    n, m, both = F.col("n"), F.col("m"), F.col("shared")
+    score = {"ip": -both, "l2": F.sqrt(n + m - 2 * both), "cosine": 1 - both / F.sqrt(n * m)}[metric]
+    found = shared.join(sizes, "id").join(wanted, "query_id").select("query_id", "id", score.alias("score"))
+    return _ranked(found, k, digits)
 
 
 def nearest_approx(
@@ -168,8 +146,8 @@ def nearest_approx(
     )
     model = lsh.fit(vectors_of(corpus))
     met = model.approxSimilarityJoin(vectors_of(corpus), vectors_of(queries), float("inf"), distCol="score")
-    found = met.select(F.col("datasetB.id").alias("query_id"), F.col("datasetA.id").alias("id"), F.round("score", 6).alias("score"))
-    return skew.top_k(found, "query_id", ["score", "id"], k, ["id"])
+    found = met.select(F.col("datasetB.id").alias("query_id"), F.col("datasetA.id").alias("id"), F.col("score"))
+    return _ranked(found, k, 6)
 
 
 def ngrams(df: DataFrame, key: str, order: str, value: str, n: int, bucket_rows: int = 4096) -> DataFrame:
@@ -177,18 +155,22 @@ def ngrams(df: DataFrame, key: str, order: str, value: str, n: int, bucket_rows:
 
     A key of any length is cut into blocks of ``bucket_rows`` positions, each with
     the first n - 1 rows of the next block appended, so no task sorts a whole key.
+    ``order`` may be of any type that sorts; a missing value is an item like others.
     """
     if not 1 <= n <= bucket_rows:
         raise ValueError(f"n must be in 1..{bucket_rows}, got {n}")
     coarse = df.select(key, F.col(order).alias("_o"), F.col(value).alias("_v"))
-    coarse = coarse.withColumn("_bucket", F.floor(F.col("_o") / bucket_rows))
+    # Ranges of the order hold bounded runs of a key; written, so that they stay the same.
+    coarse = checkpointed(coarse.repartitionByRange(key, "_o").withColumn("_bucket", F.spark_partition_id()))
     placed = skew.positions(coarse, [key], "_bucket", [F.col("_o")])
     block = F.floor(F.col("pos") / bucket_rows)
     lent = (block > 0) & (F.col("pos") % bucket_rows < n - 1)
     copies = F.explode(F.when(lent, F.array(block, block - 1)).otherwise(F.array(block)))
     rows = placed.select(key, "pos", "_v", copies.alias("_block"))
     ahead = Window.partitionBy(key, "_block").orderBy("pos").rowsBetween(0, n - 1)
-    windows = rows.withColumn("items", F.collect_list("_v").over(ahead))
+    # Collected in structs, as a bare null would be left out.
+    held = F.collect_list(F.struct("_v")).over(ahead)
+    windows = rows.withColumn("items", F.transform(held, lambda x: x["_v"]))
     own = F.floor(F.col("pos") / bucket_rows) == F.col("_block")
     return windows.where(own & (F.size("items") == n)).select(key, "pos", "items")
 

@@ -290,3 +290,27 @@ def intersect_estimate(tokens: DataFrame, set_id: Column, token: Column, pairs:
         count(F.theta_difference("ta", "tb")).alias("n_comp"),
         count(F.theta_union("ta", "tb", lg_k)).alias("n_union"),
     )
+
+
+def intersect_exact(tokens: DataFrame, set_id: Column, token: Column, pairs: DataFrame) -> DataFrame:
+    """Real sizes of the intersection, the difference and the union of each pair's token sets.
+
+    The sets of a token are counted as one pattern, so only distinct patterns meet
+    the pairs, however many tokens have them.
+    """
+    rows = tokens.select(set_id.alias("set_id"), token.alias("token")).distinct()
+    patterns = rows.groupBy("token").agg(F.array_sort(F.collect_set("set_id")).alias("sets"))
+    patterns = patterns.groupBy("sets").agg(F.count("*").alias("n"))
+    # One row for each pattern and set, and so few however many tokens there are.
+    held = patterns.select("sets", "n", F.explode("sets").alias("set_id"))
+    sizes = held.groupBy("set_id").agg(F.sum("n").alias("size"))
+    met = pairs.join(held.withColumnRenamed("set_id", "set_a"), "set_a").where(F.array_contains("sets", F.col("set_b")))
+    met = met.groupBy(*PAIR).agg(F.sum("n").alias("n_intersect"))
+    a, b = (sizes.select(F.col("set_id").alias(c), F.col("size").alias(f"size_{c}")) for c in PAIR)
+    joined = pairs.join(met, PAIR, "left").join(a, "set_a").join(b, "set_b").na.fill(0, ["n_intersect"])
+    return joined.select(
+        *PAIR,
+        "n_intersect",
+        (F.col("size_set_a") - F.col("n_intersect")).alias("n_comp"),
+        (F.col("size_set_a") + F.col("size_set_b") - F.col("n_intersect")).alias("n_union"),
+    )

@@ -48,27 +48,32 @@ def across(
 
 
 def pivot_longer(df: DataFrame, columns: Sequence[str] | None = None, ids: Sequence[str] = ()) -> DataFrame:
-    """Columns to rows ``(variable, value)``; values as text, missing values dropped."""
+    """Columns to rows ``(variable, value)``; values as text, missing values kept."""
     columns = list(columns or [c for c in df.columns if c not in ids])
     as_text = df.select(*ids, *(F.col(c).cast("string").alias(c) for c in columns))
-    return as_text.unpivot(list(ids), columns, "variable", "value").where("value IS NOT NULL")
+    return as_text.unpivot(list(ids), columns, "variable", "value")
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: type, non-null count, distinct count, least and greatest value as text.
 
-    Values are counted per (column, value) first, so a frequent value combines
-    on the map side.
+    Values are compared in the column's own type and shown as text afterwards. All
+    columns come out of one aggregate; ``exact=False`` estimates distinct counts,
+    so that no value is shuffled.
     """
-    kinds = F.create_map(*(F.lit(x) for name, kind in df.dtypes for x in (name, kind)))
-    counted = pivot_longer(df).groupBy("variable", "value").agg(F.count("*").alias("n"))
-    profile = counted.groupBy("variable").agg(
-        F.sum("n").alias("n_values"),
-        F.count("*").alias("n_distinct"),
-        F.min("value").alias("least"),
-        F.max("value").alias("greatest"),
-    )
-    return profile.select("variable", kinds[F.col("variable")].alias("type"), "n_values", "n_distinct", "least", "greatest")
+    distinct = F.count_distinct if exact else F.approx_count_distinct
+    facts = [
+        F.struct(
+            F.lit(name).alias("variable"),
+            F.lit(kind).alias("type"),
+            F.count(F.col(name)).alias("n_values"),
+            distinct(F.col(name)).alias("n_distinct"),
+            F.min(F.col(name)).cast("string").alias("least"),
+            F.max(F.col(name)).cast("string").alias("greatest"),
+        )
+        for name, kind in df.dtypes
+    ]
+    return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
 
 
 def case_of(cases: Sequence[tuple[Column, str]], default: str) -> Column:

@@ -39,15 +39,21 @@ def commit(log: DataFrame, branch: str, data: DataFrame, snapshot_id: str, messa
 def checkout(log: DataFrame, snapshots: DataFrame, branch: str, n: int, current: DataFrame) -> DataFrame:
     """State of the n-th commit (from 1); the current state if there is no such commit."""
     wanted = log.where((F.col("branch") == branch) & (F.col("seq") == n)).select("snapshot_id")
-    if wanted.isEmpty():
-        return current.select("key", "value")
-    return snapshots.join(wanted, "snapshot_id", "left_semi").select("key", "value")
+    missing = wanted.agg((F.count("*") == 0).alias("missing")).scalar()
+    state = snapshots.join(wanted, "snapshot_id", "left_semi").select("key", "value")
+    return state.unionByName(current.select("key", "value").where(missing))
 
 
 def create_branch(log: DataFrame, source: str, name: str) -> DataFrame:
-    """The log with the commits of one branch also listed under another name."""
+    """The log with the commits of one branch also listed under another name.
+
+    A branch of that name is replaced; a branch copied to its own name stays as it is.
+    """
+    if source == name:
+        return log.select(*LOG)
     copied = log.where(F.col("branch") == source).withColumn("branch", F.lit(name))
-    return log.select(*LOG).unionByName(copied.select(*LOG))
+    others = log.where(~F.col("branch").eqNullSafe(F.lit(name)))
+    return others.select(*LOG).unionByName(copied.select(*LOG))
 
 
 def merge_branch(log: DataFrame, into: str, other: str) -> DataFrame:

@@ -257,10 +257,18 @@ def set_laws(spark, folder):
     ab AS (SELECT a.lang AS set_a, b.lang AS set_b, count(*) AS n_ab FROM t a JOIN t b
       ON a.token = b.token AND a.lang < b.lang GROUP BY 1, 2)
     SELECT set_a, set_b, coalesce(n_ab, 0)::BIGINT AS n_intersect, (na.n - coalesce(n_ab, 0))::BIGINT AS n_comp,
-      (na.n + nb.n - coalesce(n_ab, 0))::BIGINT AS n_union
+      (na.n + nb.n - coalesce(n_ab, 0))::BIGINT AS n_union, true AS within
     FROM prs LEFT JOIN ab USING (set_a, set_b) JOIN n na ON na.lang = set_a JOIN n nb ON nb.lang = set_b""",
 )
 def sketch_intersect_est(spark, folder):
-    # Up to 2^17 distinct tokens per set the theta sketches are exact, beyond that estimates.
+    """Exact sizes by a join, and whether all estimates lie within five standard errors of the union."""
     words = doc_words(spark, folder, "lang")
-    return sim.intersect_estimate(words, F.col("lang"), F.col("token"), lang_pairs(spark, folder), lg_k=17)
+    pairs = lang_pairs(spark, folder)
+    exact = sim.intersect_exact(words, F.col("lang"), F.col("token"), pairs)
+    guess = sim.intersect_estimate(words, F.col("lang"), F.col("token"), pairs, lg_k=12)
+    sizes = ["n_intersect", "n_comp", "n_union"]
+    guess = guess.withColumnsRenamed({c: f"est_{c}" for c in sizes})
+    error = 5 * F.col("n_union") / float(1 << 6)
+    within = [F.abs(F.col(f"est_{c}") - F.col(c)) <= error for c in sizes]
+    both = exact.join(guess, ["set_a", "set_b"])
+    return both.select("set_a", "set_b", *sizes, (within[0] & within[1] & within[2]).alias("within"))

@@ -75,8 +75,7 @@ def entity_build(spark, folder):
     lambda: results_sql(LANG, "retained").replace("SELECT * REPLACE", "SELECT 'copy' AS made_by, * REPLACE"),
 )
 def entity_copy(spark, folder):
-    copies = on_langs(spark, folder, "retained").select(F.lit("copy").alias("made_by"), "*")
-    return shown(copies)
+    return shown(entity.copy(on_langs(spark, folder, "retained"))).select(F.lit("copy").alias("made_by"), "*")
 
 
 @query(

@@ -175,6 +175,7 @@ def column_id(spark, folder):
     from bitloom.operators import tokens, verbs
 
     long = verbs.pivot_longer(read_table(spark, folder, "customer").select("c_name", "c_mktsegment", "c_acctbal"))
+    long = long.where("value IS NOT NULL")
     counted = long.groupBy(F.col("variable").alias("column_name")).agg(F.count("*").alias("n_values"))
     return counted.withColumn("column_id", tokens.column_id(F.lit("customer"), F.col("column_name")))
 
@@ -203,8 +204,9 @@ def node_lookup(spark, folder):
     sizes = docs.groupBy("source").agg(F.sum("n_chars").alias("n"))
     mean = sizes.agg((F.sum("n").cast("double") / F.count("*")).alias("m")).scalar()
     big = sizes.where(F.col("n") > mean).select(F.col("source").alias("set_id"))
-    nodes = source_nodes(spark, folder).where("status = 'b'")
-    return shown(nodes.join(big, "set_id", "left_semi").select("status", "sha1", "labels"))
+    nodes = source_nodes(spark, folder)
+    wanted = nodes.join(big, "set_id", "left_semi").select(F.lit("b").alias("status"), "sha1")
+    return shown(graph.find_nodes(nodes, wanted).select("status", "sha1", "labels"))
 
 
 @query(
@@ -366,4 +368,4 @@ def lineage_regen(spark, folder):
         F.create_map(F.lit("pos"), "pos").alias("props"),
     )
     edges = checkpointed(first.unionByName(second))
-    return graph.regenerate(base, edges, depth=2).rows
+    return graph.regenerate(base, edges).rows

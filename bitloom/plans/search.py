@@ -29,8 +29,8 @@ def knn_sql(score: str, k: int) -> str:
     m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2),
     q AS (SELECT label AS query_id, list(x ORDER BY i) AS v FROM m GROUP BY 1),
     c AS (SELECT vec_id AS id, list_transform(embedding, lambda e: e::DOUBLE) AS w FROM embeddings),
-    s AS (SELECT query_id, id, round({score}, 6) AS score FROM q, c)
-    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, id)::INT AS rank FROM s
+    s AS (SELECT query_id, id, {score} AS score FROM q, c)
+    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score, id)::INT AS rank FROM s
     QUALIFY rank <= {k}"""
 
 
@@ -59,9 +59,9 @@ KNN_SK = (
 
 
 def knn_sketch_sql(score: str) -> str:
-    return f"""WITH {KNN_SK}, s AS (SELECT query_id, id, round({score}, 6) AS score
+    return f"""WITH {KNN_SK}, s AS (SELECT query_id, id, {score} AS score
       FROM sh JOIN nb ON nb.set_id = id JOIN nq ON nq.set_id = query_id)
-    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, id)::INT AS rank FROM s
+    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score, id)::INT AS rank FROM s
     QUALIFY rank <= 10"""
 
 

@@ -20,6 +20,18 @@ def csv_scan_select(spark, folder):
     return files.read_csv(spark, path, customer.schema, ["c_custkey", "c_name", "c_acctbal"])
 
 
+@query("csv_texts", "SELECT doc_id, text, lang FROM documents UNION ALL SELECT -item_id - 1, '', NULL FROM benchmark")
+def csv_texts(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    gaps = read_table(spark, folder, "benchmark").select(
+        (-F.col("item_id") - 1).alias("doc_id"), F.lit("").alias("text"), F.lit(None).cast("string").alias("lang")
+    )
+    both = docs.unionByName(gaps)
+    path = files.new_folder(spark, "texts-csv")
+    files.write_csv(both, path)
+    return files.read_csv(spark, path, both.schema, ["doc_id", "text", "lang"])
+
+
 @query(
     "csv_write",
     """SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS n_customers

@@ -20,9 +20,15 @@ def doc_postings(spark, folder, ref="source", n_bytes=2):
     return tokens.postings(rows, distinct=True)
 
 
+_STORED = {}
+
+
 def doc_index(spark, folder):
-    """The documents' index, written once; searches scan what is stored."""
-    return stored(tokens.index_batch(doc_postings(spark, folder)), "index")
+    """The documents' index, written once for each version of the table; searches scan what is stored."""
+    version = (spark.sparkContext.applicationId, *sorted(read_table(spark, folder, "documents").inputFiles()))
+    if version not in _STORED:
+        _STORED[version] = stored(tokens.index_batch(doc_postings(spark, folder)), "index")
+    return _STORED[version]
 
 
 POST = (
@@ -46,11 +52,11 @@ def token_index_batch(spark, folder):
 
 @query(
     "token_index_refs",
-    f"""WITH {POST} SELECT id, {COORD}, {LISTS}, count(DISTINCT ref) - 1 AS tf, count(DISTINCT ref) AS df
-    FROM post GROUP BY id""",
+    f"""WITH {POST.replace('WHERE strlen(token) > 2', '')} SELECT id, {COORD}, {LISTS},
+      count(DISTINCT ref) - 1 AS tf, count(DISTINCT ref) AS df FROM post GROUP BY id""",
 )
 def token_index_refs(spark, folder):
-    return shown(tokens.index_refs(doc_postings(spark, folder)))
+    return shown(tokens.index_refs(doc_postings(spark, folder, n_bytes=0)))
 
 
 @query(
@@ -146,7 +152,7 @@ def query_sketch(spark, folder):
     "label_filter",
     f"""WITH {IX}, l AS (SELECT source, list_sort(list(DISTINCT lang)) AS labels FROM documents GROUP BY 1)
     SELECT 'label' AS kind, source AS item FROM l WHERE list_contains(labels, 'es') AND list_contains(labels, 'de')
-    UNION ALL SELECT 'text', tokens FROM ix WHERE regexp_matches(tokens, '(^|[^a-z])the($|[^a-z])')""",
+    UNION ALL SELECT 'text', tokens FROM ix WHERE list_contains(string_split(tokens, ','), 'the')""",
 )
 def label_filter(spark, folder):
     from bitloom.operators import search

@@ -152,7 +152,7 @@ def profile_sql() -> str:
     kinds = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
     return " UNION ALL ".join(
         f"SELECT '{c}' AS variable, '{kind}' AS type, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct, "
-        f"min({c}::VARCHAR) AS least, max({c}::VARCHAR) AS greatest FROM customer"
+        f"min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest FROM customer"
         for c, kind in kinds.items()
     )
 
@@ -322,3 +322,14 @@ def set_except(spark, folder):
 )
 def pivot_longer(spark, folder):
     return verbs.pivot_longer(read_table(spark, folder, "part"), ids=["p_partkey"])
+
+
+@query(
+    "pivot_longer_missing",
+    """SELECT doc_id, 'quality' AS variable, quality::VARCHAR AS value FROM documents LEFT JOIN labels USING (doc_id)
+    UNION ALL SELECT doc_id, 'toxic', toxic::VARCHAR FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def pivot_longer_missing(spark, folder):
+    labels = read_table(spark, folder, "labels")
+    rows = read_table(spark, folder, "documents").select("doc_id").join(labels, "doc_id", "left")
+    return verbs.pivot_longer(rows.select("doc_id", "quality", "toxic"), ids=["doc_id"])

@@ -72,6 +72,19 @@ def create_branch(spark, folder):
     return versions.create_branch(log, "main", "trial")
 
 
+@query(
+    "replace_branch",
+    f"""WITH {SNAPSHOTS} SELECT * FROM log
+    UNION ALL SELECT 'trial', seq, 'again ' || message, ts, snapshot_id FROM log
+    UNION ALL SELECT 'draft', seq, 'again ' || message, ts, snapshot_id FROM log""",
+)
+def replace_branch(spark, folder):
+    log, _ = order_history(spark, folder)
+    both = versions.create_branch(log, "main", "trial")
+    draft = log.withColumns({"branch": F.lit("draft"), "message": F.concat(F.lit("again "), "message")})
+    return versions.create_branch(both.unionByName(draft), "draft", "trial")
+
+
 @query(
     "merge_branch",
     f"""WITH {SNAPSHOTS} SELECT * FROM log UNION ALL SELECT 'trial', seq, message, ts, snapshot_id FROM log

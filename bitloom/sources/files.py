@@ -11,19 +11,30 @@ from pyspark.sql import types as T
 from bitloom.session import shared_dir
 
 
+# A quote inside a value is doubled.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path in shared storage that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/bitloom/{label}-{uuid.uuid4().hex}"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str]) -> DataFrame:
-    """Named columns of CSV files with a header; the others are not parsed."""
-    return spark.read.schema(schema).option("header", True).csv(path).select(*columns)
+    """Named columns of CSV files with a header; the others are not parsed.
+
+    Quoted values may hold line breaks, quotes and commas. An empty field without
+    quotes is null, a quoted one is an empty text. Files with line breaks in values
+    cannot be split, so large tables should be many files.
+    """
+    options = CSV | {"multiLine": True, "nullValue": "\0", "emptyValue": ""}
+    return spark.read.schema(schema).options(**options).csv(path).select(*columns)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Write CSV with a header as one file per partition."""
-    (df.select(*columns) if columns else df).write.option("header", True).csv(path)
+    """Write CSV with a header as one file per partition, to be read back by ``read_csv``."""
+    options = CSV | {"nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (df.select(*columns) if columns else df).write.options(**options).csv(path)
 
 
 def dir_manifest(spark: SparkSession, folder: str, extension: str) -> DataFrame:

@@ -79,16 +79,27 @@ def test_regenerate_from_lineage(spark):
             ("a", "u", "union", "0"), ("b", "u", "union", "1"),
             ("u", "k", "comp", "0"), ("c", "k", "comp", "1"),
             ("k", "x", "xor", "0"), ("a", "x", "xor", "1"),
-            ("missing", "never", "union", "0"), ("a", "never", "union", "1"),
+            ("x", "y", "union", "0"), ("u", "y", "union", "1"), ("y", "z", "union", "0"), ("c", "z", "union", "1"),
+            ("empty", "from_empty", "union", "0"), ("a", "from_empty", "union", "1"),
         ],
         edge,
     ).select("source", "target", "r_type", F.create_map(F.lit("pos"), "pos").alias("props"))
-    got = collected(graph.regenerate(sketches, edges, depth=3))
+    got = collected(graph.regenerate(sketches, edges))
     ra, rb, rc = registers(A), registers(B), registers(C)
     u = {b: ra.get(b, 0) | rb.get(b, 0) for b in ra.keys() | rb.keys()}
     k = {b: w & ~rc.get(b, 0) for b, w in u.items()}
     x = {b: k.get(b, 0) ^ ra.get(b, 0) for b in k.keys() | ra.keys()}
-    assert got == {n: {b: w for b, w in s.items() if w} for n, s in {"u": u, "k": k, "x": x}.items()}
+    y = {b: x.get(b, 0) | u.get(b, 0) for b in x.keys() | u.keys()}
+    z = {b: y.get(b, 0) | rc.get(b, 0) for b in y.keys() | rc.keys()}
+    want = {"u": u, "k": k, "x": x, "y": y, "z": z, "from_empty": ra}
+    assert got == {n: {b: w for b, w in s.items() if w} for n, s in want.items()}
+    # An argument that is no base node, and edges in a circle, are errors.
+    ids = spark.createDataFrame([("a",), ("b",), ("c",)], "set_id string")
+    with pytest.raises(ValueError):
+        graph.regenerate(sketches, edges, ids)
+    circle = edges.where("target = 'u'").unionByName(edges.where("source = 'u'").withColumns({"source": F.lit("k"), "target": F.lit("b")}))
+    with pytest.raises(ValueError):
+        graph.regenerate(sketches, circle.unionByName(edges.where("target = 'k'")))
 
 
 def test_attach_ends_splits_hubs(spark):

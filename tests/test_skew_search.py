@@ -66,6 +66,26 @@ def test_ngrams_longer_than_input(spark):
     assert search.ngrams(df, "k", "t", "v", 3).isEmpty()
 
 
+def test_ngrams_keep_missing_values_and_any_order(spark):
+    rows = [("a", "2024-01-03", "z"), ("a", "2024-01-01", None), ("a", "2024-01-02", "y"), ("a", "2024-01-04", None)]
+    df = spark.createDataFrame(rows, "k string, t string, v string")
+    got = {r["pos"]: r["items"] for r in search.ngrams(df, "k", "t", "v", 2).collect()}
+    assert got == {0: [None, "y"], 1: ["y", "z"], 2: ["z", None]}
+
+
+def test_rank_goes_by_the_whole_score(spark):
+    corpus = spark.createDataFrame([(1, [1.0 + 2e-9]), (2, [1.0 + 1e-9])], "id long, vec array<double>")
+    queries = spark.createDataFrame([(0, [1.0])], "id long, vec array<double>")
+    got = search.nearest(corpus, queries, 2).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [2, 1] and [r["score"] for r in got] == [0.0, 0.0]
+
+
+def test_word_filter_goes_by_whole_words_in_any_script(spark):
+    rows = [("the end",), ("The end",), ("éthe",), ("XtheY",), ("a,the.b",), (None,), ("the2",)]
+    got = search.word_filter(spark.createDataFrame(rows, "t string"), "t", "the").collect()
+    assert {r["t"] for r in got} == {"the end", "The end", "a,the.b"}
+
+
 def vectors(spark, n, seed, dim=8):
     rng = np.random.default_rng(seed)
     m = np.round(rng.normal(size=(n, dim)), 3)
@@ -74,11 +94,11 @@ def vectors(spark, n, seed, dim=8):
 
 
 @pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
-@pytest.mark.parametrize("max_queries", [1024, 3])
-def test_nearest_both_ways_against_brute_force(spark, metric, max_queries):
+@pytest.mark.parametrize("block_numbers", [search.BLOCK_NUMBERS, 64])
+def test_nearest_in_any_blocks_against_brute_force(spark, metric, block_numbers):
     corpus, x = vectors(spark, 200, 1)
     queries, q = vectors(spark, 10, 2)
-    got = search.nearest(corpus, queries, 5, metric, max_queries=max_queries, chunk_rows=30).collect()
+    got = search.nearest(corpus, queries, 5, metric, block_numbers=block_numbers).collect()
     found = {(r["query_id"], r["rank"]): r["id"] for r in got}
     for i, v in enumerate(q):
         if metric == "l2":
@@ -87,7 +107,7 @@ def test_nearest_both_ways_against_brute_force(spark, metric, max_queries):
             s = 1 - x @ v
         else:
             s = 1 - (x @ v) / np.sqrt((x**2).sum(1) * (v**2).sum())
-        best = sorted(range(len(x)), key=lambda j: (round(s[j], 6), j))[:5]
+        best = sorted(range(len(x)), key=lambda j: (s[j], j))[:5]
         assert [found[i, r] for r in range(1, 6)] == best
 
 

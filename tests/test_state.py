@@ -197,3 +197,33 @@ def test_streams_and_days_do_not_depend_on_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert notes == dict.fromkeys(names)
+
+
+def test_branch_of_an_existing_name_is_replaced(spark):
+    rows = [("main", 1, "m1"), ("main", 2, "m2"), ("dev", 1, "old")]
+    log = spark.createDataFrame(rows, "branch string, seq long, message string")
+    log = log.withColumns({"ts": F.lit("t"), "snapshot_id": F.lit("s")})
+    got = versions.create_branch(log, "main", "dev").select("branch", "seq", "message").collect()
+    assert sorted(map(tuple, got)) == [("dev", 1, "m1"), ("dev", 2, "m2"), ("main", 1, "m1"), ("main", 2, "m2")]
+    assert versions.create_branch(log, "dev", "dev").count() == 3
+
+
+def test_csv_keeps_any_text(spark, tmp_path):
+    from bitloom.sources import files
+
+    texts = ["a,b", 'say "hi"', "two\nlines", "\r\n", "", None, " lead", "tail ", "#x", "\\", "'", '"', "é\u2028", "\t", "null"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    files.write_csv(df, f"{tmp_path}/x")
+    got = dict(map(tuple, files.read_csv(spark, f"{tmp_path}/x", df.schema, ["id", "t"]).collect()))
+    assert got == dict(enumerate(texts))
+
+
+def test_profile_and_longer_form(spark):
+    from bitloom.operators import verbs
+
+    df = spark.createDataFrame([(9, "b", None), (10, None, 2.5), (None, "a", -1.0)], "i long, s string, d double")
+    want = [("d", "double", 2, 2, "-1.0", "2.5"), ("i", "bigint", 2, 2, "9", "10"), ("s", "string", 2, 2, "a", "b")]
+    assert sorted(map(tuple, verbs.column_profile(df).collect())) == want
+    assert sorted(map(tuple, verbs.column_profile(df, exact=False).collect())) == want
+    long = verbs.pivot_longer(df)
+    assert long.count() == 9 and long.where("value IS NULL").count() == 3

@@ -61,6 +61,16 @@ def build(sketches: Sketches, prefix: str = "b") -> DataFrame:
     )
 
 
+def with_dataset(entities: DataFrame, datasets: DataFrame, key: list[str]) -> DataFrame:
+    """Entities with their ``registers``, an array of (bin, word) of at most 2^p entries.
+
+    An entity without any register has an empty array.
+    """
+    joined = entities.join(datasets.select(*key, "registers"), key, "left")
+    none = F.array().cast(datasets.schema["registers"].dataType)
+    return joined.withColumn("registers", F.coalesce("registers", none))
+
+
 def copy(entities: DataFrame) -> DataFrame:
     """The same entities once more: id, dataset, gradient and operation are kept."""
     return entities.select("*")

@@ -11,6 +11,7 @@ MODULES = (
     "sketches",
     "algebra",
     "entities",
+    "ingest",
     "graphs",
     "search",
     "versions",

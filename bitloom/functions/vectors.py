@@ -30,27 +30,3 @@ def odd_sum(values: Column) -> Column:
 def sqrt_each(values: Column) -> Column:
     """Square root of each element."""
     return F.transform(values, lambda x: F.sqrt(x))
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double precision."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-
-def squared_l2(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance in double precision."""
-    diffs = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
-    return F.aggregate(diffs, F.lit(0.0), lambda s, x: s + x * x)
-
-
-def distance(a: Column, b: Column, metric: str) -> Column:
-    """Score to sort ascending: L2, 1 - inner product, or 1 - cosine."""
-    if metric == "l2":
-        return F.sqrt(squared_l2(a, b))
-    if metric == "ip":
-        return F.lit(1.0) - dot(a, b)
-    if metric == "cosine":
-        norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-        return F.lit(1.0) - F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
-    raise ValueError(f"unknown metric {metric!r}; use l2, ip or cosine")

@@ -28,12 +28,34 @@ def measured(base: str) -> str:
     )
 
 
+# The operations' rules written out in SQL, apart from the code that they check:
+# the result's view of the pair, its gradient and its operands.
+BOTH = "id_a || ',' || id_b"
+RULES = {
+    "union": ("union", "0.0::DOUBLE", BOTH),
+    "intersect": ("intersect", "0.0::DOUBLE", BOTH),
+    "xor": ("xor", "0.0::DOUBLE", BOTH),
+    "comp": ("comp", "CASE WHEN bits_a <> 0 THEN card_comp::DOUBLE / card_a END", BOTH),
+    "deleted": ("comp", "CASE WHEN bits_a <> 0 THEN card_comp::DOUBLE / card_a END", BOTH),
+    "retained": ("intersect", "CASE WHEN bits_union <> 0 THEN card_intersect::DOUBLE / card_union END", BOTH),
+    "added": ("comp_rev", "CASE WHEN bits_b <> 0 THEN card_comp_rev::DOUBLE / card_b END", BOTH),
+    "advance": (
+        "b",
+        "CASE WHEN bits_b <> 0 THEN card_a::DOUBLE / card_b END",
+        "id_comp || ',' || id_intersect || ',' || id_comp_rev",
+    ),
+}
+# What each operand, counted from 1, does with the gradient in back-propagation.
+ADDED = "('union', 1), ('union', 2), ('intersect', 1), ('intersect', 2), ('xor', 1), ('xor', 2), ('comp', 1)"
+MULTIPLIED = (
+    "('added', 2), ('deleted', 1), ('retained', 1), ('retained', 2), ('advance', 1), ('advance', 2), ('advance', 3)"
+)
+
+
 def result(op: str) -> str:
-    part, share = entity.OPERATIONS[op]
-    grad = f"CASE WHEN bits_{share[1]} <> 0 THEN card_{share[0]}::DOUBLE / card_{share[1]} END" if share else "0.0::DOUBLE"
-    args = "id_a || ',' || id_b" if op != "advance" else "id_comp || ',' || id_intersect || ',' || id_comp_rev"
+    view, grad, args = RULES[op]
     return (
-        f"SELECT set_a, set_b, id_{part} AS sha1, card_{part} AS card, bits_{part} AS n_bits, "
+        f"SELECT set_a, set_b, id_{view} AS sha1, card_{view} AS card, bits_{view} AS n_bits, "
         f"{grad} AS grad, '{op}' AS op, {args} AS args FROM m"
     )
 
@@ -135,8 +157,8 @@ def entity_advance(spark, folder):
 def backprop_sql() -> str:
     ops = ("deleted", "retained", "added", "advance", "union")
     rows = " UNION ALL ".join(result(op) for op in ops)
-    rules = ", ".join(f"('{op}', {pos + 1}, '{how}')" for (op, pos), how in entity.BACKPROP.items())
-    return f"""WITH {measured(DAYS)}, res AS ({rows}), rules(op, pos, how) AS (VALUES {rules}),
+    return f"""WITH {measured(DAYS)}, res AS ({rows}), adds(op, pos) AS (VALUES {ADDED}), times(op, pos) AS (VALUES {MULTIPLIED}),
+    rules AS (SELECT *, 'add' AS how FROM adds UNION ALL SELECT *, 'multiply' FROM times),
     base AS (SELECT DISTINCT id_a AS sha1, card_a AS card, NULL::VARCHAR AS op, 1.0::DOUBLE AS grad FROM m
       UNION SELECT id_b, card_b, NULL, 1.0 FROM m),
     derived AS (SELECT sha1, max(card) AS card, min(op) AS op, max(grad) AS grad FROM res

@@ -12,7 +12,7 @@ from bitloom.plans.tokens import POST
 from bitloom.sources import files
 from bitloom.sources.tables import read_table
 from bitloom.streaming import jobs
-from bitloom.streaming.sources import run_append, staged_stream, table_stream
+from bitloom.streaming.sources import run_append, table_stream
 
 DAY_KEYS = (
     "ev AS (SELECT strftime(ts, '%Y-%m-%d') || '|' || event_type AS k, user_id::VARCHAR AS token FROM events), "
@@ -49,9 +49,9 @@ def stream_daily_sketch(spark, folder):
     f"WITH {POST.replace('WHERE strlen(token) > 2', '')} SELECT id, token, ref, n FROM post",
 )
 def stream_token_index(spark, folder):
-    docs = read_table(spark, folder, "documents").select(F.col("source").alias("ref"), F.col("doc_id").alias("batch"), "text")
+    docs = table_stream(spark, folder, "documents").select(F.col("source").alias("ref"), F.col("doc_id").alias("batch"), "text")
     path = files.new_folder(spark, "index")
-    jobs.index_into(staged_stream(spark, docs, 4), path, text.distinct_words)
+    jobs.index_into(docs, path, text.distinct_words)
     return jobs.read_index(spark, path)
 
 
@@ -63,7 +63,8 @@ def stream_token_index(spark, folder):
 def stream_commit(spark, folder):
     events = read_table(spark, folder, "events").select("event_id", "user_id", "event_type")
     path = files.new_folder(spark, "heads")
-    jobs.heads_into(staged_stream(spark, events, 4), path, "user_id", "event_id", "event_type")
+    stream = table_stream(spark, folder, "events").select("event_id", "user_id", "event_type")
+    jobs.heads_into(stream, path, "user_id", "event_id", "event_type")
     heads = jobs.read_heads(spark, path, "user_id", "event_id", "event_type")
     status = F.when(F.col("event_type") == "error", "deleted").otherwise("head")
     current = heads.select("event_id", "user_id", status.alias("status"))

@@ -76,18 +76,18 @@ def not_prefix_filter(spark, folder):
 @query(
     "case_when_mutate",
     """SELECT p_partkey, p_retailprice, p_retailprice * p_retailprice AS price_squared, round(p_retailprice) AS price_rounded,
-      CASE WHEN p_retailprice >= p_size::DOUBLE * p_size THEN 'efficient' WHEN p_retailprice < 950 THEN 'inefficient'
-      ELSE 'moderate' END AS efficiency FROM part""",
+      CASE WHEN p_retailprice >= p_size::DOUBLE * p_size THEN 'good' WHEN p_retailprice < 950 THEN 'poor'
+      ELSE 'fair' END AS worth FROM part""",
 )
 def case_when_mutate(spark, folder):
     price, size = F.col("p_retailprice"), F.col("p_size").cast("double")
-    efficiency = verbs.case_of([(price >= size * size, "efficient"), (price < 950, "inefficient")], "moderate")
+    worth = verbs.case_of([(price >= size * size, "good"), (price < 950, "poor")], "fair")
     return read_table(spark, folder, "part").select(
         "p_partkey",
         "p_retailprice",
         (price * price).alias("price_squared"),
         F.round(price).alias("price_rounded"),
-        efficiency.alias("efficiency"),
+        worth.alias("worth"),
     )
 
 
@@ -103,14 +103,14 @@ def in_filter(spark, folder):
 # The chained example: filter, group, summarise, mutate, filter, arrange.
 CHAIN = """WITH g AS (SELECT p_size, avg(p_retailprice) AS price FROM part WHERE NOT starts_with(p_name, 's') GROUP BY 1)
     SELECT p_size, round(price, 6) AS price, round(price * price, 4) AS price_squared, round(price) AS price_rounded,
-      CASE WHEN price >= p_size::DOUBLE * p_size THEN 'efficient' WHEN price < 1000 THEN 'inefficient'
-      ELSE 'moderate' END AS efficiency FROM g"""
+      CASE WHEN price >= p_size::DOUBLE * p_size THEN 'good' WHEN price < 1000 THEN 'poor'
+      ELSE 'fair' END AS worth FROM g"""
 
 
-@query("verb_chain", f"SELECT * FROM ({CHAIN}) WHERE efficiency IN ('moderate', 'efficient') ORDER BY price_rounded DESC")
+@query("verb_chain", f"SELECT * FROM ({CHAIN}) WHERE worth IN ('fair', 'good') ORDER BY price_rounded DESC")
 def verb_chain(spark, folder):
     price, size = F.col("price"), F.col("p_size").cast("double")
-    efficiency = verbs.case_of([(price >= size * size, "efficient"), (price < 1000, "inefficient")], "moderate")
+    worth = verbs.case_of([(price >= size * size, "good"), (price < 1000, "poor")], "fair")
     return (
         verbs.not_prefixed(read_table(spark, folder, "part"), "p_name", "s")
         .groupBy("p_size")
@@ -120,9 +120,9 @@ def verb_chain(spark, folder):
             F.round(price, 6).alias("price"),
             F.round(price * price, 4).alias("price_squared"),
             F.round(price).alias("price_rounded"),
-            efficiency.alias("efficiency"),
+            worth.alias("worth"),
         )
-        .where(F.col("efficiency").isin("moderate", "efficient"))
+        .where(F.col("worth").isin("fair", "good"))
         .orderBy(F.desc("price_rounded"))
     )
 

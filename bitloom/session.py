@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCRATCH: str | None = None
+
+
 def build_session(app: str = "bitloom", cpus: str | int | None = None) -> SparkSession:
     """Local session used by tests and the bench; a cluster brings its own."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
@@ -21,6 +26,10 @@ def build_session(app: str = "bitloom", cpus: str | int | None = None) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -31,14 +40,19 @@ def build_session(app: str = "bitloom", cpus: str | int | None = None) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back to a scratch folder of its own.
+    Only a local master may fall back to a scratch folder, one for each application
+    that goes when its driver ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.gettempdir(), "bitloom-checkpoints")
+    global _SCRATCH
+    if _SCRATCH is None:
+        _SCRATCH = tempfile.mkdtemp(prefix="bitloom-")
+        atexit.register(shutil.rmtree, _SCRATCH, ignore_errors=True)
+    return _SCRATCH
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

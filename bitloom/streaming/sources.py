@@ -10,19 +10,13 @@ from bitloom.sources.files import new_folder
 from bitloom.sources.tables import read_table
 
 WATERMARK = "1 hour"
+FILES_PER_BATCH = 64
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One named Parquet table as a stream of files."""
+    """One named Parquet table as a stream of its files, a bounded number of them per micro-batch."""
     schema = read_table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-
-
-def staged_stream(spark: SparkSession, df: DataFrame, n_files: int) -> DataFrame:
-    """A table laid out as several files and streamed one file per micro-batch."""
-    path = new_folder(spark, "staged")
-    df.repartition(n_files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def run_append(stream: DataFrame, label: str) -> DataFrame:

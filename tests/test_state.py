@@ -9,12 +9,20 @@ from bitloom.operators import probability, tokens, verbs, versions
 from bitloom.session import checkpointed
 from bitloom.sources import files, stores
 from bitloom.streaming import jobs
-from bitloom.streaming.sources import run_append, staged_stream, table_stream
+from bitloom.streaming.sources import run_append, table_stream
 
 FOLDER = "/root/testdata/sf0.01"
 LOG = "branch string, seq long, message string, ts string, snapshot_id string"
 
 
+def staged_stream(spark, df, n_files):
+    """A frame laid out as several files and streamed one file per micro-batch."""
+    path = files.new_folder(spark, "staged")
+    df.repartition(n_files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+
 @pytest.fixture(scope="module")
 def log(spark):
     return spark.createDataFrame([("main", 1, "one", "t1", "s1"), ("main", 2, "two", "t2", "s2")], LOG)

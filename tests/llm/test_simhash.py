@@ -4,6 +4,7 @@ import random
 
 import pytest
 import xxhash
+from conftest import prose
 from plain_llm import as_rows, union_find
 
 from bitloom.llm import simhash_dedup
@@ -48,16 +49,52 @@ def test_edge_rows(docs):
     assert got == sorted(want, key=repr)
 
 
+def alike(a, b, k=5):
+    def runs(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+    a, b = runs(a), runs(b)
+    return len(a & b) / len(a | b)
+
+
+def check_one_of_each(rows, kept):
+    """Rows that go are near copies of other rows; rows without copies stay, and one of equal texts."""
+    gone = list(rows)
+    for r in kept:
+        gone.remove(r)
+    for i, r in enumerate(gone):
+        others = kept + gone[:i] + gone[i + 1 :]
+        assert any(alike(s[1], r[1]) >= 0.8 for s in others), r
+    texts = [t for _, t in kept]
+    assert len({tuple((t or "").encode().lower().split()) for t in texts}) == len(texts)  # one of equal texts
+    return gone
+
+
 def test_one_of_each(docs):
     kept = simhash_dedup.one_of_each(docs)
     assert kept.columns == docs.columns
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    root = plain_components([plain_print(t, 5) for _, t in rows])
-    first = {}
-    for i, (d, _) in enumerate(rows):
-        first.setdefault(root[i], []).append((d is None, d or 0))
-    want = sorted((None if n else d for n, d in (min(v) for v in first.values())), key=repr)
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == want
+    check_one_of_each(rows, [(r["doc_id"], r["text"]) for r in kept.collect()])
+
+
+def test_planted_near_copies(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"{w}{n}" for n in range(40) for w in prose(3, 100).split()]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(150 + i)) for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts[:30]):
+        for c in range(40 if i == 0 else 3):
+            w = t.split()
+            for _ in range(rnd.randrange(1, 4)):
+                w[rnd.randrange(len(w))] = rnd.choice(["other", "word", "Sun,", "moon."])
+            rows.append((1000 + 50 * i + c, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = [tuple(r) for r in simhash_dedup.one_of_each(df).collect()]
+    gone = check_one_of_each(rows, kept)
+    assert {r for r in rows if r[0] < 1000} <= set(kept)
+    near = [r for r in rows if r[0] >= 1000 and alike(r[1], texts[(r[0] - 1000) // 50]) >= 0.8]
+    assert len(near) > 60 and len([r for r in near if r in gone]) >= 0.9 * len(near)
 
 
 def test_empty(empty):
@@ -84,7 +121,7 @@ def test_links_of_crowded_and_sparse_keys(spark, monkeypatch, joined):
         prints.add(x)
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    edges = simhash_dedup.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+    edges = simhash_dedup.links(spark.createDataFrame([(0, p) for p in signed], "t int, fp long")).select("a", "b").collect()
     place = {p: i for i, p in enumerate(signed)}
     got = union_find(len(prints), [(place[a], place[b]) for a, b in edges])
     want = plain_components(prints)

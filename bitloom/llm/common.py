@@ -3,21 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.operators import skew
-from bitloom.sources.stores import stored as stored
+from bitloom.sources.files import new_folder
 
 # Bytes of text that a Python worker works on at once; one longer text is worked on alone.
 SLICE_BYTES = 8_000_000
 
 
+_RECORDS: list[list[str]] = []
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table once to shared storage and read it back.
+
+    What several branches or jobs use is computed once and survives lost executors.
+    """
+    path = new_folder(df.sparkSession, label)
+    for record in _RECORDS:
+        record.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The folders of all tables that are ``stored`` inside the block."""
+    record: list[str] = []
+    _RECORDS.append(record)
+    try:
+        yield record
+    finally:
+        _RECORDS.remove(record)
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Free the space of stored tables that nothing will read again."""
+    while paths:
+        spark.range(0).coalesce(1).write.mode("overwrite").parquet(paths.pop())
+
+
 def nested(docs: DataFrame, name: str = "doc") -> DataFrame:
     """All columns of ``docs`` in one struct, so that no added column can clash with them."""
     return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias(name))

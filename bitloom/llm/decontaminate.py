@@ -13,12 +13,12 @@ shingles apart in the scan, an equality join tells the rest; neither loses a hit
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,11 +104,12 @@ def _stretches(docs: DataFrame, known: np.ndarray, widest: int, id_col: str, tex
                     held.append(words[at[t] + a : at[t] + b].view(np.int64))
                     places.append((group - a).astype(np.int32))
                     hashes.append(runs[run_at[t] + group].view(np.int64))
-            digest = [hashlib.sha256(texts[int(t)].as_py().encode()).hexdigest() for t in take]
+            # The same hash as Spark's xxhash64, so that rows can be found again by id and text.
+            digest = np.array([xxhash.xxh64_intdigest(texts[int(t)].as_py().encode(), 42) for t in take], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(take, pa.int64())),
-                    pa.array(digest, pa.string()),
+                    pa.array(digest, pa.int64()),
                     pa.array(first, pa.int32()),
                     pa.array(whole, pa.int32()),
                     pa.array(held, pa.list_(pa.int64())),
@@ -118,7 +119,7 @@ def _stretches(docs: DataFrame, known: np.ndarray, widest: int, id_col: str, tex
                 ["id", "digest", "first", "whole", "words", "places", "runs"],
             )
 
-    schema = f"id {kind}, digest string, first int, whole int, words array<long>, places array<int>, runs array<long>"
+    schema = f"id {kind}, digest long, first int, whole int, words array<long>, places array<int>, runs array<long>"
     return rows.mapInArrow(scan, schema)
 
 
@@ -224,8 +225,12 @@ def leaks(
     return verified.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.*", "digest")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names
+) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; null texts stay. See ``leaks``."""
-    gone = leaks(docs, benchmark, text_col=text_col, **names).select("digest").distinct()
-    leaked = gone.withColumnRenamed("digest", "leaked_digest")
-    return docs.join(leaked, F.sha2(docs[text_col].cast("string"), 256) == F.col("leaked_digest"), "left_anti")
+    found = leaks(docs, benchmark, id_col, text_col, **names)
+    # Two longs for each leaked row: a small table for Spark to send to the texts if it can.
+    gone = found.select(F.col(id_col).alias("leaked_id"), F.col("digest").alias("leaked_digest")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("leaked_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("leaked_digest"))
+    return docs.join(gone, same, "left_anti")

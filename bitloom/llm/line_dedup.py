@@ -112,7 +112,9 @@ def repeated_lines(keyed: DataFrame, id_col: str, text_col: str, min_words: int
     asked = stored(asked.join(levels.withColumnRenamed("rank", "r2"), ["k", "g"]), "lines-intervals")
     interval = ["len", "r1", "r2"]
     first = asked.groupBy(*interval).agg(F.min("begin").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = asked.join(first.drop("n"), interval).where(F.col("begin") > F.col("first"))
+    # Written, so that the join shuffles both sides itself and can split an interval of very many copies.
+    first = stored(first.drop("n"), "lines-firsts")
+    later = asked.join(first, interval).where(F.col("begin") > F.col("first"))
     n = F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1))
     return later.select("row", n.alias("n")).groupBy("row").agg(F.collect_set("n").alias("dropped"))
 

@@ -19,12 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import nested, stored
+from bitloom.llm.common import bare, mix, nested, stored
 from bitloom.llm.components import components
 
 # The seed of the shingle hash, and the links' greatest distance.
 SEED = 42
 RADIUS = 2
+# Near copies among rows: the least shingle similarity, and the fingerprints that find them.
+SIMILARITY = 0.8
+TABLES = 2
 # Up to how many fingerprints of one key are joined with each other.
 JOINED = 32
 _HALF = (1 << 32) - 1
@@ -61,32 +64,33 @@ def fingerprints(text: Column, k: int = 3) -> Column:
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): each half with one bit masked; the key names half, bit and the rest."""
+    """(t, key, fp): each half with one bit masked; the key names half, bit and the rest."""
     keys = []
     for half in range(2):
         value = F.shiftrightunsigned("fp", 32 * half).bitwiseAND(F.lit(_HALF))
         for bit in range(32):
             rest = value.bitwiseAND(F.lit(_HALF ^ (1 << bit)))
             keys.append(F.lit((half * 32 + bit) << 32).bitwiseOR(rest))
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return fps.select("t", "fp", F.explode(F.array(*keys)).alias("key"))
 
 
 def _points(fps: DataFrame) -> DataFrame:
-    """(point, fp): the fingerprint itself and all that differ from it in one bit."""
+    """(t, point, fp): the fingerprint itself and all that differ from it in one bit."""
     flips = [F.lit(0).cast("long")] + [F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b) for b in range(64)]
-    return fps.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(f) for f in flips))).alias("point"))
+    return fps.select("t", "fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(f) for f in flips))).alias("point"))
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) that join all distinct ``fp`` which chains of links connect.
+    """Edges (t, a, b) that join all distinct ``fp`` of a table ``t`` which chains of links connect.
 
     Every link between fingerprints of keys with at most ``JOINED`` fingerprints is
     a row. In larger keys each point links its fingerprints to the least of them.
     """
     index = _variants(fps)
-    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(index.join(shared, "key"), "simhash-keys")
-    small = members.where(F.col("n") <= JOINED).select("key", "fp")
+    # Written, so that the joins shuffle both sides themselves and can split a key of very many rows.
+    shared = stored(index.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
+    members = stored(index.join(shared, ["t", "key"]), "simhash-keys")
+    small = members.where(F.col("n") <= JOINED).select("t", "key", "fp")
     a, b = small.alias("a"), small.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     # Two fingerprints with one equal half meet at all 32 keys of it: one is enough.
@@ -94,22 +98,15 @@ def links(fps: DataFrame) -> DataFrame:
     within = F.when(bit < 32, differ.bitwiseAND(F.lit(_HALF))).otherwise(F.shiftrightunsigned(differ, 32))
     once = (within != 0) | (F.pmod(bit, F.lit(32)) == 0)
     verified = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= RADIUS) & once
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & verified).select(
-        F.col("a.fp").alias("a"), F.col("b.fp").alias("b")
-    )
-    crowded = members.where(F.col("n") > JOINED).select("fp").distinct()
-    points = _points(crowded)
-    least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = points.join(least, "point").where("fp > a").select("a", F.col("fp").alias("b"))
+    same = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key"))
+    pairs = a.join(b, same & verified).select("a.t", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    points = _points(members.where(F.col("n") > JOINED).select("t", "fp").distinct())
+    least = points.groupBy("t", "point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    least = stored(least.drop("n"), "simhash-points")
+    stars = points.join(least, ["t", "point"]).where("fp > a").select("t", "a", F.col("fp").alias("b"))
     return pairs.unionAll(stars).distinct()
 
 
-def _rooted(fps: DataFrame) -> DataFrame:
-    """(fp, root): each distinct fingerprint with the least of its component."""
-    roots = components(links(fps)).select(F.col("node").alias("fp"), "root")
-    return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """Per row: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -123,8 +120,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), k).alias("fp"))
     rows = stored(rows, "simhash-fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    rooted = _rooted(classes.select("fp")).join(classes, "fp")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = components(links(classes.select(F.lit(0).alias("t"), "fp"))).withColumnRenamed("node", "fp")
+    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
         F.col("id").alias(id_col),
@@ -133,17 +131,107 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """The row of each component of near copies that has the smallest id, with all its columns.
+def _word_prints(text: Column, tables: int) -> Column:
+    """Fingerprints of a text's distinct words, each with another hash."""
+    steps = mix(np.arange(1, tables + 1, dtype=np.uint64))
 
-    Components are those of ``near_copies``. Null ids come last; of rows with one id
-    the first in the order of reading stays.
-    """
-    keyed = nested(docs).withColumn("fp", fingerprints(F.col(f"doc.{text_col}"), k))
-    keyed = stored(keyed.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+    def of(text: str) -> np.ndarray:
+        words = {bare(w) for w in text.encode("utf-8", "surrogatepass").split()} - {b""}
+        if not words:
+            return np.zeros(tables, np.int64)
+        first = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        prints = []
+        for step in steps:
+            bits = np.unpackbits(mix(first + step).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            prints.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(words), bitorder="little").view("<i8")[0])
+        return np.array(prints)
+
+    @F.pandas_udf("array<long>")
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([of(t or "") for t in texts], dtype=object)
+
+    return each(text)
+
+
+def _shingle_similarity(a: Column, b: Column, k: int) -> Column:
+    """Jaccard similarity of the sets of ``k``-word shingles of two texts; 1 without words."""
+
+    def runs(text: str) -> set:
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+    @F.pandas_udf("double")
+    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            out = []
+            for x, y in zip(left, right):
+                x, y = runs(x or ""), runs(y or "")
+                out.append(len(x & y) / len(x | y))
+            yield pd.Series(out, dtype="float64")
+
+    return each(a, b)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` of rows whose texts are alike; each row of a pair is read once for it."""
+    wanted = pairs.select(F.col("a").alias("row")).distinct()
+    # Few rows are an ``a``: written, so that the joins can split those in very many pairs.
+    held = stored(texts.join(wanted, "row", "left_semi").select(F.col("row").alias("a"), F.col("text").alias("left")), "simhash-held")
+    met = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")), "b").join(held, "a")
+    found = met.select("a", "b", _shingle_similarity(F.col("left"), F.col("right"), k).alias("similarity"))
+    return stored(found.where(F.col("similarity") >= similarity).select("a", "b"), "simhash-alike")
+
+
+def _others(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, stays): every row of each component of ``edges`` but the one with the smallest id, with that one."""
+    roots = components(edges).withColumnRenamed("node", "row").join(rows, "row")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row")
-    rows = keyed.select(F.col(f"doc.{id_col}").alias("id"), "row", "fp")
-    classes = stored(rows.groupBy("fp").agg(F.min(place).alias("first")), "simhash-classes")
-    rooted = _rooted(classes.select("fp")).join(classes, "fp")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
-    return keyed.join(kept, "row", "left_semi").select("doc.*")
+    stays = stored(roots.groupBy("root").agg(F.min(place).alias("first")).select("root", F.col("first.row").alias("stays")), "simhash-stays")
+    return roots.join(stays, "root").where("row <> stays").select("row", "stays")
+
+
+def one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = 5,
+    similarity: float = SIMILARITY,
+    tables: int = TABLES,
+) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that with the smallest id.
+
+    Null ids come last, and of equal ids the first in the order of reading stays.
+    Two rows are near copies if their sets of ``k``-word shingles have a Jaccard
+    similarity of at least ``similarity``; groups are chains of such pairs.
+    Candidates have equal, and then at most two bits different, fingerprints of
+    their distinct words in one of ``tables`` independent tables, so a pair near the
+    limit can be missed; more tables miss fewer and shuffle more. Rows with equal
+    fingerprints are compared with one of them, which makes large groups small
+    before pairs are looked for. A null text
+    counts as empty; texts without words are copies of each other. An empty table
+    gives no rows.
+    """
+    text = F.col(f"doc.{text_col}").cast("string")
+    keyed = nested(docs).withColumn("prints", _word_prints(text, tables)).withColumn("row", F.monotonically_increasing_id())
+    keyed = stored(keyed, "simhash-rows")
+    texts, ids = keyed.select("row", text.alias("text")), keyed.select("row", F.col(f"doc.{id_col}").alias("id"))
+    prints = keyed.select("row", F.posexplode("prints").alias("t", "fp"))
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        return stored(rows.groupBy("t", "fp").agg(F.min("row").alias("first")), "simhash-classes")
+
+    equal = prints.join(firsts(prints), ["t", "fp"]).select(F.col("first").alias("a"), F.col("row").alias("b"))
+    grouped = _others(equal, ids).select(F.col("stays").alias("a"), F.col("row").alias("b"))
+    copies = _alike(grouped, texts, k, similarity).select(F.col("b").alias("row"))
+
+    left = prints.join(copies, "row", "left_anti")
+    classes = firsts(left)
+    found = links(classes.select("t", "fp"))
+    for side in ("a", "b"):
+        found = found.join(classes.select("t", F.col("fp").alias(side), F.col("first").alias(f"{side}_row")), ["t", side])
+    pairs = found.select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))
+    same = left.join(classes, ["t", "fp"]).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    alike = _alike(stored(pairs.unionAll(same).distinct(), "simhash-pairs"), texts, k, similarity)
+    gone = copies.unionAll(_others(alike, ids).select("row"))
+    return keyed.join(gone, "row", "left_anti").select("doc.*")

@@ -7,6 +7,9 @@ equality and the pairs verified. A key wanted by many fingerprints is not joined
 with itself: its fingerprints are linked through the 65 points within one bit of
 each, since two of them are at most two bits apart exactly if they share such a
 point.
+
+Near copies among rows (``one_of_each``) are found by MinHash bands of their
+shingles and verified by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -15,19 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import bare, mix, nested, stored
+from bitloom.llm.common import hashed_words, mix, nested, shingles, slices, stored
 from bitloom.llm.components import components
 
 # The seed of the shingle hash, and the links' greatest distance.
 SEED = 42
 RADIUS = 2
-# Near copies among rows: the least shingle similarity, and the fingerprints that find them.
+# Near copies among rows: the least shingle similarity, and the bands of MinHash values that find them.
 SIMILARITY = 0.8
 TABLES = 2
+BAND = 5
+# Bytes of text that are sketched at once.
+SKETCHED_BYTES = 1_000_000
 # Up to how many fingerprints of one key are joined with each other.
 JOINED = 32
 _HALF = (1 << 32) - 1
@@ -131,25 +138,40 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _word_prints(text: Column, tables: int) -> Column:
-    """Fingerprints of a text's distinct words, each with another hash."""
-    steps = mix(np.arange(1, tables + 1, dtype=np.uint64))
-
-    def of(text: str) -> np.ndarray:
-        words = {bare(w) for w in text.encode("utf-8", "surrogatepass").split()} - {b""}
-        if not words:
-            return np.zeros(tables, np.int64)
-        first = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        prints = []
-        for step in steps:
-            bits = np.unpackbits(mix(first + step).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            prints.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(words), bitorder="little").view("<i8")[0])
-        return np.array(prints)
-
-    @F.pandas_udf("array<long>")
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _sketch(texts: pa.Array, k: int, tables: int) -> dict[str, list]:
+    """Per text: how many distinct shingles it has, a 128-bit digest of the set, and its band keys."""
+    hashes, starts = shingles(*hashed_words(texts, bytes.lower), k)
+    some = np.flatnonzero(np.diff(starts))
+    sets = [np.unique(hashes[i:j]) for i, j in zip(starts[:-1], starts[1:])]
+    digests = [xxhash.xxh3_128_intdigest(one.tobytes()) for one in sets]
+    keys = np.zeros((len(sets), tables), np.uint64)
+    if len(some):
+        flat = np.concatenate([sets[i] for i in some])
+        at = np.concatenate(([0], np.cumsum([len(sets[i]) for i in some[:-1]], dtype=np.int64))).astype(np.int64)
+        steps = mix(np.arange(1, 2 * tables * BAND + 1, dtype=np.uint64)).reshape(tables, BAND, 2)
+        for t in range(tables):
+            key = np.full(len(some), t, np.uint64)
+            for factor, shift in steps[t]:
+                key = mix(key ^ np.minimum.reduceat(flat * (factor | np.uint64(1)) + shift, at))
+            keys[some, t] = key
+    there = set(some.tolist())
+    return {
+        "size": [max(1, len(one)) for one in sets],
+        "high": [(d >> 64) - (1 << 63) for d in digests],
+        "low": [(d & (1 << 64) - 1) - (1 << 63) for d in digests],
+        "keys": [row if i in there else row[:0] for i, row in enumerate(keys.view(np.int64))],
+    }
+
+
+def _sketches(text: Column, k: int, tables: int) -> Column:
+    """``_sketch`` as a column; a text without words has no keys."""
+
+    @F.pandas_udf("size int, high long, low long, keys array<long>")
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([of(t or "") for t in texts], dtype=object)
+            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
+            parts = [pd.DataFrame(_sketch(part.column(0), k, tables)) for part in slices(iter([batch]), "text", SKETCHED_BYTES)]
+            yield pd.concat(parts, ignore_index=True).astype({"size": "int32"}) if parts else pd.DataFrame(_sketch(batch.column(0), k, tables))
 
     return each(text)
 
@@ -191,6 +213,50 @@ def _others(edges: DataFrame, rows: DataFrame) -> DataFrame:
     return roots.join(stays, "root").where("row <> stays").select("row", "stays")
 
 
+def _first_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every row of a key with the least row of it."""
+    pairs = members.where(F.col("row") != F.col("first.row")).where(_sizes(F.col("first.size"), F.col("size"), similarity))
+    return pairs.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct()
+
+
+def _sizes(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be as similar; the margin is for rounding."""
+    return F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
+
+
+def _open(members: DataFrame, linked: DataFrame, done: int) -> DataFrame:
+    """The rows of keys in which some two, neither among the ``done`` asked ones, are in different groups."""
+    roots = components(linked).select(F.col("node").alias("row"), "root")
+    # The first row was compared with all, as were those that asked in the rounds before.
+    left = members.where((F.col("n") > 2) & (F.col("place") * F.col("n") >= done) & (F.col("row") != F.col("first.row")))
+    left = left.join(roots, "row", "left").withColumn("label", F.coalesce("root", "row")).drop("root")
+    left = stored(left, "simhash-left")
+    apart = left.groupBy("t", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    return stored(left.join(stored(apart.select("t", "key"), "simhash-apart"), ["t", "key"]), "simhash-open")
+
+
+def _linked(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of alike rows that connect all rows which chains of alike rows of a key connect.
+
+    The least row of a key is compared with all others. Then more and more rows
+    of a key, drawn by a hash, are compared with all that are not yet in their
+    group, until every two rows of a key are in one group or were compared.
+    """
+    linked = _alike(stored(_first_pairs(members, similarity), "simhash-pairs"), texts, k, similarity)
+    done, asked = 0, 4
+    while True:
+        left = _open(members, linked, done)
+        if left.isEmpty():
+            return linked
+        a, b = left.where(F.col("place") * F.col("n") < asked).alias("a"), left.alias("b")
+        same = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label"))
+        later = (F.col("a.place") < F.col("b.place")) | ((F.col("a.place") == F.col("b.place")) & (F.col("a.row") < F.col("b.row")))
+        pairs = a.join(b, same & later & _sizes(F.col("a.size"), F.col("b.size"), similarity))
+        pairs = stored(pairs.select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct(), "simhash-pairs")
+        linked = linked.unionAll(_alike(pairs, texts, k, similarity))
+        done, asked = asked, asked * 4
+
+
 def one_of_each(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -204,34 +270,31 @@ def one_of_each(
     Null ids come last, and of equal ids the first in the order of reading stays.
     Two rows are near copies if their sets of ``k``-word shingles have a Jaccard
     similarity of at least ``similarity``; groups are chains of such pairs.
-    Candidates have equal, and then at most two bits different, fingerprints of
-    their distinct words in one of ``tables`` independent tables, so a pair near the
-    limit can be missed; more tables miss fewer and shuffle more. Rows with equal
-    fingerprints are compared with one of them, which makes large groups small
-    before pairs are looked for. A null text
-    counts as empty; texts without words are copies of each other. An empty table
-    gives no rows.
+    Rows with equal sets are found by a digest. Others are candidates if they
+    agree in all ``BAND`` MinHash values of one of ``tables`` bands, which a pair of
+    similarity s does with a probability of 1 - (1 - s^BAND)^tables: 0.9996 at 0.8
+    and 20 bands. Candidates of one band are compared until all alike ones are
+    connected, however many they are; many that are not alike cost the square of
+    their number. A null text counts as empty; texts without words are copies of
+    each other. An empty table gives no rows.
     """
     text = F.col(f"doc.{text_col}").cast("string")
-    keyed = nested(docs).withColumn("prints", _word_prints(text, tables)).withColumn("row", F.monotonically_increasing_id())
+    keyed = nested(docs).withColumn("sketch", _sketches(text, k, tables)).withColumn("row", F.monotonically_increasing_id())
     keyed = stored(keyed, "simhash-rows")
     texts, ids = keyed.select("row", text.alias("text")), keyed.select("row", F.col(f"doc.{id_col}").alias("id"))
-    prints = keyed.select("row", F.posexplode("prints").alias("t", "fp"))
-
-    def firsts(rows: DataFrame) -> DataFrame:
-        return stored(rows.groupBy("t", "fp").agg(F.min("row").alias("first")), "simhash-classes")
-
-    equal = prints.join(firsts(prints), ["t", "fp"]).select(F.col("first").alias("a"), F.col("row").alias("b"))
-    grouped = _others(equal, ids).select(F.col("stays").alias("a"), F.col("row").alias("b"))
-    copies = _alike(grouped, texts, k, similarity).select(F.col("b").alias("row"))
-
-    left = prints.join(copies, "row", "left_anti")
-    classes = firsts(left)
-    found = links(classes.select("t", "fp"))
-    for side in ("a", "b"):
-        found = found.join(classes.select("t", F.col("fp").alias(side), F.col("first").alias(f"{side}_row")), ["t", side])
-    pairs = found.select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))
-    same = left.join(classes, ["t", "fp"]).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    alike = _alike(stored(pairs.unionAll(same).distinct(), "simhash-pairs"), texts, k, similarity)
-    gone = copies.unionAll(_others(alike, ids).select("row"))
+
+    sets = keyed.select("row", "sketch.high", "sketch.low")
+    firsts = stored(sets.groupBy("high", "low").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1"), "simhash-equal")
+    equal = sets.join(firsts, ["high", "low"]).where("row <> a").select("a", F.col("row").alias("b"))
+    equal = stored(equal, "simhash-copies")
+
+    left = keyed.select("row", "sketch.size", "sketch.keys").join(equal.select(F.col("b").alias("row")), "row", "left_anti")
+    bands = left.select("row", "size", F.posexplode("keys").alias("t", "key"))
+    first = F.min(F.struct("row", "size")).alias("first")
+    shared = stored(bands.groupBy("t", "key").agg(first, F.count("*").alias("n")).where("n > 1"), "simhash-shared")
+    place = F.shiftrightunsigned(F.xxhash64("row"), 11) / F.lit(float(1 << 53))
+    members = stored(bands.join(shared, ["t", "key"]).withColumn("place", place), "simhash-members")
+
+    linked = _linked(members, texts, k, similarity)
+    gone = _others(equal.unionAll(linked), ids).select("row")
     return keyed.join(gone, "row", "left_anti").select("doc.*")

@@ -139,3 +139,29 @@ def test_components(spark):
     place = {n: i for i, n in enumerate(nodes)}
     root = union_find(len(nodes), [(place[a], place[b]) for a, b in pairs if a != b])
     assert got == {n: nodes[root[place[n]]] for n in nodes}
+
+
+@pytest.mark.parametrize("tables", [2, 8, simhash_dedup.TABLES])
+def test_copies_behind_a_row_of_the_same_words(spark, tables):
+    """Copies go also where the first row of the same words, or of none, is not alike to them."""
+    a = prose(1, 60).split()
+    texts = [" ".join(a), " ".join(a[::-1]), " ".join(a[::-1]), "", "### ###", "### ###"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kept = simhash_dedup.one_of_each(df, tables=tables).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 3, 4]
+
+
+def plain_groups(texts):
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(texts[i], texts[j]) >= 0.8]
+    return union_find(len(texts), pairs)
+
+
+def test_chains_through_rows_that_go(spark):
+    """A group is a chain of alike pairs, whether or not its inner rows stay."""
+    words, texts = [f"w{i}" for i in range(200)], []
+    for step in range(12):
+        words[step * 15 : step * 15 + 2] = [f"other{step}", f"more{step}"]
+        texts += [" ".join(words)] * 2
+    assert alike(texts[0], texts[-1]) < 0.5 and set(plain_groups(texts)) == {0}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert [r["doc_id"] for r in simhash_dedup.one_of_each(df, tables=20).collect()] == [0]

@@ -165,3 +165,46 @@ def test_chains_through_rows_that_go(spark):
     assert alike(texts[0], texts[-1]) < 0.5 and set(plain_groups(texts)) == {0}
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     assert [r["doc_id"] for r in simhash_dedup.one_of_each(df, tables=20).collect()] == [0]
+
+
+def edited_apart(rnd, words, n, edits):
+    """Copies with other edits each: alike to the words, hardly to each other."""
+    out = []
+    for c in range(n):
+        w = list(words)
+        for at in rnd.sample(range(0, len(w), 5), edits):
+            w[at] = f"edit{c}at{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_crowded_group_whose_first_row_is_not_alike(spark):
+    """More near copies than are joined at once, each edited apart, behind a row that only resembles them."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    texts = edited_apart(rnd, words, 1, 14) + edited_apart(rnd, words, 80, 4) + [" ".join(words)]
+    assert max(alike(texts[0], t) for t in texts[1:]) < 0.8
+    want = plain_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kept = {r["doc_id"] for r in simhash_dedup.one_of_each(df, tables=20).collect()}
+    assert kept == {want.index(r) for r in set(want)}
+
+
+def test_every_alike_pair_of_a_key_is_met(spark):
+    """One key of rows in several groups and alone, more than any round asks: groups are those of all pairs."""
+    rnd = random.Random(6)
+    texts = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(100)]
+        texts += edited_apart(rnd, words, 12, 2) + [" ".join(words)]
+    texts += [" ".join(f"alone{i}at{j}" for j in range(90 + i)) for i in range(30)]
+    rnd.shuffle(texts)
+    rows = [(i, t, len(set(zip(*(t.split()[j:] for j in range(5)))))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row long, text string, size int")
+    members = df.selectExpr(
+        "0 as t", "0L as key", "row", "size", f"{len(rows)}L as n", f"struct(0L as row, {rows[0][2]} as size) as first",
+        "cast(row * 37 % 101 as double) / 101 as place",
+    )
+    edges = simhash_dedup._linked(members, df.select("row", "text"), 5, 0.8).collect()
+    assert union_find(len(texts), [tuple(r) for r in edges]) == plain_groups(texts)
+    assert all(alike(texts[a], texts[b]) >= 0.8 for a, b in edges)

@@ -31,7 +31,7 @@ SEED = 42
 RADIUS = 2
 # Near copies among rows: the least shingle similarity, and the bands of MinHash values that find them.
 SIMILARITY = 0.8
-TABLES = 2
+TABLES = 20
 BAND = 5
 # Bytes of text that are sketched at once.
 SKETCHED_BYTES = 1_000_000

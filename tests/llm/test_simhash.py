@@ -208,3 +208,21 @@ def test_every_alike_pair_of_a_key_is_met(spark):
     edges = simhash_dedup._linked(members, df.select("row", "text"), 5, 0.8).collect()
     assert union_find(len(texts), [tuple(r) for r in edges]) == plain_groups(texts)
     assert all(alike(texts[a], texts[b]) >= 0.8 for a, b in edges)
+
+
+def test_planted_near_copies_by_default(spark):
+    """What the pipeline runs finds at least 0.9 of pairs that are only just alike."""
+    rnd = random.Random(9)
+    texts = []
+    for i in range(150):
+        words = [f"d{i}w{j}" for j in range(150)]
+        edited = list(words)
+        for at in rnd.sample(range(0, 150, 5), 3):
+            edited[at] = f"d{i}other{at}"
+        texts += [" ".join(words), " ".join(edited)]
+    near = [i for i in range(150) if 0.8 <= alike(texts[2 * i], texts[2 * i + 1]) < 0.85]
+    assert len(near) > 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = {r["doc_id"] for r in simhash_dedup.one_of_each(df).collect()}
+    assert kept.issuperset(range(0, 300, 2))
+    assert len([i for i in near if 2 * i + 1 not in kept]) >= 0.9 * len(near)

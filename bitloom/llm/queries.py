@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import decontaminate, license_scan, line_dedup, packing, pii, quality, sharding, simhash_dedup, token_counts, vector_dedup
+from bitloom.llm import decontaminate, license_scan, line_dedup, merkle, packing, pii, quality, sharding, simhash_dedup, token_counts, vector_dedup
 from bitloom.llm.registry import QUERIES, SQL, query
 from bitloom.sources.tables import read_table
 
@@ -85,3 +85,16 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, folder, "documents"))
+
+
+def merkle_rows(docs: DataFrame) -> DataFrame:
+    """The manifest of ``documents``, of which a third has been tampered with: A-Z lower-cased."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    now = {"text": F.when(hit, lower).otherwise(F.col("text"))}
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], now=now).drop("proof")
+
+
+@query("op13_merkle_manifest", merkle.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_rows(read_table(spark, folder, "documents"))

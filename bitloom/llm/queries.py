@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import collocations, decontaminate, license_scan, line_dedup, merkle, packing, pii, quality, sharding, simhash_dedup, token_counts, vector_dedup
+from bitloom.llm import collocations, decontaminate, license_scan, line_dedup, merkle, packing, pii, projected_search, quality, sharding, simhash_dedup, token_counts, vector_dedup
 from bitloom.llm.registry import QUERIES, SQL, query
 from bitloom.sources.tables import read_table
 
@@ -87,6 +87,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, folder, "documents"))
 
 
+@query("op11_projected_search")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return projected_search.nearest(read_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op12_collocations", collocations.SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(read_table(spark, folder, "documents"))

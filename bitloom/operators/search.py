@@ -127,29 +127,6 @@ def nearest_sketches(corpus: Sketches, queries: Sketches, k: int, metric: str =
     return _ranked(found, k, digits)
 
 
-def nearest_approx(
-    corpus: DataFrame, queries: DataFrame, k: int, bucket_length: float = 2.0, tables: int = 8, seed: int = 7
-) -> DataFrame:
-    """Approximate nearest rows by random projection hashing, re-ranked by exact L2 distance.
-
-    Only rows sharing a hash bucket with a query are compared, so a near row can
-    be missed; use ``nearest`` for the exact answer.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def vectors_of(df):
-        return df.select("id", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    model = lsh.fit(vectors_of(corpus))
-    met = model.approxSimilarityJoin(vectors_of(corpus), vectors_of(queries), float("inf"), distCol="score")
-    found = met.select(F.col("datasetB.id").alias("query_id"), F.col("datasetA.id").alias("id"), F.col("score"))
-    return _ranked(found, k, 6)
-
-
 def ngrams(df: DataFrame, key: str, order: str, value: str, n: int, bucket_rows: int = 4096) -> DataFrame:
     """All windows of ``n`` consecutive values per key: ``(key, pos, items)``; none if shorter.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import text
 from bitloom.operators import similarity as sim
-from bitloom.operators import sketch
+from bitloom.operators import candidates, sketch
 from bitloom.plans import oracle as o
 from bitloom.plans.registry import query
 from bitloom.plans.sketches import doc_sketches, doc_words
@@ -192,6 +192,42 @@ def sketch_pairwise(spark, folder):
     return sim.shared_bits(doc_sketches(spark, folder, "source"))
 
 
+DOC_CLASSES = f"""{o.doc_sketch('doc_id')},
+    reg AS (SELECT set_id, string_agg(bin || ':' || word, ',' ORDER BY bin) AS content, sum(bit_count(word))::BIGINT AS n FROM sk GROUP BY 1),
+    cls AS (SELECT min(set_id) AS set_id, count(*) AS copies, any_value(n) AS n FROM reg GROUP BY content),
+    rep AS (SELECT sk.*, copies, n FROM sk JOIN cls USING (set_id)),
+    sh AS (SELECT a.set_id AS set_a, b.set_id AS set_b, a.copies AS copies_a, b.copies AS copies_b, a.n, b.n AS m,
+      sum(bit_count(a.word & b.word))::BIGINT AS shared FROM rep a JOIN rep b ON a.bin = b.bin AND a.set_id < b.set_id GROUP BY ALL)"""
+
+
+@query(
+    "sketch_pairs_above",
+    f"""WITH {DOC_CLASSES} SELECT set_a, set_b, copies_a, copies_b, shared, round(shared / (n + m - shared), 6) AS jaccard
+    FROM sh WHERE shared / (n + m - shared) >= 0.8""",
+)
+def sketch_pairs_above(spark, folder):
+    pairs = candidates.pairs_above(doc_sketches(spark, folder, "doc_id"), 0.8)
+    return pairs.withColumn("score", F.round("score", 6)).withColumnRenamed("score", "jaccard")
+
+
+@query(
+    "sketch_cosine_above",
+    f"""WITH {DOC_CLASSES} SELECT set_a, set_b, copies_a, copies_b, shared, round(shared / sqrt(n::DOUBLE * m), 6) AS cosine
+    FROM sh WHERE shared / sqrt(n::DOUBLE * m) >= 0.9""",
+)
+def sketch_cosine_above(spark, folder):
+    pairs = candidates.pairs_above(doc_sketches(spark, folder, "doc_id"), 0.9, "cosine")
+    return pairs.withColumn("score", F.round("score", 6)).withColumnRenamed("score", "cosine")
+
+
+@query(
+    "sketch_equal_groups",
+    f"""WITH {DOC_CLASSES} SELECT set_id, min(set_id) OVER (PARTITION BY content) AS group_id FROM reg""",
+)
+def sketch_equal_groups(spark, folder):
+    return candidates.equal_groups(doc_sketches(spark, folder, "doc_id"))
+
+
 @query(
     "matrix_contract",
     """WITH a AS (SELECT l_returnflag AS i, l_partkey AS k, sum(l_quantity) AS a FROM lineitem GROUP BY 1, 2),

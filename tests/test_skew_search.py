@@ -120,14 +120,6 @@ def test_nearest_k_larger_than_corpus_and_no_queries(spark):
         search.nearest(corpus, queries, 1, "hamming")
 
 
-def test_approximate_neighbours_recall(spark):
-    corpus, _ = vectors(spark, 300, 1)
-    queries, _ = vectors(spark, 10, 2)
-    exact = {(r["query_id"], r["id"]) for r in search.nearest(corpus, queries, 10).collect()}
-    near = {(r["query_id"], r["id"]) for r in search.nearest_approx(corpus, queries, 10).collect()}
-    assert len(exact & near) / len(exact) >= 0.8
-
-
 def test_weighted_sample(spark):
     terms = [("term1", 10), ("term2", 20), ("term3", 30), ("term4", 25), ("term5", 15), ("never", 0)]
     df = spark.createDataFrame(terms, "term string, tf long")

@@ -65,7 +65,8 @@ def stream_commit(spark, folder):
     path = files.new_folder(spark, "heads")
     stream = table_stream(spark, folder, "events").select("event_id", "user_id", "event_type")
     jobs.heads_into(stream, path, "user_id", "event_id", "event_type")
-    heads = jobs.read_heads(spark, path, "user_id", "event_id", "event_type")
+    schema = "user_id long, event_id long, event_type string"
+    heads = jobs.read_heads(spark, path, "user_id", "event_id", "event_type", schema)
     status = F.when(F.col("event_type") == "error", "deleted").otherwise("head")
     current = heads.select("event_id", "user_id", status.alias("status"))
     old = events.join(heads.select("event_id"), "event_id", "left_anti")

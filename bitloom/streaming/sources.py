@@ -19,19 +19,32 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_append(stream: DataFrame, label: str) -> DataFrame:
-    """Process everything available, appending finished rows to Parquet; returns them."""
+# State of a stream that keeps timers or lists has to lie in RocksDB.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_append(stream: DataFrame, label: str, path: str | None = None, state: str | None = None) -> DataFrame:
+    """Process everything available, appending finished rows to Parquet; returns them.
+
+    With the ``path`` and ``state`` of an earlier run it goes on where that one ended.
+    """
     spark = stream.sparkSession
-    path = new_folder(spark, label)
-    query = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", new_folder(spark, f"{label}-state"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    path, state = path or new_folder(spark, label), state or new_folder(spark, f"{label}-state")
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        query = (
+            stream.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", state)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
     return spark.read.schema(stream.schema).parquet(path)
 
 

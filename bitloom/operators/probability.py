@@ -10,28 +10,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.operators import skew
+from bitloom.operators import similarity, skew
 from bitloom.session import checkpointed
 
 
-def overlaps(members: DataFrame, weight: Column | None = None) -> DataFrame:
+# Sets of one pattern that meet in a task.
+BLOCK = 256
+
+
+def _patterns(seen: DataFrame, element_weight: Column) -> DataFrame:
+    """(item_set, pattern, n, w): the sets of each pattern, with the weight of all its elements.
+
+    Elements held by the same sets are one pattern. It is known by a 128-bit
+    fingerprint of its sets that combines on the map side, and named by its least
+    element; no list of sets is made.
+    """
+    prints = [F.bit_xor(F.xxhash64("item_set", F.lit(i))).alias(f"_x{i}") for i in range(2)]
+    elements = seen.groupBy("element").agg(*prints, F.count("*").alias("n"), element_weight.alias("w"))
+    patterns = elements.groupBy("_x0", "_x1", "n").agg(F.min("element").alias("element"), F.sum("w").alias("w"))
+    named = patterns.select("element", "n", F.col("w").alias("weight"))
+    return seen.join(named, "element").select("item_set", F.col("element").alias("pattern"), "n", F.col("weight").alias("w"))
+
+
+def _together(held: DataFrame) -> DataFrame:
+    """(i, j, w) for every ordered pair of sets of a pattern; a pattern of many sets meets block by block."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = held.withColumn("mine", F.pmod(F.xxhash64("item_set"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+    a = dealt.select("pattern", "lo", "hi", "w", F.col("item_set").alias("i"), F.col("mine").alias("mine_i"))
+    b = dealt.select("pattern", "lo", "hi", F.col("item_set").alias("j"), F.col("mine").alias("mine_j"))
+    once = (F.col("lo") == F.col("hi")) | (F.col("mine_i") != F.col("mine_j"))
+    return a.join(b, ["pattern", "lo", "hi"]).where(once).select("i", "j", "w")
+
+
+def overlaps(members: DataFrame, weight: Column | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Weight of the elements two sets share: ``(i, j, w)`` for all i, j, also 0.
 
     ``members`` has ``(item_set, element)``, repeats allowed; an element weighs 1, or
-    the sum of ``weight`` over its rows.
+    the sum of ``weight`` over its rows. With ``pairs`` (i, j) only these cells are
+    worked out, and the sets' own (i, i): then an element may be in any number of sets.
     """
     row_weight = F.lit(1).cast("bigint") if weight is None else weight
+    # A struct, so that a missing element is one like others.
+    rows = members.select("item_set", F.struct("element").alias("element"), row_weight.alias("w"))
     # Repeats fold per (set, element) on the map side, so an element meets one row per set.
-    seen = members.groupBy("item_set", "element").agg(F.sum(row_weight).alias("w"))
+    seen = checkpointed(rows.groupBy("item_set", "element").agg(F.sum("w").alias("w")))
     element_weight = F.max(F.lit(1).cast("bigint")) if weight is None else F.sum("w")
-    per_element = seen.groupBy("element").agg(
-        F.array_sort(F.collect_set("item_set")).alias("held_by"), element_weight.alias("w")
-    )
-    shared = per_element.groupBy("held_by").agg(F.sum("w").alias("w"))
-    every = seen.select("item_set").distinct().agg(F.array_sort(F.collect_set("item_set")).alias("held_by"))
-    patterns = shared.select("held_by", "w").unionByName(every.select("held_by", F.lit(0).cast("bigint").alias("w")))
-    cells = patterns.select("held_by", "w", F.explode("held_by").alias("i")).select(F.explode("held_by").alias("j"), "i", "w")
-    return cells.groupBy("i", "j").agg(F.sum("w").alias("w"))
+    if pairs is not None:
+        return _asked_overlaps(seen, element_weight, pairs)
+    sets = seen.select(F.col("item_set").alias("set_id")).distinct()
+    grid = similarity.all_pairs(sets).select(F.col("set_a").alias("i"), F.col("set_b").alias("j"))
+    grid = grid.unionAll(grid.select("j", "i")).unionAll(sets.select("set_id", "set_id")).withColumn("w", F.lit(0).cast("bigint"))
+    return _together(_patterns(seen, element_weight)).unionByName(grid).groupBy("i", "j").agg(F.sum("w").alias("w"))
+
+
+def _asked_overlaps(seen: DataFrame, element_weight: Column, pairs: DataFrame) -> DataFrame:
+    asked = pairs.select("i", "j").distinct()
+    own = asked.select("i").union(asked.select("j")).distinct().toDF("i")
+    asked = asked.unionByName(own.withColumn("j", F.col("i"))).distinct()
+    weights = seen.groupBy("element").agg(element_weight.alias("w"))
+    # The elements of the asked sets only; each (set, element) is one row.
+    mine = skew.lookup(skew.semi(seen, own.toDF("item_set"), ["item_set"]).select("item_set", "element"), weights, ["element"])
+    mine = checkpointed(mine)
+    left = asked.join(mine.select(F.col("item_set").alias("i"), "element", "w"), "i")
+    met = left.join(mine.select(F.col("item_set").alias("j"), "element"), ["j", "element"])
+    found = met.groupBy("i", "j").agg(F.sum("w").alias("w"))
+    return asked.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("w", F.lit(0).cast("bigint")).alias("w"))
 
 
 def _with_sizes(cells: DataFrame) -> DataFrame:

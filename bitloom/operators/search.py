@@ -159,37 +159,56 @@ def draws(spark, n: int, seed: int) -> DataFrame:
     )
 
 
-def weighted_sample(
-    terms: DataFrame, term: str, weight: str, n: int, seed: int = 0, buckets: int = 1024, slots: int = 1 << 16
-) -> DataFrame:
-    """``n`` terms with replacement, with odds proportional to an integer weight.
+# A level of the line of weights is cut into so many pieces, by so many bits of the hash.
+LEVEL_BITS = 10
+
 
-    Terms lie end to end on a line of length sum(weight); a draw takes the term at
-    its point. The line is cut into ``slots`` pieces, so draws meet terms in an
-    equi-join; a term longer than a piece lies in several of them.
+def _drawn(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` items (draw, item) of ``rows`` (item, h, w), with odds by ``w``.
+
+    Items lie end to end on a line in the order of their hash ``h``. Two levels of
+    pieces, by the leading bits of the hash, know their total only; a draw finds its
+    piece of the first level, then of the second among those of that piece. Items are
+    ranked in the pieces that were hit, and nowhere else.
     """
-    rows = terms.select(F.col(term).alias("term"), F.col(weight).cast("bigint").alias("w")).where("w > 0")
-    # Counted terms are used three times below; what made them runs once.
-    rows = checkpointed(rows.withColumn("_bucket", F.pmod(hashing.token_hash(F.col("term")), F.lit(buckets))))
-    line = skew.running_total(rows, [], "_bucket", [F.col("term")], F.col("w"), "start")
+    pieces = [f"_p{level}" for level in (1, 2)]
+    for level, name in enumerate(pieces, 1):
+        rows = rows.withColumn(name, F.shiftrightunsigned("h", hashing.HASH_BITS - level * LEVEL_BITS))
     total = rows.agg(F.sum("w").alias("total")).scalar()
-    piece = F.greatest(F.floor(F.col("total") / slots), F.lit(1).cast("bigint"))
-    placed = line.withColumn("total", total).withColumn("piece", piece)
-    first, last = F.floor(F.col("start") / F.col("piece")), F.floor((F.col("start") + F.col("w") - 1) / F.col("piece"))
-    placed = placed.select("term", "start", "w", F.explode(F.sequence(first, last)).alias("slot"))
-    points = draws(terms.sparkSession, n, seed).withColumn("total", total).withColumn("piece", piece)
-    points = points.select("draw", (F.col("h") % F.col("total")).alias("point"), "piece")
-    points = points.withColumn("slot", F.floor(F.col("point") / F.col("piece")))
-    inside = (F.col("point") >= F.col("start")) & (F.col("point") < F.col("start") + F.col("w"))
-    return points.join(placed, "slot").where(inside).select("draw", "term")
-
-
-def sample_keys(keys: DataFrame, key: str, n: int, seed: int = 0, buckets: int = 1024) -> DataFrame:
-    """``n`` records' keys with replacement, each record equally likely."""
-    rows = keys.select(F.col(key).alias("key"))
-    rows = rows.withColumn("_bucket", F.pmod(hashing.token_hash(F.col("key").cast("string")), F.lit(buckets)))
-    placed = skew.positions(rows, [], "_bucket", [F.col("key")])
-    total = rows.agg(F.count("*").alias("n")).scalar()
-    points = draws(keys.sparkSession, n, seed).withColumn("total", total)
-    points = points.select("draw", (F.col("h") % F.col("total")).alias("pos"))
-    return points.join(placed, "pos").select("draw", "key")
+    points = draws(rows.sparkSession, n, seed).withColumn("total", total).where("total > 0")
+    points = checkpointed(points.select("draw", (F.col("h") % F.col("total")).alias("at"), F.lit(0).alias("_p0")))
+    rows, above = rows.withColumn("_p0", F.lit(0)), "_p0"
+    for name in pieces:
+        hit = skew.semi(rows, points.select(above).distinct(), [above]) if above != "_p0" else rows
+        sums = hit.groupBy(above, name).agg(F.sum("w").alias("size"))
+        # At most 2^LEVEL_BITS pieces within one of the level above.
+        ordered = Window.partitionBy(above).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("start", F.coalesce(F.sum("size").over(ordered), F.lit(0)))
+        inside = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("size"))
+        found = points.join(sums, above).where(inside)
+        points = checkpointed(found.select("draw", (F.col("at") - F.col("start")).alias("at"), name))
+        above = name
+    ranked = skew.semi(rows, points.select(above).distinct(), [above])
+    ordered = Window.partitionBy(above).orderBy("h", "item").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("start", F.coalesce(F.sum("w").over(ordered), F.lit(0)))
+    inside = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("w"))
+    return points.join(ranked, above).where(inside).select("draw", "item")
+
+
+def weighted_sample(terms: DataFrame, term: str, weight: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` terms with replacement, with odds proportional to an integer weight: ``(draw, term)``.
+
+    No order of the whole vocabulary is made: see ``_drawn``.
+    """
+    rows = terms.select(F.col(term).alias("item"), F.col(weight).cast("bigint").alias("w")).where("w > 0")
+    # Counted terms are used several times; what made them runs once.
+    rows = checkpointed(rows.withColumn("h", hashing.token_hash(F.col("item").cast("string"))))
+    return _drawn(rows, n, seed).withColumnRenamed("item", "term")
+
+
+def sample_keys(keys: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` records' keys with replacement, each record equally likely: ``(draw, key)``."""
+    rows = keys.select(F.col(key).alias("item"))
+    hashed = rows.groupBy("item").agg(F.count("*").alias("w"))
+    hashed = hashed.withColumn("h", hashing.token_hash(F.coalesce(F.col("item").cast("string"), F.lit(""))))
+    return _drawn(hashed, n, seed).withColumnRenamed("item", "key")

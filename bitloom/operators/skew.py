@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.session import checkpointed
+
 
 # From how many rows on a key is worth splitting.
 HOT_ROWS = 1_000_000
@@ -56,6 +58,11 @@ def lookup(
     return _salted_join(facts, hot, right, on, how)
 
 
+def semi(facts: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key is listed; the list is short beside them and each row is read once."""
+    return facts.join(keys, on, "left_semi")
+
+
 def lookup_counted(
     facts: DataFrame, counted: DataFrame, on: list[str], n: str, hot_rows: int = HOT_ROWS, salts: int = 64
 ) -> DataFrame:
@@ -109,6 +116,32 @@ def positions(df: DataFrame, keys: list[str], bucket: str, order: list[Column],
     return running_total(df, keys, bucket, order, F.lit(1).cast("bigint"), name)
 
 
+def ranged(df: DataFrame, keys: list[str], order: list[str], bucket: str = "_bucket") -> DataFrame:
+    """The rows in ranges of (keys, order), kept once, with the range's number as ``bucket``.
+
+    A key of any number of rows lies in several ranges, which the operators of this
+    module stitch together. ``order`` is to tell rows apart where ranges are to stay
+    balanced.
+    """
+    return checkpointed(df.repartitionByRange(*keys, *order).withColumn(bucket, F.spark_partition_id()))
+
+
+def last_known(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Add the last ``value`` that is not null up to each row of its key, by ``bucket`` then ``order``.
+
+    Each bucket is sorted on its own; what it begins with comes from one row per key
+    and bucket.
+    """
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = df.where(F.col(value).isNotNull()).groupBy(*keys, bucket).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    ends = df.select(*keys, bucket).distinct().join(ends, [*keys, bucket], "left")
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, bucket, F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    local = F.last(value, ignorenulls=True).over(inside)
+    rows = df.withColumn("_local", local).join(ends, [*keys, bucket])
+    return rows.withColumn(name, F.coalesce("_local", "_before")).drop("_local", "_before")
+
+
 def following(
     df: DataFrame, keys: list[str], bucket: str, order: list[str], values: list[str], prefix: str = "next_"
 ) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitloom.operators import skew
+from bitloom.session import checkpointed
 
 LOG = ["branch", "seq", "message", "ts", "snapshot_id"]
 
@@ -85,26 +87,84 @@ def head_tail(
     return rows.withColumn("status", status).drop("_newest")
 
 
+def commit_intervals(versions: DataFrame, key: str, committed: str, deleted: str) -> DataFrame:
+    """What each item version is over time: ``(key, committed, since, until, status)``.
+
+    ``versions`` has at most one version of a key per commit. A version is head (or
+    deleted) from its own commit until the key's next one, and tail from then on;
+    ``until`` is not included, null has no end. Two rows for each version at most,
+    however many commits there are.
+    """
+    rows = skew.following(versions.select(key, committed, deleted), [key], committed, [committed], [committed])
+    since, until = F.col(committed), F.col(f"next_{committed}")
+    status = F.when(F.col(deleted), "deleted").otherwise("head")
+    none = F.lit(None).cast(versions.schema[committed].dataType)
+    first = F.struct(since.alias("since"), until.alias("until"), status.alias("status"))
+    then = F.struct(until.alias("since"), none.alias("until"), F.lit("tail").alias("status"))
+    parts = F.filter(F.array(first, then), lambda part: part["since"].isNotNull())
+    return rows.select(key, committed, F.inline(parts))
+
+
+def status_as_of(versions: DataFrame, asks: DataFrame, key: str, committed: str, deleted: str, at: str) -> DataFrame:
+    """Each row of ``asks`` (key, at, ...) with the key's version as of then: ``committed`` and ``status``.
+
+    An as-of join: both tables lie in one order and each ask takes the last version
+    at or before it, so no pair of rows is ever formed. Null where the key has no
+    version yet. A key with very many rows is split.
+    """
+    kind = versions.schema[committed].dataType
+    carried = [c for c in asks.columns if c not in (key, at)]
+    have = versions.select(
+        key, F.col(committed).alias("_t"), F.lit(0).alias("_ask"),
+        F.struct(F.col(committed).alias("c"), F.col(deleted).alias("d")).alias("_version"),
+        F.lit(None).cast(asks.select(F.struct(*carried, F.lit(1).alias("_")).alias("x")).schema["x"].dataType).alias("_row"),
+    )
+    want = asks.select(
+        key, F.col(at).cast(kind).alias("_t"), F.lit(1).alias("_ask"),
+        F.lit(None).cast(have.schema["_version"].dataType).alias("_version"),
+        F.struct(*carried, F.lit(1).alias("_")).alias("_row"),
+    )
+    both = skew.ranged(have.unionByName(want), [key], ["_t", "_ask"])
+    known = skew.last_known(both, [key], "_bucket", ["_t", "_ask"], "_version", "_last")
+    status = F.when(F.col("_last.d"), "deleted").when(F.col("_last.c").isNotNull(), "head")
+    return known.where("_ask = 1").select(
+        key, F.col("_t").alias(at), *(F.col(f"_row.`{c}`").alias(c) for c in carried), F.col("_last.c").alias(committed), status.alias("status")
+    )
+
+
 def commit_matrix(
-    versions: DataFrame, key: str, committed: str, deleted: str, commits: list | None = None
+    versions: DataFrame, key: str, committed: str, deleted: str, commits: list | DataFrame | None = None
 ) -> DataFrame:
     """Status of every item version as of each commit, or of the asked ones.
 
-    ``versions`` has at most one version of a key per commit. A version is head
-    from its own commit until the key's next one and tail after that, so each row
-    needs only its successor. The list of commits, one entry per commit however
-    many items, is a scalar.
+    ``commits`` lists the asked commits, as values or as the one column of a table.
+    They are numbered in their order, and an interval of ``commit_intervals`` covers
+    a run of numbers: the work follows the asked commits, and no list of commits is
+    ever one value.
     """
-    following = skew.following(versions.select(key, committed, deleted), [key], committed, [committed], [committed])
+    spark, kind = versions.sparkSession, versions.schema[committed].dataType
     if commits is None:
-        every = versions.select(committed).distinct().agg(F.sort_array(F.collect_set(committed)).alias("c")).scalar()
+        asked = versions.select(F.col(committed).alias("commit"))
+    elif isinstance(commits, DataFrame):
+        asked = commits.toDF("commit").select(F.col("commit").cast(kind).alias("commit"))
     else:
-        every = F.array(*map(F.lit, commits))
-    since = F.filter("every", lambda commit: commit >= F.col(committed))
-    rows = following.withColumn("every", every).withColumn("commit", F.explode(since))
-    superseded = F.col(f"next_{committed}") <= F.col("commit")
-    status = F.when(superseded, "tail").when(F.col(deleted), "deleted").otherwise("head")
-    return rows.select(key, committed, "commit", status.alias("status"))
+        asked = spark.createDataFrame([(c,) for c in commits], T.StructType([T.StructField("commit", kind)]))
+    asked = asked.where("commit IS NOT NULL").distinct().withColumn("_asked", F.lit(1).cast("long"))
+    intervals = checkpointed(commit_intervals(versions, key, committed, deleted))
+    ends = [intervals.select(F.col(c).alias("commit"), F.lit(0).cast("long").alias("_asked")) for c in ("since", "until")]
+    times = asked.unionByName(ends[0]).unionByName(ends[1]).where("commit IS NOT NULL").groupBy("commit").agg(F.max("_asked").alias("_asked"))
+    times = skew.ranged(times, [], ["commit"])
+    # How many asked commits come before each time; for an asked one its own number.
+    numbered = checkpointed(skew.running_total(times, [], "_bucket", [F.col("commit")], F.col("_asked"), "_number"))
+    total = numbered.agg(F.coalesce(F.sum("_asked"), F.lit(0)).alias("n")).scalar()
+    rows = intervals
+    for end in ("since", "until"):
+        at = numbered.select(F.col("commit").alias(end), F.col("_number").alias(f"_{end}"))
+        rows = skew.lookup(rows, at, [end], "left")
+    rows = rows.withColumn("_until", F.coalesce("_until", total)).where(F.col("_since") < F.col("_until"))
+    rows = rows.withColumn("_number", F.explode(F.sequence(F.col("_since"), F.col("_until") - 1)))
+    named = skew.lookup(rows, numbered.where("_asked = 1").select("_number", "commit"), ["_number"])
+    return named.select(key, committed, "commit", "status")
 
 
 def expire(records: DataFrame, modified: str, asof: Column, ttl: str) -> DataFrame:

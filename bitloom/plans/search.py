@@ -105,7 +105,7 @@ def ngram_windows_11(spark, folder):
 @query(
     "weighted_term_sample",
     f"""WITH {POST}, t AS (SELECT token AS term, sum(n)::BIGINT AS w FROM post GROUP BY 1),
-    c AS (SELECT term, w, (sum(w) OVER (ORDER BY {o.hash63('term')} % 1024, term) - w)::BIGINT AS start FROM t),
+    c AS (SELECT term, w, (sum(w) OVER (ORDER BY {o.hash63('term')}, term) - w)::BIGINT AS start FROM t),
     d AS (SELECT i AS draw, {o.hash63("('5:' || i)")} AS h FROM range(1000) r(i)),
     p AS (SELECT draw, h % (SELECT sum(w)::BIGINT FROM t) AS point FROM d)
     SELECT draw, term FROM p JOIN c ON point >= start AND point < start + w""",
@@ -117,7 +117,7 @@ def weighted_term_sample(spark, folder):
 
 @query(
     "random_sample_keys",
-    f"""WITH k AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY {o.hash63('o_orderkey::VARCHAR')} % 1024, o_orderkey) - 1
+    f"""WITH k AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY {o.hash63('o_orderkey::VARCHAR')}, o_orderkey) - 1
       AS pos FROM orders), d AS (SELECT i AS draw, {o.hash63("('3:' || i)")} AS h FROM range(500) r(i))
     SELECT draw, key FROM d JOIN k ON pos = h % (SELECT count(*) FROM orders)""",
 )

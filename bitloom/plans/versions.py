@@ -108,6 +108,14 @@ def commit_head_tail(spark, folder):
     return staged.select("event_id", "user_id", "status")
 
 
+def daily_versions(spark, folder):
+    """A user's day as one version; it is a removal if the day's last event is an error."""
+    events = read_table(spark, folder, "events")
+    return events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        (F.max_by("event_type", "event_id") == "error").alias("removed")
+    )
+
+
 @query(
     "commit_matrix",
     """WITH v AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(event_type, event_id) = 'error' AS removed
@@ -118,11 +126,45 @@ def commit_head_tail(spark, folder):
     FROM n JOIN c ON day <= commit""",
 )
 def commit_matrix(spark, folder):
-    events = read_table(spark, folder, "events")
-    daily = events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
-        (F.max_by("event_type", "event_id") == "error").alias("removed")
-    )
-    return versions.commit_matrix(daily, "user_id", "day", "removed")
+    return versions.commit_matrix(daily_versions(spark, folder), "user_id", "day", "removed")
+
+
+DAILY = """v AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(event_type, event_id) = 'error' AS removed FROM events GROUP BY 1, 2)"""
+
+
+@query(
+    "commit_intervals",
+    f"""WITH {DAILY}, n AS (SELECT *, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS next_day FROM v)
+    SELECT user_id, day, day AS since, next_day AS until, CASE WHEN removed THEN 'deleted' ELSE 'head' END AS status FROM n
+    UNION ALL SELECT user_id, day, next_day, NULL, 'tail' FROM n WHERE next_day IS NOT NULL""",
+)
+def commit_intervals(spark, folder):
+    return versions.commit_intervals(daily_versions(spark, folder), "user_id", "day", "removed")
+
+
+@query(
+    "commit_matrix_asked",
+    f"""WITH {DAILY}, n AS (SELECT *, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS next_day FROM v),
+    c AS (SELECT DISTINCT day AS commit FROM v WHERE day LIKE '%1')
+    SELECT user_id, day, commit, CASE WHEN next_day <= commit THEN 'tail' WHEN removed THEN 'deleted' ELSE 'head' END AS status
+    FROM n JOIN c ON day <= commit""",
+)
+def commit_matrix_asked(spark, folder):
+    daily = daily_versions(spark, folder)
+    return versions.commit_matrix(daily, "user_id", "day", "removed", daily.where("day LIKE '%1'").select("day").distinct())
+
+
+@query(
+    "status_as_of",
+    f"""WITH {DAILY}, a AS (SELECT o_orderkey, o_custkey AS user_id, '2024-01-' || lpad((o_orderkey % 31 + 1)::VARCHAR, 2, '0') AS at FROM orders)
+    SELECT a.user_id, a.at, a.o_orderkey, v.day, CASE WHEN v.removed THEN 'deleted' WHEN v.day IS NOT NULL THEN 'head' END AS status
+    FROM a ASOF LEFT JOIN v ON a.user_id = v.user_id AND a.at >= v.day""",
+)
+def status_as_of(spark, folder):
+    orders = read_table(spark, folder, "orders")
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("o_orderkey") % 31 + 1).cast("string"), 2, "0"))
+    asks = orders.select(F.col("o_custkey").alias("user_id"), day.alias("at"), "o_orderkey")
+    return versions.status_as_of(daily_versions(spark, folder), asks, "user_id", "day", "removed", "at")
 
 
 @query("ttl_expire", "SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bitloom.functions import hashing
 from bitloom.operators import search, skew
 
 
@@ -129,7 +130,7 @@ def test_weighted_sample(spark):
     assert "never" not in counts
     for term, tf in terms[:-1]:
         assert abs(counts[term] / 4000 - tf / 100) < 0.04
-    again = search.weighted_sample(df, "term", "tf", 4000, seed=1, slots=7).collect()
+    again = search.weighted_sample(df.repartition(3), "term", "tf", 4000, seed=1).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
@@ -137,3 +138,24 @@ def test_sample_keys(spark):
     keys = spark.range(50).select(F.col("id").alias("k"))
     rows = search.sample_keys(keys, "k", 2000, seed=2).collect()
     assert len(rows) == 2000 and {r["key"] for r in rows} == set(range(50))
+
+
+def test_samples_follow_the_line_of_hashes(spark):
+    """Each draw takes the item at its point of the line, as a walk over the whole line finds it."""
+    rng = np.random.default_rng(0)
+    weights = {f"t{i}": int(w) for i, w in enumerate(rng.integers(0, 50, 3000))} | {"heavy": 40_000}
+    df = spark.createDataFrame(list(weights.items()), "term string, tf long").repartition(5)
+    hashed = df.where("tf > 0").select("term", "tf", hashing.token_hash(F.col("term")).alias("h")).collect()
+    line = [t for _, t, w in sorted((r["h"], r["term"], r["tf"]) for r in hashed) for _ in range(w)]
+    points = {r["draw"]: r["h"] % len(line) for r in search.draws(spark, 500, 4).collect()}
+    got = {r["draw"]: r["term"] for r in search.weighted_sample(df, "term", "tf", 500, seed=4).collect()}
+    assert got == {d: line[at] for d, at in points.items()}
+    assert 0.2 < sum(t == "heavy" for t in got.values()) / 500 < 0.5
+    assert search.weighted_sample(df.limit(0), "term", "tf", 5).isEmpty()
+
+
+def test_sampled_keys_that_repeat_or_are_missing(spark):
+    keys = spark.createDataFrame([("a",)] * 700 + [("b",)] * 200 + [(None,)] * 100, "k string")
+    rows = [r["key"] for r in search.sample_keys(keys, "k", 3000, seed=5).collect()]
+    counts = Counter(rows)
+    assert len(rows) == 3000 and all(abs(counts[k] / 3000 - p) < 0.04 for k, p in (("a", 0.7), ("b", 0.2), (None, 0.1)))

@@ -60,7 +60,7 @@ def plain(text: str) -> list[Span]:
     found = list(_emails(text)) if "@" in text else []
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
                 found.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = _digits(m[0])

@@ -94,6 +94,15 @@ def test_planted_disguises_in_long_text(docs):
     assert places and set(places) <= found
 
 
+def test_long_runs_of_zeros():
+    """More digits than Python turns into a number, in plain and in disguised text."""
+    zeros = "0" * 5000
+    for text in (f"1.2.3.{zeros}", f"{zeros}.{zeros}1.2.{zeros}255", f"1.2.3.{zeros}256", f"1.2.3.{'9' * 5000}"):
+        fits = not text.endswith(("256", "9"))
+        assert pii.plain(text) == ([("ip", 0, len(text))] if fits else [])
+        assert [s[:3] for s in pii.spans(f"one dot two {text} \u0430 at b dot org") if s[0] == "ip" and s[1] == 12] == ([("ip", 12, 12 + len(text))] if fits else [])
+
+
 def test_edge_rows(spark, docs, empty):
     rows = pii.personal_data(docs).collect()
     assert len(rows) == docs.count() and all(r["spans"] == [] for r in rows)

@@ -37,6 +37,8 @@ BAND = 5
 SKETCHED_BYTES = 1_000_000
 # Up to how many fingerprints of one key are joined with each other.
 JOINED = 32
+# Bits of the map of crowded keys; four megabytes.
+MAP_BITS = 1 << 25
 _HALF = (1 << 32) - 1
 
 
@@ -81,6 +83,56 @@ def _variants(fps: DataFrame) -> DataFrame:
     return fps.select("t", "fp", F.explode(F.array(*keys)).alias("key"))
 
 
+def _variant_keys(fps: np.ndarray) -> np.ndarray:
+    """The keys of ``_variants``, 64 for each fingerprint."""
+    halves = np.stack([fps & np.uint64(_HALF), fps >> np.uint64(32)], axis=1)
+    masks = np.uint64(_HALF) ^ (np.uint64(1) << np.arange(32, dtype=np.uint64))
+    names = np.arange(64, dtype=np.uint64).reshape(2, 32) << np.uint64(32)
+    return ((halves[:, :, None] & masks) | names).reshape(len(fps), 64)
+
+
+def _key_bits(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) % np.uint64(MAP_BITS)).astype(np.int64)
+
+
+def _key_map(keys: DataFrame) -> np.ndarray:
+    """A bit for each ``key``, in a map of fixed size."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.unique(_key_bits(batch.column(0).to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(found)], ["bit"])
+
+    cells = keys.select("key").mapInArrow(bits, "bit long").groupBy(F.expr("bit div 64").alias("cell"))
+    # At most MAP_BITS / 64 rows.
+    table = cells.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[table.column("cell").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _members(fps: DataFrame, keys: DataFrame) -> DataFrame:
+    """(t, key, fp): the fingerprints of the ``keys`` (t, key), which are few beside all variants.
+
+    A map of fixed size holds back most variants of other keys before the shuffle,
+    and the join decides.
+    """
+    held = _key_map(keys)
+
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 65_536):
+                part = batch.slice(at, 65_536)
+                all_keys = _variant_keys(part.column(1).to_numpy().view(np.uint64))
+                bits = _key_bits(all_keys)
+                row, place = np.nonzero(held[bits // 8] >> (bits % 8).astype(np.uint8) & 1)
+                take = pa.array(row)
+                found = pa.array(all_keys[row, place].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), found, part.column(1).take(take)], ["t", "key", "fp"])
+
+    return fps.select("t", "fp").mapInArrow(variants, "t int, key long, fp long").join(keys.select("t", "key", "n"), ["t", "key"])
+
+
 def _points(fps: DataFrame) -> DataFrame:
     """(t, point, fp): the fingerprint itself and all that differ from it in one bit."""
     flips = [F.lit(0).cast("long")] + [F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b) for b in range(64)]
@@ -90,13 +142,16 @@ def _points(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Edges (t, a, b) that join all distinct ``fp`` of a table ``t`` which chains of links connect.
 
-    Every link between fingerprints of keys with at most ``JOINED`` fingerprints is
-    a row. In larger keys each point links its fingerprints to the least of them.
+    One aggregate finds the keys of two fingerprints with the fingerprints themselves.
+    Larger keys are joined: every link between fingerprints of keys with at most
+    ``JOINED`` is a row, in larger ones each point links its fingerprints to the
+    least of them.
     """
-    index = _variants(fps)
-    # Written, so that the joins shuffle both sides themselves and can split a key of very many rows.
-    shared = stored(index.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
-    members = stored(index.join(shared, ["t", "key"]), "simhash-keys")
+    keys = _variants(fps).groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    # Written, so that the join shuffles both sides itself and can split a key of very many rows.
+    shared = stored(keys.where("n > 1"), "simhash-shared")
+    two = shared.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("t", "a", "b")
+    members = stored(_members(fps, shared.where("n > 2")), "simhash-keys")
     small = members.where(F.col("n") <= JOINED).select("t", "key", "fp")
     a, b = small.alias("a"), small.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
@@ -111,7 +166,7 @@ def links(fps: DataFrame) -> DataFrame:
     least = points.groupBy("t", "point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
     least = stored(least.drop("n"), "simhash-points")
     stars = points.join(least, ["t", "point"]).where("fp > a").select("t", "a", F.col("fp").alias("b"))
-    return pairs.unionAll(stars).distinct()
+    return two.unionAll(pairs).unionAll(stars).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:

@@ -68,13 +68,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_minimax_shards")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     sharded = sharding.minimax_shards(read_table(spark, folder, "documents"))
-    return sharded.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return sharded.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
 @query("op8_mixture_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, folder, "documents"))
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
+    )
 
 
 @query("op9_vector_dedup", vector_dedup.SQL)

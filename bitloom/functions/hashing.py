@@ -7,6 +7,8 @@ token contributes. Everything stays in code generation; nothing is a UDF.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def _hash63(text: Column) -> Column:
     return F.coalesce(head, F.lit(0)).bitwiseAND(F.lit(_MASK))
 
 
+def hash_of(token: str) -> int:
+    """``token_hash`` of one token, for ids that a query names."""
+    return int(md5(token.encode(), usedforsecurity=False).hexdigest()[:16], 16) & _MASK
+
+
 def token_hash(token: Column, seed: int = 0) -> Column:
     """Non-negative 63-bit hash; a seed other than 0 hashes the hash again.
 

@@ -44,6 +44,22 @@ def upsert_edges(edges: DataFrame, seq: str) -> DataFrame:
     return kept.select("status", "source", "target", "last.*")
 
 
+def newest_edges(old: DataFrame, fresh: DataFrame, seq: str) -> DataFrame:
+    """Both tables' edges by their last write, with ``seq``: to be merged again with later ones."""
+    columns = ["status", "source", "target", "r_type", "props", seq]
+    last = F.max_by(F.struct("r_type", "props", seq), seq).alias("last")
+    both = old.select(*columns).unionByName(fresh.select(*columns))
+    return both.groupBy("status", "source", "target").agg(last).select("status", "source", "target", "last.*")
+
+
+def newest_fields(old: DataFrame, fresh: DataFrame, by: list[str]) -> DataFrame:
+    """Both tables' fields ``(key, field, value, *by)`` by their last write."""
+    columns = ["key", "field", "value", *by]
+    last = F.max_by(F.struct("value", *by), F.struct(*by)).alias("last")
+    both = old.select(*columns).unionByName(fresh.select(*columns))
+    return both.groupBy("key", "field").agg(last).select("key", "field", "last.*")
+
+
 def stamped_upsert(updates: DataFrame, by: list[str]) -> DataFrame:
     """Latest value of each field of each key, and the key's last time of change.
 

@@ -103,6 +103,56 @@ def stamped_upsert(spark, folder):
     return latest.withColumn("last_modified", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(
+    "node_upsert_stored",
+    f"""WITH {o.doc_sketch('source')}, {IDS}, l AS (
+      SELECT source AS set_id, lang AS label FROM documents UNION SELECT source, CASE WHEN n_chars > 2000 THEN 'long'
+      ELSE 'short' END FROM documents)
+    SELECT 'b' AS status, sha1, string_agg(label, ',' ORDER BY label) AS labels FROM ids JOIN l USING (set_id) GROUP BY sha1""",
+)
+def node_upsert_stored(spark, folder):
+    """A stored graph: its nodes are written once, later labels are merged into the partitions they fall into."""
+    path = files.new_folder(spark, "nodes")
+    nodes = checkpointed(source_nodes(spark, folder))
+    stores.merge_into(spark, path, nodes.select("status", "sha1", "labels"), ["status", "sha1"], graph.upsert_nodes)
+    size = F.when(F.col("n_chars") > 2000, "long").otherwise("short")
+    docs = read_table(spark, folder, "documents").select(F.col("source").alias("set_id"), F.array(size).alias("labels"))
+    fresh = docs.distinct().join(nodes.select("set_id", "status", "sha1"), "set_id").select("status", "sha1", "labels")
+    stores.merge_into(spark, path, fresh, ["status", "sha1"], graph.upsert_nodes)
+    return shown(stores.read_merged(spark, path))
+
+
+@query(
+    "edge_upsert_stored",
+    f"""SELECT status, source, target, r_type, props FROM ({EDGES})
+    QUALIFY row_number() OVER (PARTITION BY status, source, target ORDER BY event_id DESC) = 1""",
+)
+def edge_upsert_stored(spark, folder):
+    """The events' edges in two halves, the later one first: writes that come late lose."""
+    path, edges = files.new_folder(spark, "edges"), event_edges(spark, folder)
+    half = edges.agg((F.max("event_id") / 2).alias("h")).scalar()
+    for part in (edges.where(F.col("event_id") > half), edges.where(F.col("event_id") <= half)):
+        stores.merge_into(spark, path, part, ["status", "source", "target"], lambda old, new: graph.newest_edges(old, new, "event_id"))
+    return stores.read_merged(spark, path).drop("event_id")
+
+
+@query(
+    "stamped_upsert_stored",
+    """WITH u AS (UNPIVOT (SELECT user_id AS key, event_id, event_type, value::VARCHAR AS value_text, props FROM events)
+      ON event_type, value_text, props INTO NAME field VALUE value)
+    SELECT key, field, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM u GROUP BY key, field""",
+)
+def stamped_upsert_stored(spark, folder):
+    path = files.new_folder(spark, "fields")
+    events = read_table(spark, folder, "events").select(
+        F.col("user_id").alias("key"), "event_id", "event_type", F.col("value").cast("string").alias("value_text"), "props"
+    )
+    updates = events.unpivot(["key", "event_id"], ["event_type", "value_text", "props"], "field", "value").where("value IS NOT NULL")
+    for part in (updates.where("event_id % 3 <> 0"), updates.where("event_id % 3 = 0")):
+        stores.merge_into(spark, path, part, ["key"], lambda old, new: graph.newest_fields(old, new, ["event_id"]))
+    return stores.read_merged(spark, path)
+
+
 def node_op_sql(op: str) -> str:
     word = o.PAIR_OPS[op]
     args = "x.sha1 || ':' || y.sha1" if op == "comp" else "least(x.sha1, y.sha1) || ':' || greatest(x.sha1, y.sha1)"

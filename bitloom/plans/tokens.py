@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitloom.functions import text
+from bitloom.functions import hashing, text
 from bitloom.operators import sketch, tokens, verbs
 from bitloom.plans import oracle as o
 from bitloom.plans.registry import query
-from bitloom.sources.stores import stored
+from bitloom.sources import files, stores
 from bitloom.sources.tables import read_table, spread
 
 
@@ -20,15 +20,18 @@ def doc_postings(spark, folder, ref="source", n_bytes=2):
     return tokens.postings(rows, distinct=True)
 
 
-_STORED = {}
+_STORED: dict[tuple, str] = {}
 
 
 def doc_index(spark, folder):
-    """The documents' index, written once for each version of the table; searches scan what is stored."""
-    version = (spark.sparkContext.applicationId, *sorted(read_table(spark, folder, "documents").inputFiles()))
+    """The documents' index, written once for each version of the table's files; searches scan what is stored."""
+    path = f"{folder}/documents.parquet"
+    version = (spark.sparkContext.applicationId, path, stores.version_of(spark, path))
     if version not in _STORED:
-        _STORED[version] = stored(tokens.index_batch(doc_postings(spark, folder)), "index")
-    return _STORED[version]
+        index = files.new_folder(spark, "index")
+        stores.store_sorted(tokens.index_batch(doc_postings(spark, folder)), index, "id")
+        _STORED[version] = index
+    return spark.read.parquet(_STORED[version])
 
 
 POST = (
@@ -91,6 +94,19 @@ def token_lookup(spark, folder):
     return shown(tokens.token_lookup(doc_index(spark, folder), tokens.with_id(asked)))
 
 
+LOOKED_UP = ("and", "les", "sich", "para", "heron", "no such word")
+
+
+@query(
+    "token_find",
+    f"""WITH {IX} SELECT * FROM ix WHERE id IN (SELECT {o.hash63('w')} FROM (VALUES {', '.join(f"('{w}')" for w in LOOKED_UP)}) t(w))""",
+)
+def token_find(spark, folder):
+    """A few named tokens: the stored index is read where they can be, and nowhere else."""
+    ids = [hashing.hash_of(word) for word in LOOKED_UP]
+    return shown(stores.look_up(doc_index(spark, folder), "id", ids))
+
+
 @query(
     "refs_match_join",
     f"""WITH {POST}, wanted AS (SELECT source AS ref FROM documents GROUP BY 1 HAVING avg(n_chars) >

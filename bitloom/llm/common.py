@@ -83,6 +83,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(at, to - at)
             at, done = to, int(ends[to - 1])
+        # Workers live on: what Arrow has freed goes back to the machine.
+        pa.default_memory_pool().release_unused()
 
 
 def filled(texts: pa.Array) -> pa.Array:

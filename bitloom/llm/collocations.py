@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import SLICE_BYTES, filled, mix, stored
+from bitloom.llm.common import filled, mix, stored
 from bitloom.operators import skew
 
 LONGEST = 3
+# Bytes of text, or of chunks, that are worked on at once: more, as equal phrases meet early.
+SLICE_BYTES = 8_000_000
 # One window of words in so many ends a chunk.
 EVERY = 8
 # A chunk has at most so many words, whatever they are.

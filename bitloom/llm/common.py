@@ -16,7 +16,7 @@ from bitloom.operators import skew
 from bitloom.sources.files import new_folder
 
 # Bytes of text that a Python worker works on at once; one longer text is worked on alone.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 
 
 _RECORDS: list[list[str]] = []

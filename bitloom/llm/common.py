@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -20,6 +21,8 @@ SLICE_BYTES = 3_000_000
 
 
 _RECORDS: list[list[str]] = []
+# The allocator of numpy and Python keeps what they free, unless it is told; not all systems can be.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -83,8 +86,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(at, to - at)
             at, done = to, int(ends[to - 1])
-        # Workers live on: what Arrow has freed goes back to the machine.
-        pa.default_memory_pool().release_unused()
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the machine: Python workers live on through later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def filled(texts: pa.Array) -> pa.Array:

@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,6 +28,8 @@ WINDOW = 16
 GRAM = 5
 # Pseudo-counts on either side of a ratio: n-grams hardly ever seen say nothing.
 PRIOR = 1.0
+# Log ratios are multiples of one over it, so that sums are exact in any order and batch.
+GRAIN = 1 << 20
 # Labelled rows: three quarters of them, by hash, are counted in models, the others scale the sums.
 LABELLED = 20_000
 # The share of good labelled texts that each of the two sums may fall below its cut for.
@@ -36,6 +37,8 @@ LOSS = 0.002
 # Gumbel noise is scaled by it; a typical good text weighs 1, one at the cut 0.
 TEMPERATURE = 0.01
 MODELS = ("word", "pair", "bytes")
+# What orders rows of the same draw.
+TIES = ("key", "row")
 _MARKS = b".,;:!?\"'()%$#&*|"
 
 
@@ -139,17 +142,17 @@ def log_ratios(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str)
     raw[sums["model"], sums["bucket"]] = sums["raw"]
     good[sums["model"], sums["bucket"]] = sums["good"]
     expected = raw * good.sum(axis=1, keepdims=True) / np.maximum(raw.sum(axis=1, keepdims=True), 1)
-    return np.log((good + PRIOR) / (expected + PRIOR))
+    return np.round(np.log((good + PRIOR) / (expected + PRIOR)) * GRAIN) / GRAIN
 
 
 def _worst(text: Column, ratios: np.ndarray) -> Column:
-    @F.pandas_udf("flow double, letters double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("flow double, letters double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+            batch = pa.RecordBatch.from_arrays([texts], ["text"])
             parts = [_Batch(filled(b.column(0))).worst(ratios) for b in slices(iter([batch]), "text")]
             flow, letters = (np.concatenate(x) if parts else np.zeros(0) for x in (list(zip(*parts)) or ((), ())))
-            yield pd.DataFrame({"flow": flow, "letters": letters})
+            yield pa.StructArray.from_arrays([pa.array(flow), pa.array(letters)], ["flow", "letters"])
 
     return of(text)
 
@@ -171,8 +174,10 @@ def resample(
     toxicity 0, rows with a null say nothing. At most ``most_labelled`` ids are
     used, the first by hash. A null text counts as empty, and a text without words
     has all ratios 1. Without labels that fit and scale the models every row
-    weighs 1 and is kept. Repeated rows are weighed alike and drawn each for
-    itself, by id and order of reading. An empty table gives no rows.
+    weighs 1 and is kept. Noise follows from a row's id and text, so the draw is the
+    same however the table is partitioned. Rows alike in both have the same noise;
+    where the last place falls among them, the first in the order of reading are
+    drawn. An empty table gives no rows.
     """
     keyed = nested(docs)
     labelled = stored(_labelled(labels, id_col, quality_col, toxic_col, most_labelled), "quality-labels")
@@ -189,14 +194,16 @@ def resample(
         # Without spread among good texts the sum can't tell texts apart.
         weights.append((F.col(f"worst.{c}") - cut) / (middle - cut) if middle > cut else F.lit(1.0))
     weight = F.least(*weights)
-    share = (F.pmod(F.xxhash64(f"doc.{id_col}", "row", F.lit(2)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = scored.withColumn("log_weight", weight)
+    key = F.xxhash64(f"doc.{id_col}", F.coalesce(F.col(f"doc.{text_col}").cast("string"), F.lit("")))
+    share = (F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    scored = scored.withColumn("log_weight", weight).withColumn("key", key)
     scored = scored.withColumn("draw", F.col("log_weight") - temperature * F.log(-F.log(share)))
     k = scored.where("log_weight >= 0").count()
-    order = [F.col("draw").desc(), F.col("row")]
-    ranked = running_start(in_order(scored.select("draw", "row"), order, "quality-order"), order, F.lit(1), "rank")
+    order = [F.col("draw").desc(), *(F.col(c) for c in TIES)]
+    ranked = running_start(in_order(scored.select("draw", *TIES), order, "quality-order"), order, F.lit(1), "rank")
     last = ranked.where(F.col("rank") == k - 1).first()
     if last is None:
         return scored.select("doc", "log_weight").limit(0)
-    drawn = (F.col("draw") > last["draw"]) | ((F.col("draw") == last["draw"]) & (F.col("row") <= last["row"]))
+    tied = F.struct(*TIES) <= F.struct(*(F.lit(last[c]).alias(c) for c in TIES))
+    drawn = (F.col("draw") > last["draw"]) | ((F.col("draw") == last["draw"]) & tied)
     return scored.where(drawn).select("doc", "log_weight")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import clear, hashed_words, mix, nested, recording, shingles, slices, stored
+from bitloom.llm.common import clear, hashed_words, mix, nested, recording, release, shingles, slices, stored
 from bitloom.llm.components import components
 
 # The seed of the shingle hash, and the links' greatest distance.
@@ -234,12 +234,17 @@ def _sketch(texts: pa.Array, k: int, tables: int) -> dict[str, list]:
 def _sketches(text: Column, k: int, tables: int) -> Column:
     """``_sketch`` as a column; a text without words has no keys."""
 
-    @F.pandas_udf("size int, high long, low long, keys array<long>")
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kinds = [("size", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("keys", pa.list_(pa.int64()))]
+
+    @F.arrow_udf("size int, high long, low long, keys array<long>")
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
-            parts = [pd.DataFrame(_sketch(part.column(0), k, tables)) for part in slices(iter([batch]), "text", SKETCHED_BYTES)]
-            yield pd.concat(parts, ignore_index=True).astype({"size": "int32"}) if parts else pd.DataFrame(_sketch(batch.column(0), k, tables))
+            batch = pa.RecordBatch.from_arrays([texts.cast(pa.large_string())], ["text"])
+            parts = []
+            for part in slices(iter([batch]), "text", SKETCHED_BYTES):
+                made = _sketch(part.column(0), k, tables)
+                parts.append(pa.StructArray.from_arrays([pa.array(made[name], kind) for name, kind in kinds], [name for name, _ in kinds]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(kinds))
 
     return each(text)
 
@@ -251,14 +256,15 @@ def _shingle_similarity(a: Column, b: Column, k: int) -> Column:
         words = text.encode("utf-8", "surrogatepass").lower().split()
         return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
-    @F.pandas_udf("double")
-    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
             out = []
             for x, y in zip(left, right):
-                x, y = runs(x or ""), runs(y or "")
+                x, y = runs(x.as_py() or ""), runs(y.as_py() or "")
                 out.append(len(x & y) / len(x | y))
-            yield pd.Series(out, dtype="float64")
+            release()
+            yield pa.array(out, pa.float64())
 
     return each(a, b)
 

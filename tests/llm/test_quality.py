@@ -99,6 +99,58 @@ def test_held_out_accuracy(spark, folder):
     assert np.mean(good) >= 0.97 and np.mean(junk) <= 0.2
 
 
+def plain_draw(spark, docs, labels, temperature):
+    """The ids drawn, by plain counting; only Spark's hash is Spark's own."""
+    hashes = spark.createDataFrame(docs, "doc_id long, text string").select(
+        "doc_id",
+        F.xxhash64(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(2)).alias("noise"),
+        F.xxhash64("doc_id", F.lit(1)).alias("fold"),
+    )
+    noise, fold = {}, {}
+    for r in hashes.collect():
+        noise[r["doc_id"]], fold[r["doc_id"]] = r["noise"], r["fold"]
+    good = {i for i, quality_, toxic in labels if quality_ and not toxic}
+    flat = lambda own: (own[0], own[1], [g for w in own[2] for g in w])
+    grams = [plain_grams(t) for _, t in docs]
+    raw, target = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
+    for (i, _), own in zip(docs, grams):
+        for model, buckets in enumerate(flat(own)):
+            raw[model].update(buckets)
+            if i in good and fold[i] % 4 > 0:
+                target[model].update(buckets)
+    ratios = []
+    for r, t in zip(raw, target):
+        scale = sum(t.values()) / max(sum(r.values()), 1)
+        ratios.append({b: round(math.log((t[b] + 1) / (n * scale + 1)) * quality.GRAIN) / quality.GRAIN for b, n in r.items()})
+    worst = []
+    for words, pairs, letters in grams:
+        values = [ratios[0][w] + (ratios[1][pairs[j]] if j < len(pairs) else 0) for j, w in enumerate(words)]
+        n = max(1, len(values) - quality.WINDOW + 1)
+        flow = min(sum(values[j : j + quality.WINDOW]) for j in range(n)) if values else 0
+        worst.append((flow, min((sum(ratios[2][g] for g in w) for w in letters), default=0)))
+    held = [w for (i, _), w in zip(docs, worst) if i in good and fold[i] % 4 == 0]
+    cuts = [np.percentile([w[part] for w in held], [quality.LOSS * 100, 50]) for part in (0, 1)]
+    weights = [min((w[p] - cuts[p][0]) / (cuts[p][1] - cuts[p][0]) if cuts[p][1] > cuts[p][0] else 1.0 for p in (0, 1)) for w in worst]
+    draws = {}
+    for (i, _), weight in zip(docs, weights):
+        share = (noise[i] % (1 << 52) + 0.5) / (1 << 52)
+        draws[i] = weight - temperature * math.log(-math.log(share))
+    return set(sorted(draws, key=lambda i: -draws[i])[: sum(w >= 0 for w in weights)])
+
+
+@pytest.mark.parametrize("temperature", [quality.TEMPERATURE, 1.0])
+def test_drawn_ids_by_brute_force_in_any_partitions(spark, temperature):
+    docs, labels = planted(5, 400)
+    docs.append((400, None))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = plain_draw(spark, docs, labels, temperature)
+    assert 0 < len(want) < len(docs)
+    for parts in (1, 7):
+        drawn = quality.resample(df.repartition(parts), known, temperature=temperature).select("doc.doc_id").collect()
+        assert len(drawn) == len(want) and {r[0] for r in drawn} == want
+
+
 def test_edge_rows(spark, docs, empty):
     rows = [(1, 1, 0), (2, None, 0), (3, 0, 1), (None, 1, 0), (3, 1, 0), (4, 1, None), (77, 1, 0), (10, 1, 0), (11, 1, 0), (12, 1, 0)]
     labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")

@@ -6,6 +6,8 @@ Nodes are ``(status, sha1, labels)`` with their sketch keyed by sha1; edges are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from bitloom.operators import similarity as sim
 from bitloom.operators import skew, sketch
 from bitloom.operators.sketch import Sketches
 from bitloom.session import checkpointed
+from bitloom.sources import files
 
 
 def nodes(sketches: Sketches, labels: DataFrame, status: str = "b") -> DataFrame:
@@ -156,52 +159,87 @@ def equal_rows(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return l.join(r, key).select(*key, F.col("l").eqNullSafe(F.col("r")).alias("is_equal"))
 
 
-def regenerate(base: Sketches, edges: DataFrame, ids: DataFrame | None = None) -> Sketches:
-    """Sketches of derived nodes, recomputed from their arguments along the edges.
+def levels(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(target, level): how many steps at most lead from base nodes to each derived node.
 
-    ``base`` is keyed by sha1. ``ids`` lists the base nodes as ``set_id``; without
-    it they are the arguments that no edge leads to. They are known whether or not
-    their sketch has rows, as an empty sketch has none. Each round makes the nodes
-    whose arguments are all known, by one join and one aggregate, until every node
-    is made. A node that can never be made, for an unknown argument or a circle of
-    edges, raises an error.
+    ``ids`` lists the base nodes as ``set_id``; without it they are the arguments
+    that no edge leads to. Only (source, target) is read, and each round keeps only
+    the edges whose source has no level yet. A node that never gets one, for an
+    unknown argument or a circle of edges, raises an error.
     """
-    known, made = base, []
-    todo = edges.select("source", "target", "r_type", F.col("props")["pos"].alias("pos"))
-    arity = edges.groupBy("target").agg(F.count("*").alias("n_args"))
-    leaves = edges.join(edges.select(F.col("target").alias("source")), "source", "left_anti").select("source")
-    done = checkpointed((leaves if ids is None else ids.select(F.col("set_id").alias("source"))).distinct())
-    while not todo.isEmpty():
-        ready = todo.join(done, "source", "left_semi").groupBy("target").agg(F.count("*").alias("n_known"))
-        ready = checkpointed(ready.join(arity, "target").where("n_known = n_args").select("target"))
+    ends = edges.select("source", "target").distinct()
+    leaves = ends.join(ends.select(F.col("target").alias("source")), "source", "left_anti").select("source")
+    known = (leaves if ids is None else ids.select(F.col("set_id").alias("source"))).distinct()
+    left, pending = checkpointed(ends), checkpointed(ends.select("target").distinct())
+    found = []
+    while not pending.isEmpty():
+        left = checkpointed(left.join(known, "source", "left_anti"))
+        waiting = checkpointed(left.select("target").distinct())
+        ready = checkpointed(pending.join(waiting, "target", "left_anti"))
         if ready.isEmpty():
             raise ValueError("no further node has all its arguments: some are unknown or the edges run in a circle")
-        word, first = F.col("word"), F.col("pos") == "0"
-        per_bin = (
-            sketch.meet(todo.join(ready, "target", "left_semi"), known, on="source")
-            .groupBy("target", "r_type", "bin")
-            .agg(
-                F.bit_or(word).alias("any"),
-                F.bit_xor(word).alias("odd"),
-                F.bit_or(F.when(first, word).otherwise(F.lit(0))).alias("w0"),
-                F.bit_or(F.when(first, F.lit(0)).otherwise(word)).alias("w1"),
-            )
-        )
-        result = (
-            F.when(F.col("r_type") == "union", F.col("any"))
-            .when(F.col("r_type") == "intersect", F.col("w0").bitwiseAND(F.col("w1")))
-            .when(F.col("r_type") == "xor", F.col("odd"))
-            .when(F.col("r_type") == "comp", F.col("w0").bitwiseAND(F.bitwise_not(F.col("w1"))))
-        )
-        level = base.with_rows(
-            per_bin.select(F.col("target").alias("set_id"), "bin", result.alias("word")).where("word <> 0")
+        found.append(ready.withColumn("level", F.lit(len(found) + 1)))
+        known, pending = ready.withColumnRenamed("target", "source"), waiting
+    return reduce(DataFrame.unionByName, found) if found else pending.withColumn("level", F.lit(0))
+
+
+def regenerate(base: Sketches, edges: DataFrame, ids: DataFrame | None = None) -> Sketches:
+    """Sketches of derived nodes, recomputed from their arguments along the edges.
+
+    ``base`` is keyed by sha1 and ``ids`` lists its nodes, as in ``levels``. They
+    are known whether or not their sketch has rows, as an empty sketch has none;
+    edges that lead to a base node are not followed. Levels are found first. Then
+    edges lie stored by level, and registers too, so that a level reads its own
+    edges and the levels that its arguments are in, by one join and one aggregate.
+    """
+    spark = base.rows.sparkSession
+    if ids is not None:
+        edges = edges.join(ids.select(F.col("set_id").alias("target")), "target", "left_anti")
+    placed = levels(edges, ids)
+    flat = edges.select("source", "target", "r_type", F.col("props")["pos"].alias("pos")).join(placed, "target")
+    of_source = placed.select(F.col("target").alias("source"), F.col("level").alias("source_level"))
+    flat = flat.join(of_source, "source", "left").withColumn("source_level", F.coalesce("source_level", F.lit(0)))
+    folder = files.new_folder(spark, "lineage")
+    flat.write.partitionBy("level").parquet(f"{folder}/edges")
+    stored = spark.read.schema(flat.schema).parquet(f"{folder}/edges")
+    # One row for each two levels: their number goes with the depth, not with the nodes.
+    uses: dict[int, list[int]] = {}
+    for level, source_level in stored.select("level", "source_level").distinct().collect():
+        uses.setdefault(level, []).append(source_level)
+    rows = base.rows.select("set_id", "bin", "word")
+
+    def made(of: list[int]) -> DataFrame:
+        return spark.read.schema(rows.schema).parquet(*(f"{folder}/registers/{level}" for level in of))
+
+    for level in sorted(uses):
+        known = made([at for at in uses[level] if at]) if max(uses[level]) else rows
+        if 0 in uses[level] and max(uses[level]):
+            known = known.unionByName(rows)
+        asked = stored.where(F.col("level") == level).select("source", "target", "r_type", "pos")
+        _apply(asked, base.with_rows(known)).write.parquet(f"{folder}/registers/{level}")
+    return base.with_rows(made(sorted(uses)) if uses else rows.limit(0))
+
+
+def _apply(edges: DataFrame, known: Sketches) -> DataFrame:
+    """Registers ``(set_id, bin, word)`` of the targets, all of whose arguments are known."""
+    word, first = F.col("word"), F.col("pos") == "0"
+    per_bin = (
+        sketch.meet(edges, known, on="source")
+        .groupBy("target", "r_type", "bin")
+        .agg(
+            F.bit_or(word).alias("any"),
+            F.bit_xor(word).alias("odd"),
+            F.bit_or(F.when(first, word).otherwise(F.lit(0))).alias("w0"),
+            F.bit_or(F.when(first, F.lit(0)).otherwise(word)).alias("w1"),
         )
-        level = level.once()
-        made.append(level)
-        todo = checkpointed(todo.join(ready, "target", "left_anti"))
-        done = done.unionByName(ready.withColumnRenamed("target", "source"))
-        known = sketch.concat(known, level)
-    return sketch.concat(*made) if made else base.with_rows(base.rows.limit(0))
+    )
+    result = (
+        F.when(F.col("r_type") == "union", F.col("any"))
+        .when(F.col("r_type") == "intersect", F.col("w0").bitwiseAND(F.col("w1")))
+        .when(F.col("r_type") == "xor", F.col("odd"))
+        .when(F.col("r_type") == "comp", F.col("w0").bitwiseAND(F.bitwise_not(F.col("w1"))))
+    )
+    return per_bin.select(F.col("target").alias("set_id"), "bin", result.alias("word")).where("word <> 0")
 
 
 def props_map(props: Column) -> Column:

@@ -102,6 +102,45 @@ def test_regenerate_from_lineage(spark):
         graph.regenerate(sketches, circle.unionByName(edges.where("target = 'k'")))
 
 
+def chain(spark, depth):
+    """A chain of xor with one base node in turn; every tenth step goes back to the first step too."""
+    rows = []
+    for i in range(depth):
+        rows += [("a" if i == 0 else f"n{i - 1}", f"n{i}", "xor", "0"), ("bc"[i % 2], f"n{i}", "xor", "1")]
+        if i and i % 10 == 0:
+            rows.append(("n0", f"n{i}", "xor", "2"))
+    edges = spark.createDataFrame(rows, "source string, target string, r_type string, pos string")
+    return rows, edges.select("source", "target", "r_type", F.create_map(F.lit("pos"), "pos").alias("props"))
+
+
+def test_deep_lineage_goes_level_by_level(spark):
+    rows, edges = chain(spark, 50)
+    want = {"a": registers(A), "b": registers(B), "c": registers(C)}
+    for source, target, _, _ in rows:
+        have = want.setdefault(target, {})
+        want[target] = {b: have.get(b, 0) ^ want[source].get(b, 0) for b in have.keys() | want[source].keys()}
+    got = collected(graph.regenerate(build(spark, {"a": A, "b": B, "c": C}), edges))
+    assert set(got) <= {f"n{i}" for i in range(50)}
+    for i in range(50):
+        assert got.get(f"n{i}", {}) == {b: w for b, w in want[f"n{i}"].items() if w}
+
+
+def test_levels(spark):
+    _, edges = chain(spark, 4)
+    shortcut = [("a", "n9", "union", None), ("n2", "n9", "union", None), ("n2", "n9", "union", None)]
+    more = spark.createDataFrame(shortcut, "source string, target string, r_type string, props map<string,string>")
+    got = graph.levels(edges.unionByName(more)).collect()
+    assert sorted(tuple(r) for r in got) == [("n0", 1), ("n1", 2), ("n2", 3), ("n3", 4), ("n9", 4)]
+    assert graph.levels(edges.limit(0)).count() == 0
+    # A base node is not made again, and nothing is waited for behind it.
+    ids = spark.createDataFrame([("b",), ("c",), ("n1",)], "set_id string")
+    short = edges.where("target IN ('n2', 'n1', 'n3')")
+    with pytest.raises(ValueError):
+        graph.levels(short, ids)
+    made = graph.regenerate(build(spark, {"b": B, "c": C, "n1": A}), short, ids).rows
+    assert {r[0] for r in made.select("set_id").distinct().collect()} == {"n2", "n3"}
+
+
 def test_attach_ends_splits_hubs(spark):
     edges = spark.createDataFrame([(i, "hub", f"n{i % 5}") for i in range(200)], "e int, source string, target string")
     nodes = spark.createDataFrame([("hub", "H")] + [(f"n{i}", f"N{i}") for i in range(5)], "id string, label string")

@@ -105,6 +105,27 @@ def nearest(
     return _ranked(best, k, digits)
 
 
+def result_page(
+    found: DataFrame, rows: DataFrame, key: str, fields: Sequence[str], offset: int = 0, limit: int = 10
+) -> DataFrame:
+    """One page of each query's hits, with fields of the rows that were found.
+
+    ``found`` has ``(query_id, id, score, rank)``; ranks ``offset + 1`` to
+    ``offset + limit`` stay, and a page past the last hit is empty. ``key`` names the
+    rows' id, which is unique, and a hit without a row keeps null fields. Only the page's hits meet the
+    rows, of which no other column is read. A field named like a column of ``found``
+    is refused.
+    """
+    clash = {"query_id", "id", "score", "rank"} & set(fields)
+    if clash or offset < 0 or limit < 1:
+        raise ValueError(f"bad page: offset {offset}, limit {limit}, clashing fields {sorted(clash)}")
+    # Kept, as the search behind it is dear and the hits are looked at twice.
+    page = checkpointed(found.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)))
+    wanted = rows.select(F.col(key).alias("id"), *fields)
+    # Hits are few beside the rows, but a row may be a hit of very many queries.
+    return skew.lookup(page, wanted, ["id"], how="left")
+
+
 def nearest_sketches(corpus: Sketches, queries: Sketches, k: int, metric: str = "cosine", digits: int = 6) -> DataFrame:
     """The same over sketches, compared by the bits they share.
 

@@ -17,12 +17,13 @@ def column_id(parent: Column, column: Column) -> Column:
 
 
 def column_tokens(
-    df: DataFrame, parent: str, columns: Sequence[str], tokenizer: text.Tokenizer = text.words
+    df: DataFrame, parent: str, columns: Sequence[str], tokenizer: text.Tokenizer = text.words, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Tokens of several columns in one pass: ``(column_id, token)``; nulls are skipped."""
-    values = df.select(*(F.col(c).cast("string").alias(c) for c in columns))
-    long = values.unpivot([], list(columns), "column", "value").where("value IS NOT NULL")
+    """Tokens of several columns in one pass: ``(*keep, column_id, token)``; nulls are skipped."""
+    values = df.select(*keep, *(F.col(c).cast("string").alias(c) for c in columns))
+    long = values.unpivot(list(keep), list(columns), "column", "value").where("value IS NOT NULL")
     return long.select(
+        *keep,
         column_id(F.lit(parent), F.col("column")).alias("column_id"),
         F.explode(tokenizer(F.col("value"))).alias("token"),
     )

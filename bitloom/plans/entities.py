@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitloom.operators import entity, sketch
+from bitloom.operators import entity, ingest, sketch
 from bitloom.plans import oracle as o
 from bitloom.plans.algebra import DAYS, LANG, day_pairs, day_sketches, lang_pairs
 from bitloom.plans.registry import query
@@ -242,9 +242,9 @@ DAILY = (
 )
 
 
-@query(
-    "change_series",
-    lambda: f"""WITH {DAILY}, sides AS (SELECT key, day, bin, word, TRUE AS is_new FROM sk
+def changes_sql(daily: str) -> str:
+    """The day-over-day changes of the registers ``sk`` that ``daily`` makes."""
+    return f"""WITH {daily}, sides AS (SELECT key, day, bin, word, TRUE AS is_new FROM sk
       UNION ALL SELECT key, day + 1, bin, word, FALSE FROM sk),
     al AS (SELECT key, day, bin, bit_or(CASE WHEN is_new THEN 0 ELSE word END) AS wa,
       bit_or(CASE WHEN is_new THEN word ELSE 0 END) AS wb FROM sides
@@ -255,17 +255,43 @@ DAILY = (
       round(CASE WHEN bits_a <> 0 THEN card_comp::DOUBLE / card_a END, 6) AS grad_deleted,
       round(CASE WHEN bits_union <> 0 THEN card_intersect::DOUBLE / card_union END, 6) AS grad_retained,
       round(CASE WHEN bits_b <> 0 THEN card_comp_rev::DOUBLE / card_b END, 6) AS grad_added,
-      round(CASE WHEN bits_b <> 0 THEN card_a::DOUBLE / card_b END, 6) AS grad_advance FROM pc""",
-)
+      round(CASE WHEN bits_b <> 0 THEN card_a::DOUBLE / card_b END, 6) AS grad_advance FROM pc"""
+
+
+@query("change_series", lambda: changes_sql(DAILY))
 def change_series(spark, folder):
     events = read_table(spark, folder, "events").select(
         F.col("event_type").alias("key"), F.col("ts").cast("date").alias("day"), F.col("user_id").cast("string").alias("token")
     )
     keyed = sketch.build(events, F.struct("key", "day"), F.col("token"))
     daily = keyed.rows.select("set_id.key", "set_id.day", "bin", "word")
-    span = events.select("day")
-    first = span.agg(F.min("day").alias("d")).scalar()
-    last = span.agg(F.max("day").alias("d")).scalar()
+    return shown_changes(daily, events.select("day"))
+
+
+def shown_changes(daily, days):
+    first = days.agg(F.min("day").alias("d")).scalar()
+    last = days.agg(F.max("day").alias("d")).scalar()
     series = entity.change_series(daily, 10, first, last)
     rounded = [F.round(c, 6).alias(c) if c.startswith("grad") else F.col(c) for c in series.columns]
     return series.select(*rounded).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+EVENT_COLUMNS = ["event_type", "user_id", "props"]
+COLUMN_DAYS = " UNION ALL ".join(
+    f"SELECT sha1('column:events:{c}') AS key, ts::DATE AS day, unnest(list_distinct({o.words(c + '::VARCHAR')})) AS token FROM events"
+    for c in EVENT_COLUMNS
+)
+
+
+@query(
+    "column_changes",
+    lambda: changes_sql(
+        f"ev AS ({COLUMN_DAYS}), dk AS (SELECT key, day, {o.hash63('token')} AS h FROM ev), "
+        f"sk AS (SELECT key, day, {o.token_bin('h', 10)} AS bin, bit_or({o.token_word('h', 10)}) AS word FROM dk GROUP BY ALL)"
+    ),
+)
+def column_changes(spark, folder):
+    """Several columns ingested day by day, and each column's change from day to day."""
+    events = read_table(spark, folder, "events")
+    day = F.col("ts").cast("date")
+    return shown_changes(ingest.column_days(events, day, "events", EVENT_COLUMNS), events.select(day.alias("day")))

@@ -45,6 +45,17 @@ def knn_vectors_ip(spark, folder):
     return search.nearest(corpus(spark, folder), asked(spark, folder), 10, "ip")
 
 
+@query(
+    "knn_result_page",
+    f"""WITH k AS ({knn_sql("list_distance(v, w)", 20)})
+    SELECT query_id, k.id, score, rank, label FROM k JOIN embeddings e ON e.vec_id = k.id WHERE rank > 10""",
+)
+def knn_result_page(spark, folder):
+    """The second page of ten hits, with the label of each."""
+    found = search.nearest(corpus(spark, folder), asked(spark, folder), 20, "l2")
+    return search.result_page(found, read_table(spark, folder, "embeddings"), "vec_id", ["label"], offset=10)
+
+
 KNN_SK = (
     f"{o.doc_sketch('source', name='sk')}, tq AS ({o.tokens('documents', 'lang')}), qk AS ({o.sketch('tq', 'lang')}), "
     "nb AS (SELECT set_id, sum(bit_count(word)) AS n FROM sk GROUP BY 1), "

@@ -1,9 +1,11 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 from plain_sets import registers
 from test_sketch import A, B, C, build, collected, pairs_of
 
-from bitloom.operators import entity, graph, sketch
+from bitloom.operators import entity, graph, ingest, search, sketch
 
 ENTITY = "sha1 string, card long, grad double, op string, args array<string>"
 
@@ -158,3 +160,38 @@ def test_change_series_has_gap_days(spark):
     assert set(got) == {"2024-01-02", "2024-01-03"}
     assert (got["2024-01-02"]["grad_deleted"], got["2024-01-02"]["grad_added"]) == (1.0, None)
     assert (got["2024-01-03"]["grad_deleted"], got["2024-01-03"]["grad_added"]) == (None, 1.0)
+
+
+def test_columns_change_day_by_day(spark):
+    rows = [("2024-01-01", "x y", "p"), ("2024-01-02", "y z", None), (None, "lost", "lost"), ("2024-01-02", None, "")]
+    df = spark.createDataFrame(rows, "d string, one string, two string")
+    daily = ingest.column_days(df, F.col("d").cast("date"), "t", ["one", "two"])
+    first, last = F.lit("2024-01-01").cast("date"), F.lit("2024-01-02").cast("date")
+    got = {r["key"]: r for r in entity.change_series(daily, 10, first, last).collect()}
+    one, two = (hashlib.sha1(f"column:t:{c}".encode()).hexdigest() for c in ("one", "two"))
+    assert set(got) == {one, two}
+    assert (got[two]["grad_deleted"], got[two]["grad_added"]) == (1.0, None)
+    # Exactly the registers of each day and column, counted plainly.
+    held = {}
+    for r in daily.collect():
+        held.setdefault((r["key"], str(r["day"])), {})[r["bin"]] = r["word"]
+    assert held == {
+        (one, "2024-01-01"): registers({"x", "y"}), (one, "2024-01-02"): registers({"y", "z"}), (two, "2024-01-01"): registers({"p"}),
+    }
+    assert ingest.column_days(df.limit(0), F.col("d").cast("date"), "t", ["one"]).count() == 0
+
+
+def test_result_page(spark):
+    found = spark.createDataFrame(
+        [(q, i, float(i), i) for q in (1, 2) for i in range(1, 6)], "query_id long, id long, score double, rank int"
+    )
+    nodes = spark.createDataFrame([(i, f"L{i}", "unread") for i in range(1, 5)], "node long, label string, more string")
+    got = search.result_page(found, nodes, "node", ["label"], offset=3, limit=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["label"]) for r in got if r["label"]) == [(1, 4, "L4"), (2, 4, "L4")]
+    assert sorted((r["query_id"], r["id"]) for r in got if r["label"] is None) == [(1, 5), (2, 5)]
+    assert search.result_page(found, nodes, "node", ["label"], offset=5).count() == 0
+    for bad in ({"offset": -1}, {"limit": 0}):
+        with pytest.raises(ValueError):
+            search.result_page(found, nodes, "node", ["label"], **bad)
+    with pytest.raises(ValueError):
+        search.result_page(found, nodes.withColumnRenamed("label", "score"), "node", ["score"])

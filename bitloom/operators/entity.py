@@ -84,33 +84,48 @@ def negate(entities: DataFrame) -> DataFrame:
 def combine(sketches: Sketches, pairs: DataFrame, *ops: str, strict: bool = False) -> DataFrame:
     """Result entities of the named operations on each pair, one row per pair and operation.
 
-    All of them come out of one alignment and one aggregate. With ``strict`` a
-    complement by an empty sketch fails the job; otherwise a share of an empty
-    side is null.
+    All of them come out of one alignment and one aggregate. Registers are listed
+    for the results alone: the operands' ids are made once per set and joined to
+    the pairs, so ``sketches`` are best kept (``once``). With ``strict`` a complement by an empty sketch fails the job;
+    otherwise a share of an empty side is null.
     """
-    needed = {"a", "b"}
+    needed, made = {"a", "b"}, set()
     for op in ops:
         part, share = OPERATIONS[op]
         needed |= {part, *(share or ())}
-        needed |= {"comp", "intersect", "comp_rev"} if op == "advance" else set()
-    words = sim.word_views(sorted(needed))
+        made |= {part} | ({"comp", "intersect", "comp_rev"} if op == "advance" else set())
+    made -= {"a", "b"}
+    words = sim.word_views(sorted(needed | made))
     sums = []
     for name, word in words.items():
         sums += [
             pow_sum(word).alias(f"s_{name}"),
             filled(word).alias(f"n_{name}"),
             F.sum(F.bit_count(word)).alias(f"bits_{name}"),
-            F.collect_list(F.when(word != 0, F.struct("bin", word.alias("word")))).alias(f"regs_{name}"),
         ]
+        if name in made:
+            sums.append(F.collect_list(F.when(word != 0, F.struct("bin", word.alias("word")))).alias(f"regs_{name}"))
     per_pair = sim.align(sketches, pairs).groupBy(*sim.PAIR).agg(*sums)
     measured = per_pair.select(
         *sim.PAIR,
         *(estimate.cardinality(f"s_{n}", f"n_{n}", sketches.p).alias(f"card_{n}") for n in words),
         *(F.col(f"bits_{n}") for n in words),
-        *(content_id(F.col(f"regs_{n}")).alias(f"id_{n}") for n in words),
+        *(content_id(F.col(f"regs_{n}")).alias(f"id_{n}") for n in sorted(made)),
     )
     rows = F.inline(F.array(*(_result(op, strict) for op in ops)))
-    return measured.select(*sim.PAIR, rows)
+    return _with_operands(measured, sketches).select(*sim.PAIR, rows)
+
+
+def _with_operands(measured: DataFrame, sketches: Sketches) -> DataFrame:
+    """Add ``id_a`` and ``id_b``, the content ids of each pair's sets; a set without registers has the empty one."""
+    ids = sketch.meta(sketches)
+    empty = content_id(F.array().cast("array<struct<bin:int,word:bigint>>"))
+    for side in "ab":
+        key = f"set_{side}"
+        named = ids.select(F.col("set_id").alias(key), F.col("sha1").alias(f"id_{side}"))
+        # The pairs' rows are short, and adaptive execution splits a set that is in very many of them.
+        measured = measured.join(named, key, "left").withColumn(f"id_{side}", F.coalesce(f"id_{side}", empty))
+    return measured
 
 
 def _result(op: str, strict: bool) -> Column:

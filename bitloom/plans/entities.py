@@ -71,11 +71,11 @@ def shown(entities):
 
 
 def on_langs(spark, folder, *ops):
-    return entity.combine(doc_sketches(spark, folder, "lang"), lang_pairs(spark, folder), *ops)
+    return entity.combine(doc_sketches(spark, folder, "lang").once(), lang_pairs(spark, folder), *ops)
 
 
 def on_days(spark, folder, *ops):
-    return entity.combine(day_sketches(spark, folder), day_pairs(spark, folder), *ops)
+    return entity.combine(day_sketches(spark, folder).once(), day_pairs(spark, folder), *ops)
 
 
 BUILD = f"""{o.doc_sketch('source')}, r AS (SELECT set_id, {o.CONTENT_ID} AS sha1, {o.card_agg('word', 10)} AS raw,
@@ -125,7 +125,7 @@ def entity_xor(spark, folder):
 
 @query("entity_comp", lambda: results_sql(LANG, "comp"))
 def entity_comp(spark, folder):
-    sketches, pairs = doc_sketches(spark, folder, "lang"), lang_pairs(spark, folder)
+    sketches, pairs = doc_sketches(spark, folder, "lang").once(), lang_pairs(spark, folder)
     return shown(entity.combine(sketches, pairs, "comp", strict=True))
 
 

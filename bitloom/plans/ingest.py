@@ -60,7 +60,7 @@ def column_ingest(spark, folder):
 )
 def entity_dataset(spark, folder):
     """Derived entities go out with dataset, operation and operands, and come back whole."""
-    sketches, pairs = doc_sketches(spark, folder, "lang"), lang_pairs(spark, folder)
+    sketches, pairs = doc_sketches(spark, folder, "lang").once(), lang_pairs(spark, folder)
     word = sim.word_views(["union"])["union"]
     held = F.collect_list(F.when(word != 0, F.struct("bin", word.alias("word"))))
     datasets = sim.align(sketches, pairs).groupBy(*sim.PAIR).agg(F.array_sort(held).alias("registers"))

@@ -195,3 +195,16 @@ def test_result_page(spark):
             search.result_page(found, nodes, "node", ["label"], **bad)
     with pytest.raises(ValueError):
         search.result_page(found, nodes.withColumnRenamed("label", "score"), "node", ["score"])
+
+
+def test_operands_without_registers_have_the_empty_id(spark):
+    """Also for a set in all pairs, one paired with itself, and one that no sketch knows."""
+    rows = [("x", t) for t in "abc"] + [("y", "b")]
+    sketches = sketch.build(spark.createDataFrame(rows, "s string, t string"), F.col("s"), F.col("t"))
+    ids = {r["set_id"]: r["sha1"] for r in sketch.meta(sketches).collect()}
+    ids["none"] = hashlib.sha1(b"").hexdigest()
+    pairs = [("x", "y"), ("x", "x"), ("x", "none"), ("none", "y")]
+    found = entity.combine(sketches, pairs_of(spark, *pairs), "union", "deleted").collect()
+    assert len(found) == 8 and {(r["set_a"], r["set_b"]) for r in found} == set(pairs)
+    assert all(r["args"] == [ids[r["set_a"]], ids[r["set_b"]]] for r in found)
+    assert all(r["sha1"] == ids["x"] for r in found if r["op"] == "union" and r["set_a"] == "x")

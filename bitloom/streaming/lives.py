@@ -25,10 +25,12 @@ def add_writes(lives: list[tuple[int, int, int]], writes: list[int], ttl: int) -
 
 
 class Lives(StatefulProcessor):
-    """Per key the lives that may still be renewed, and a timer for the end of each.
+    """Per key the lives that may still be renewed, and one timer, for the first end among them.
 
-    When the watermark has passed a life's end, the life is put out and its state
-    goes; a key without open lives has no state at all.
+    When the timer fires, all lives whose end the watermark has passed are put out at
+    once and their state goes, and the timer is set for the first end that is left. So
+    a key is visited once for each step of the watermark, however many lives it has; a
+    key without open lives has no state at all.
     """
 
     def __init__(self, ttl_us: int, key: str):
@@ -39,7 +41,7 @@ class Lives(StatefulProcessor):
         self._open = handle.getValueState("open", "firsts array<long>, ends array<long>, counts array<long>")
 
     def _held(self) -> list[tuple[int, int, int]]:
-        state = self._open.get() if self._open.exists() else None
+        state = self._open.get()
         return [] if state is None else [tuple(map(int, life)) for life in zip(*state)]
 
     def _keep(self, lives: list[tuple[int, int, int]]) -> None:
@@ -48,26 +50,33 @@ class Lives(StatefulProcessor):
         else:
             self._open.clear()
 
+    def _time(self, before: list[tuple[int, int, int]], after: list[tuple[int, int, int]]) -> None:
+        # A timer counts milliseconds; rounded up, it never fires before the end.
+        old, new = ({-(-min(end for _, end, _ in part) // 1000)} if part else set() for part in (before, after))
+        for at in old - new:
+            self._handle.deleteTimer(at)
+        for at in new - old:
+            self._handle.registerTimer(at)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         held = self._held()
         writes = [int(at) for batch in rows for at in batch["at_us"]]
         lives = add_writes(held, writes, self._ttl)
-        # A timer counts milliseconds; rounded up, it never fires before the end.
-        before, after = ({-(-end // 1000) for _, end, _ in part} for part in (held, lives))
-        for at in before - after:
-            self._handle.deleteTimer(at)
-        for at in after - before:
-            self._handle.registerTimer(at)
+        self._time(held, lives)
         self._keep(lives)
-        yield pd.DataFrame({self._key: [], "first_us": [], "end_us": [], "n": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # The timer that fired goes by itself.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         lives = self._held()
-        self._keep([life for life in lives if life[1] > now])
+        left = [life for life in lives if life[1] > now]
+        self._time([], left)
+        self._keep(left)
         over = [life for life in lives if life[1] <= now]
-        columns = list(zip(*over)) if over else [(), (), ()]
-        yield pd.DataFrame({self._key: [key[0]] * len(over), "first_us": columns[0], "end_us": columns[1], "n": columns[2]})
+        if over:
+            firsts, ends, counts = zip(*over)
+            yield pd.DataFrame({self._key: [key[0]] * len(over), "first_us": firsts, "end_us": ends, "n": counts})
 
     def close(self) -> None:
         pass

@@ -4,12 +4,14 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from bitloom.sources import files
 from bitloom.streaming import jobs, store
-from bitloom.streaming.lives import add_writes
+from bitloom.streaming.lives import Lives, add_writes
 from bitloom.streaming.sources import run_append
 
 POSTS = "id long, token string, ref string, n long"
@@ -150,3 +152,54 @@ def test_lives_of_one_batch_and_null_rows(spark):
     got = shown(run_append(jobs.expired(stream, "ts", "user", "6 hours"), "lives"))
     want = sorted((k, round(a, 6), round(b, 6), n) for k, a, b, n in lives_of(rows, 6) if b <= 199)
     assert got == want and (9, 0, 6, 1) in got
+
+
+class OneKey:
+    """State and timers of one key, as a processor's handle shows them."""
+
+    def __init__(self):
+        self.state, self.timers = None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.state is not None
+
+    def get(self):
+        return self.state
+
+    def update(self, value):
+        self.state = value
+
+    def clear(self):
+        self.state = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_key_is_visited_once_for_each_step_of_the_watermark():
+    """However many lives a key has, one timer waits, and one visit puts out all that is over."""
+    rng = random.Random(5)
+    for steps in (1, 3):
+        lives, handle, out, visits = Lives(6_000_000, "user"), OneKey(), [], 0
+        lives.init(handle)
+        times = sorted(rng.randint(0, 500_000_000) for _ in range(60))
+        for step in range(steps):
+            part = times[step * 60 // steps : (step + 1) * 60 // steps]
+            list(lives.handleInputRows((7,), iter([pd.DataFrame({"at_us": part})]), TimerValues(-1, -1)))
+            assert len(handle.timers) == 1
+            watermark = part[-1] // 1000
+            while handle.timers and min(handle.timers) <= watermark:
+                at = min(handle.timers)
+                handle.timers.remove(at)
+                visits += 1
+                for rows in lives.handleExpiredTimer((7,), TimerValues(-1, watermark), ExpiredTimerInfo(at)):
+                    out += [tuple(r) for r in rows.itertuples(index=False, name=None)]
+        want = [life for life in lives_of([(7, t) for t in times], 6_000_000) if life[2] <= watermark * 1000]
+        assert out == want and len(out) > 20 and visits == steps
+        assert len(handle.state[0]) == 1 and handle.timers == {-(-handle.state[1][0] // 1000)}

@@ -14,9 +14,13 @@ FILES_PER_BATCH = 64
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One named Parquet table as a stream of its files, a bounded number of them per micro-batch."""
+    """One named Parquet table as a stream of its files, a bounded number of them per micro-batch.
+
+    The table may be one file or a folder of files.
+    """
     schema = read_table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # A pattern, since a stream takes a plain path for a folder and fails on a file; it matches the name alone.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{folder}/{name}.parque[t]")
 
 
 # State of a stream that keeps timers or lists has to lie in RocksDB.

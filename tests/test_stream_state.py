@@ -203,3 +203,17 @@ def test_a_key_is_visited_once_for_each_step_of_the_watermark():
         want = [life for life in lives_of([(7, t) for t in times], 6_000_000) if life[2] <= watermark * 1000]
         assert out == want and len(out) > 20 and visits == steps
         assert len(handle.state[0]) == 1 and handle.timers == {-(-handle.state[1][0] // 1000)}
+
+
+def test_stream_of_a_table_in_many_files(spark, tmp_path):
+    """A table that is a folder of files is read as one that is a file is."""
+    from bitloom.plans import load_all
+    from bitloom.plans.registry import REGISTRY
+
+    load_all()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents2.parquet")
+    build = REGISTRY["stream_token_index"].build
+    got, want = (sorted(map(tuple, build(spark, folder).collect())) for folder in (str(tmp_path), "/root/testdata/sf0.001"))
+    assert got == want and got

@@ -30,9 +30,10 @@ def _hash63(text: Column) -> Column:
     return F.coalesce(head, F.lit(0)).bitwiseAND(F.lit(_MASK))
 
 
-def hash_of(token: str) -> int:
-    """``token_hash`` of one token, for ids that a query names."""
-    return int(md5(token.encode(), usedforsecurity=False).hexdigest()[:16], 16) & _MASK
+def hash_of(token: str | bytes) -> int:
+    """``token_hash`` of one token, given as text or as its UTF-8 bytes."""
+    held = token.encode() if isinstance(token, str) else token
+    return int.from_bytes(md5(held, usedforsecurity=False).digest()[:8]) & _MASK
 
 
 def token_hash(token: Column, seed: int = 0) -> Column:

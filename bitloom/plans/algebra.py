@@ -9,7 +9,7 @@ from bitloom.operators import similarity as sim
 from bitloom.operators import candidates, sketch
 from bitloom.plans import oracle as o
 from bitloom.plans.registry import query
-from bitloom.plans.sketches import doc_sketches, doc_words
+from bitloom.plans.sketches import doc_bits, doc_sketches, doc_words
 from bitloom.sources.tables import read_table
 
 
@@ -206,7 +206,7 @@ DOC_CLASSES = f"""{o.doc_sketch('doc_id')},
     FROM sh WHERE shared / (n + m - shared) >= 0.8""",
 )
 def sketch_pairs_above(spark, folder):
-    pairs = candidates.pairs_above(doc_sketches(spark, folder, "doc_id"), 0.8)
+    pairs = candidates.pairs_above_of_bits(doc_bits(spark, folder, "doc_id"), 0.8)
     return pairs.withColumn("score", F.round("score", 6)).withColumnRenamed("score", "jaccard")
 
 
@@ -216,7 +216,7 @@ def sketch_pairs_above(spark, folder):
     FROM sh WHERE shared / sqrt(n::DOUBLE * m) >= 0.9""",
 )
 def sketch_cosine_above(spark, folder):
-    pairs = candidates.pairs_above(doc_sketches(spark, folder, "doc_id"), 0.9, "cosine")
+    pairs = candidates.pairs_above_of_bits(doc_bits(spark, folder, "doc_id"), 0.9, "cosine")
     return pairs.withColumn("score", F.round("score", 6)).withColumnRenamed("score", "cosine")
 
 
@@ -225,7 +225,7 @@ def sketch_cosine_above(spark, folder):
     f"""WITH {DOC_CLASSES} SELECT set_id, min(set_id) OVER (PARTITION BY content) AS group_id FROM reg""",
 )
 def sketch_equal_groups(spark, folder):
-    return candidates.equal_groups(doc_sketches(spark, folder, "doc_id"))
+    return candidates.equal_groups_of_bits(doc_bits(spark, folder, "doc_id"))
 
 
 @query(

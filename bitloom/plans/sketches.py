@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions import hashing, text, vectors
-from bitloom.operators import sketch
+from bitloom.operators import candidates, sketch
 from bitloom.plans import oracle as o
 from bitloom.plans.registry import query
 from bitloom.session import checkpointed
@@ -24,6 +24,12 @@ def doc_sketches(spark: SparkSession, folder: str, key: str, p: int = 10) -> ske
     return sketch.build(doc_words(spark, folder, key), F.col(key), F.col("token"), p)
 
 
+def doc_bits(spark: SparkSession, folder: str, key: str, p: int = 10) -> DataFrame:
+    """The bit set of the words per value of a documents column that tells most rows apart."""
+    docs = spread(read_table(spark, folder, "documents").select(key, "text"))
+    return candidates.bit_sets_of_rows(docs, F.col(key), text.distinct_words(F.col("text")), p)
+
+
 HASHED = f"tok AS ({o.tokens('documents', 'doc_id')}), h AS (SELECT doc_id, token, {o.hash63('token')} AS h FROM tok)"
 
 

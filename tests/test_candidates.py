@@ -71,6 +71,29 @@ def test_unlike_sets_hardly_meet(spark):
     assert [tuple(r) for r in groups] == [(1000, 400)]
 
 
+def test_bit_sets_of_rows(spark):
+    """Sets of one row, of several, without tokens or without an id: as from registers; one row is not shuffled by tokens."""
+    rows = [(i, [f"w{j * i % 97}" for j in range(i % 50)]) for i in range(200)]
+    rows += [(7, ["x", "é"]), (None, ["a", None]), (None, ["b"]), (500, None), (501, []), (502, [None])]
+    df = spark.createDataFrame(rows, "k long, w array<string>").repartition(3)
+    for p in (10, 4, 18):
+        sketches = sketch.build(df.select("k", F.explode("w").alias("t")), F.col("k"), F.col("t"), p)
+        want = {r["set_id"]: r["bits"] for r in candidates.bit_sets(sketches).collect()}
+        got = candidates.bit_sets_of_rows(df, F.col("k"), F.col("w"), p).collect()
+        assert {r["set_id"]: r["bits"] for r in got} == want and len(got) == len(want)
+
+
+def test_documents_that_are_not_alike_hardly_meet(spark):
+    """Sets with a third of their words in common, as prose has, share a band in one of 100 pairs at most."""
+    rng = np.random.default_rng(2)
+    common = [f"c{i}" for i in range(100)]
+    sets = {i: common + [f"{i}:{j}" for j in range(int(rng.integers(90, 110)))] for i in range(300)}
+    bits = candidates.bit_sets(built(spark, sets))
+    keyed = bits.select("set_id", F.explode(candidates.band_keys(F.col("bits"), candidates.band_rows(0.8))).alias("key"))
+    a, b = (keyed.select(F.col("set_id").alias(c), "key") for c in "ab")
+    assert a.join(b, "key").where("a < b").select("a", "b").distinct().count() < 0.01 * 300 * 299 / 2
+
+
 def test_bands():
     assert candidates.band_rows(1.0) == 64
     for least in (0.3, 0.5, 0.8, 0.95):

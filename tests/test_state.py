@@ -232,3 +232,15 @@ def test_profile_and_longer_form(spark):
     assert sorted(map(tuple, verbs.column_profile(df, exact=False).collect())) == want
     long = verbs.pivot_longer(df)
     assert long.count() == 9 and long.where("value IS NULL").count() == 3
+
+
+def test_profile_deals_out_a_table_of_one_file(spark, monkeypatch):
+    """A task holds the distinct values of a bounded number of rows."""
+    from bitloom.operators import verbs
+
+    monkeypatch.setattr(verbs, "PROFILED", 100)
+    df = spark.range(1000).selectExpr("id", "cast(id % 7 AS string) s", "if(id % 3 = 0, null, id / 2) d").coalesce(1)
+    assert sorted(r[0] for r in verbs.dealt(df, 100).groupBy(F.spark_partition_id()).count().select("count").collect())[-1] < 200
+    assert "REPARTITION" in verbs.column_profile(df)._jdf.queryExecution().executedPlan().toString()
+    got = {r["variable"]: tuple(r)[2:] for r in verbs.column_profile(df).collect()}
+    assert got == {"id": (1000, 1000, "0", "999"), "s": (1000, 7, "0", "6"), "d": (666, 666, "0.5", "499.0")}

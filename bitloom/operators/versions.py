@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from bitloom.operators import skew
 from bitloom.session import checkpointed
 
+# Commits that a row of the matrix meets at once.
+BLOCK = 256
 LOG = ["branch", "seq", "message", "ts", "snapshot_id"]
 
 
@@ -139,8 +141,8 @@ def commit_matrix(
 
     ``commits`` lists the asked commits, as values or as the one column of a table.
     They are numbered in their order, and an interval of ``commit_intervals`` covers
-    a run of numbers: the work follows the asked commits, and no list of commits is
-    ever one value.
+    a run of numbers: the work follows the asked commits, and no list of more than
+    ``BLOCK`` commits is ever one value.
     """
     spark, kind = versions.sparkSession, versions.schema[committed].dataType
     if commits is None:
@@ -162,9 +164,17 @@ def commit_matrix(
         at = numbered.select(F.col("commit").alias(end), F.col("_number").alias(f"_{end}"))
         rows = skew.lookup(rows, at, [end], "left")
     rows = rows.withColumn("_until", F.coalesce("_until", total)).where(F.col("_since") < F.col("_until"))
-    rows = rows.withColumn("_number", F.explode(F.sequence(F.col("_since"), F.col("_until") - 1)))
-    named = skew.lookup(rows, numbered.where("_asked = 1").select("_number", "commit"), ["_number"])
-    return named.select(key, committed, "commit", "status")
+    # Consecutive commits come in blocks: a row meets a block once, and its commits are laid out where the row
+    # then is, so what is written is never shuffled.
+    place = F.struct("_number", "commit")
+    blocks = numbered.where("_asked = 1").groupBy(F.expr(f"_number div {BLOCK}").alias("_block"))
+    blocks = blocks.agg(F.sort_array(F.collect_list(place)).alias("_commits"))
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.expr(f"_since div {BLOCK}"), F.expr(f"(_until - 1) div {BLOCK}"))))
+    met = skew.lookup(rows, blocks, ["_block"])
+    begin = F.col("_block") * BLOCK
+    first, last = F.greatest("_since", begin) - begin, F.least("_until", begin + BLOCK) - begin
+    held = F.slice("_commits", (first + 1).cast("int"), (last - first).cast("int"))
+    return met.select(key, committed, F.explode(held["commit"]).alias("commit"), "status")
 
 
 def expire(records: DataFrame, modified: str, asof: Column, ttl: str) -> DataFrame:

@@ -111,3 +111,17 @@ def test_an_element_in_a_hundred_thousand_sets(spark):
     assert got[0, 1] == got[1, 0] == got[50, 51] == 2 and got[2, 99_999] == 1 and got[0, 0] == 3 and len(got) == 10
     p = {(r["i"], r["j"]): r["p"] for r in probability.conditional(cells).collect()}
     assert p[0, 1] == pytest.approx(2 / 3) and p[2, 99_999] == pytest.approx(1 / 3) and p[50, 50] == 1
+
+
+def test_commit_matrix_in_blocks_is_not_shuffled_when_laid_out(spark, monkeypatch):
+    """Blocks of any size give the same rows, and no shuffle comes after the row of a version becomes many."""
+    rows = [(k, c, (k + c) % 5 == 0) for k in range(12) for c in range(40) if (k * 7 + c * 3) % 4 == 0]
+    df = spark.createDataFrame(rows, "k long, c long, gone boolean")
+    want = sorted(map(tuple, versions.commit_matrix(df, "k", "c", "gone").collect()))
+    assert len(want) > 1000
+    for block in (1, 3, 40):
+        monkeypatch.setattr(versions, "BLOCK", block)
+        got = versions.commit_matrix(df, "k", "c", "gone")
+        assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and not any(w in plan.split("Generate")[0] for w in ("Join", "Aggregate", "Repartition"))

@@ -8,8 +8,9 @@ with itself: its fingerprints are linked through the 65 points within one bit of
 each, since two of them are at most two bits apart exactly if they share such a
 point.
 
-Near copies among rows (``one_of_each``) are found by MinHash bands of their
-shingles and verified by the shingles themselves.
+Near copies among rows (``one_of_each``) are candidates if their fingerprints are
+linked, or if they share a MinHash band of their shingles, which finds those whose
+fingerprints are further apart. The shingles themselves verify all of them.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ def _bands(values: int) -> np.ndarray:
 
 
 def _sketch(texts: pa.Array, k: int, tables: int) -> dict[str, list]:
-    """Per text: how many distinct shingles it has, a 128-bit digest of the set, and its band keys."""
+    """Per text: its fingerprint, how many distinct shingles it has, a 128-bit digest of the set, and its band keys."""
     hashes, starts = shingles(*hashed_words(texts, bytes.lower), k)
     some = np.flatnonzero(np.diff(starts))
     sets = [np.unique(hashes[i:j]) for i, j in zip(starts[:-1], starts[1:])]
@@ -224,6 +225,7 @@ def _sketch(texts: pa.Array, k: int, tables: int) -> dict[str, list]:
             keys[some, t] = key
     there = set(some.tolist())
     return {
+        "fp": [fingerprint(text.as_py()) for text in texts],
         "size": [max(1, len(one)) for one in sets],
         "high": [(d >> 64) - (1 << 63) for d in digests],
         "low": [(d & (1 << 64) - 1) - (1 << 63) for d in digests],
@@ -234,9 +236,9 @@ def _sketch(texts: pa.Array, k: int, tables: int) -> dict[str, list]:
 def _sketches(text: Column, k: int, tables: int) -> Column:
     """``_sketch`` as a column; a text without words has no keys."""
 
-    kinds = [("size", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("keys", pa.list_(pa.int64()))]
+    kinds = [("fp", pa.int64()), ("size", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("keys", pa.list_(pa.int64()))]
 
-    @F.arrow_udf("size int, high long, low long, keys array<long>")
+    @F.arrow_udf("fp long, size int, high long, low long, keys array<long>")
     def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             batch = pa.RecordBatch.from_arrays([texts.cast(pa.large_string())], ["text"])
@@ -293,6 +295,21 @@ def _first_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct()
 
 
+def _linked_prints(left: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): rows with linked fingerprints, the least row of each fingerprint for it, and each row with that of its own."""
+    first = F.min(F.struct("row", "size")).alias("first")
+    prints = stored(left.groupBy("fp").agg(first, F.count("*").alias("n")), "simhash-prints")
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = links(prints.select(F.lit(0).alias("t"), "fp").repartition(parts, "fp")).select("a", "b")
+    for side in "ab":
+        edges = edges.join(prints.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}")), side)
+    a, b = (F.col(f"first_{side}") for side in "ab")
+    between = edges.where(_sizes(a["size"], b["size"], similarity)).select(a["row"].alias("a"), b["row"].alias("b"))
+    held = left.select("row", "size", "fp").join(prints.where("n > 1").select("fp", "first"), "fp")
+    inside = held.where(F.col("row") != F.col("first.row")).where(_sizes(F.col("first.size"), F.col("size"), similarity))
+    return between.unionAll(inside.select(F.col("first.row").alias("a"), F.col("row").alias("b")))
+
+
 def _sizes(a: Column, b: Column, similarity: float) -> Column:
     """Whether sets of these sizes can be as similar; the margin is for rounding."""
     return F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
@@ -309,16 +326,18 @@ def _open(members: DataFrame, linked: DataFrame, done: int) -> DataFrame:
     return stored(left.join(stored(apart.select("t", "key"), "simhash-apart"), ["t", "key"]), "simhash-open")
 
 
-def _linked(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+def _linked(members: DataFrame, texts: DataFrame, k: int, similarity: float, more: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) of alike rows that connect all rows which chains of alike rows of a key connect.
 
-    The least row of a key is compared with all others. Then more and more rows
+    Those of the pairs ``more`` that are alike are edges, too. The least row of a key is compared with all others. Then more and more rows
     of a key, drawn by a hash, are compared with all that are not yet in their
     group, until every two rows of a key are in one group or were compared.
     """
     spark = members.sparkSession
     with recording() as paths:
-        linked = _alike(stored(_first_pairs(members, similarity), "simhash-pairs"), texts, k, similarity)
+        pairs = _first_pairs(members, similarity)
+        pairs = pairs if more is None else pairs.unionAll(more).distinct()
+        linked = _alike(stored(pairs, "simhash-pairs"), texts, k, similarity)
     done, asked = 0, 4
     while True:
         # What a round worked with goes once its edges are written.
@@ -368,7 +387,8 @@ def one_of_each(
     Null ids come last, and of equal ids the first in the order of reading stays.
     Two rows are near copies if their sets of ``k``-word shingles have a Jaccard
     similarity of at least ``similarity``; groups are chains of such pairs.
-    Rows with equal sets are found by a digest. Others are candidates if they
+    Rows with equal sets are found by a digest. Others are candidates if their
+    SimHash fingerprints are linked (two bits, as in ``near_copies``), or if they
     agree in all ``JOINT`` MinHash values of one of ``BANDS`` bands, drawn from
     ``tables`` times BAND values: 99 of 100 pairs at 0.8 do with 80 tables, 6 of 10 at
     0.7 and 1 of 10 at 0.6 (simulated). Candidates of one band are compared until all alike ones
@@ -386,7 +406,7 @@ def one_of_each(
     equal = sets.join(firsts, ["high", "low"]).where("row <> a").select("a", F.col("row").alias("b"))
     equal = stored(equal, "simhash-copies")
 
-    left = keyed.select("row", "sketch.size", "sketch.keys").join(equal.select(F.col("b").alias("row")), "row", "left_anti")
+    left = keyed.select("row", "sketch.fp", "sketch.size", "sketch.keys").join(equal.select(F.col("b").alias("row")), "row", "left_anti")
     left = stored(left, "simhash-bands")
     bands = left.select("row", "size", F.posexplode("keys").alias("t", "key"))
     first = F.min(F.struct("row", "size")).alias("first")
@@ -394,6 +414,7 @@ def one_of_each(
     place = F.shiftrightunsigned(F.xxhash64("row"), 11) / F.lit(float(1 << 53))
     members = stored(_keyed_rows(left, shared).join(shared, ["t", "key"]).withColumn("place", place), "simhash-members")
 
-    linked = _linked(members, texts, k, similarity)
+    prints = stored(_linked_prints(left, similarity), "simhash-linked")
+    linked = _linked(members, texts, k, similarity, prints)
     gone = _others(equal.unionAll(linked), ids).select("row")
     return keyed.join(gone, "row", "left_anti").select("doc.*")

@@ -226,3 +226,20 @@ def test_planted_near_copies_by_default(spark):
     kept = {r["doc_id"] for r in simhash_dedup.one_of_each(df).collect()}
     assert kept.issuperset(range(0, 300, 2))
     assert len([i for i in near if 2 * i + 1 not in kept]) >= 0.9 * len(near)
+
+
+def test_linked_fingerprints_are_candidates(spark, monkeypatch):
+    """Near copies whose fingerprints are two bits apart at most go without any MinHash band; what only looks alike stays."""
+    monkeypatch.setattr(simhash_dedup, "_keyed_rows", lambda left, shared: left.selectExpr("row", "size", "0 t", "0L key").limit(0))
+    rnd, texts = random.Random(11), []
+    for i in range(60):
+        words = [f"d{i}w{j}" for j in range(1500)]
+        edited = list(words)
+        edited[rnd.randrange(1500)] = "other"
+        texts += [" ".join(words), " ".join(edited)]
+    prints = [plain_print(t) for t in texts]
+    close = [i for i in range(0, 120, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 2]
+    assert len(close) > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in simhash_dedup.one_of_each(df).collect()}
+    assert kept == set(range(120)) - {i + 1 for i in close}

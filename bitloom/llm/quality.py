@@ -137,10 +137,12 @@ def log_ratios(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str)
         )
 
     sums = rows.mapInArrow(count, "model int, bucket int, raw double, good double")
-    sums = sums.groupBy("model", "bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
+    # At most a row for each bucket, fetched as Arrow columns: as Python objects they take some 200 MB of the driver.
+    sums = sums.groupBy("model", "bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, good = np.zeros((2, len(MODELS), BUCKETS))
-    raw[sums["model"], sums["bucket"]] = sums["raw"]
-    good[sums["model"], sums["bucket"]] = sums["good"]
+    for part in sums.to_batches():
+        model, bucket, n_raw, n_good = (column.to_numpy(zero_copy_only=False) for column in part.columns)
+        raw[model, bucket], good[model, bucket] = n_raw, n_good
     expected = raw * good.sum(axis=1, keepdims=True) / np.maximum(raw.sum(axis=1, keepdims=True), 1)
     return np.round(np.log((good + PRIOR) / (expected + PRIOR)) * GRAIN) / GRAIN
 

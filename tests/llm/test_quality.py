@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -171,3 +172,22 @@ def test_gumbel_top_k_is_a_weighted_draw_of_k(spark):
     warm = quality.resample(df, labels, temperature=100.0).agg(F.count("*"), F.min("log_weight")).first()
     assert cold[0] == warm[0]  # the number drawn stays
     assert warm[1] < 0 <= cold[1] + 0.2  # and heat lets light texts in
+
+
+def test_sums_reach_the_driver_as_columns(spark):
+    # Nearly every bucket of each model, without the session's Arrow setting.
+    word = F.hex(F.xxhash64("id", F.col("x")))
+    words = spark.range(4000).select("id", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("x")).withColumn("w", word)
+    docs = words.groupBy(F.col("id").alias("doc_id")).agg(F.array_join(F.collect_list("w"), " ").alias("text"))
+    labelled = spark.createDataFrame([(1, True, True)], "id long, good boolean, fit boolean")
+    arrow = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    tracemalloc.start()
+    try:
+        ratios = quality.log_ratios(docs, labelled, "doc_id", "text")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", arrow)
+    assert np.count_nonzero(ratios) > 200_000
+    assert peak < 60_000_000

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions import hashing, text
 from bitloom.operators import skew
+from bitloom.sources.stores import stored
+
+# Refs whose bits share one number.
+REF_BITS = 64
 
 
 def column_id(parent: Column, column: Column) -> Column:
@@ -70,6 +74,45 @@ def index_batch(post: DataFrame, p: int = 10) -> DataFrame:
     return _with_coordinates(listed, p)
 
 
+def _numbered_refs(refs: DataFrame) -> DataFrame:
+    """(ref, part, place): distinct refs numbered in order, ``REF_BITS`` of them to a ``part``.
+
+    Written once, so that its size is known where the join with the texts is planned.
+    """
+    rows = skew.ranged(refs.where("ref IS NOT NULL").distinct(), [], ["ref"])
+    at = skew.positions(rows, [], "_bucket", ["ref"], "at")
+    return stored(at.select("ref", F.expr(f"at div {REF_BITS}").alias("part"), F.expr(f"cast(at % {REF_BITS} as int)").alias("place")), "refs")
+
+
+def index_texts(texts: DataFrame, n_bytes: int = 2, p: int = 10) -> DataFrame:
+    """``index_batch`` of texts ``(ref, text)``, each one batch, with words of more than ``n_bytes`` bytes.
+
+    A token's refs are bits of a few numbers until all its rows have met. So words
+    are shuffled once, as one row per token, part of the catalogue and task, and
+    lists are made of distinct tokens only. Texts meet their refs' numbers in a join,
+    which leaves the texts where they are as long as the catalogue is short.
+    """
+    refs = _numbered_refs(texts.select("ref"))
+    placed = texts.join(refs, "ref", "left").withColumn("bit", F.expr("shiftleft(1L, place)"))
+    rows = placed.select("part", "bit", F.explode(text.distinct_words(F.col("text"))).alias("token"))
+    rows = rows.where(text.longer_than(F.col("token"), n_bytes))
+    # Tokens of texts without a ref have no part and no bits, but count.
+    per_token = rows.groupBy("token", "part").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
+    names = refs.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", "ref"))).alias("names"))
+    held = F.filter("names", lambda x: F.call_function("shiftright", F.col("bits"), x["place"]).bitwiseAND(F.lit(1)) == 1)
+    listed = F.coalesce(F.transform(held, lambda x: x["ref"]), F.array().cast("array<string>"))
+    records = with_id(per_token.join(names, "part", "left").select("token", "n", listed.alias("refs")))
+    # Most ids have one record, which needs no lists to be merged; those that have more are merged where they lie.
+    placed = records.repartition("id").withColumn("same", F.count("*").over(Window.partitionBy("id")))
+    one = placed.where("same = 1").select("id", F.array("token").alias("tokens"), "refs", F.col("n").alias("tf"))
+    more = placed.where("same > 1").groupBy("id").agg(
+        F.array_sort(F.collect_set("token")).alias("tokens"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"),
+        F.sum("n").alias("tf"),
+    )
+    return _with_coordinates(one.unionAll(more), p)
+
+
 def index_refs(post: DataFrame, p: int = 10) -> DataFrame:
     """The same with ``tf`` = further refs after the first, and ``df`` = all refs."""
     listed = post.groupBy("id").agg(

@@ -12,10 +12,14 @@ from bitloom.sources import files, stores
 from bitloom.sources.tables import read_table, spread
 
 
+def doc_texts(spark, folder, ref="source"):
+    """The documents' texts with their ref; each document is one batch."""
+    return spread(read_table(spark, folder, "documents").select(F.col(ref).alias("ref"), F.col("doc_id").alias("batch"), "text"))
+
+
 def doc_postings(spark, folder, ref="source", n_bytes=2):
-    """Postings of the documents' words of more than two bytes; each document is one batch."""
-    docs = spread(read_table(spark, folder, "documents").select(F.col(ref).alias("ref"), F.col("doc_id").alias("batch"), "text"))
-    rows = docs.select("ref", "batch", F.explode(text.distinct_words(F.col("text"))).alias("token"))
+    """Postings of the documents' words of more than two bytes."""
+    rows = doc_texts(spark, folder, ref).select("ref", "batch", F.explode(text.distinct_words(F.col("text"))).alias("token"))
     rows = rows.where(text.longer_than(F.col("token"), n_bytes))
     return tokens.postings(rows, distinct=True)
 
@@ -29,7 +33,7 @@ def doc_index(spark, folder):
     version = (spark.sparkContext.applicationId, path, stores.version_of(spark, path))
     if version not in _STORED:
         index = files.new_folder(spark, "index")
-        stores.store_sorted(tokens.index_batch(doc_postings(spark, folder)), index, "id")
+        stores.store_sorted(tokens.index_texts(doc_texts(spark, folder)), index, "id", placed=True)
         _STORED[version] = index
     return spark.read.parquet(_STORED[version])
 
@@ -50,7 +54,7 @@ def shown(index):
 
 @query("token_index_batch", f"WITH {IX} SELECT * FROM ix")
 def token_index_batch(spark, folder):
-    return shown(tokens.index_batch(doc_postings(spark, folder)))
+    return shown(tokens.index_texts(doc_texts(spark, folder)))
 
 
 @query(
@@ -80,7 +84,7 @@ def token_postings(spark, folder):
     f"WITH {IX} SELECT id, tokens, tf FROM ix ORDER BY tf DESC, id LIMIT 25 OFFSET 50",
 )
 def index_scan_page(spark, folder):
-    index = tokens.index_batch(doc_postings(spark, folder)).select("id", "tokens", "tf")
+    index = tokens.index_texts(doc_texts(spark, folder)).select("id", "tokens", "tf")
     return shown(verbs.first_rows(index, [F.desc("tf"), "id"], 25, skip=50))
 
 

@@ -101,10 +101,16 @@ def read_merged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("_bucket")
 
 
-def store_sorted(df: DataFrame, path: str, key: str) -> None:
-    """Write a table for look-ups by one column: sorted, in small row groups and pages with Bloom filters on it."""
+def store_sorted(df: DataFrame, path: str, key: str, placed: bool = False) -> None:
+    """Write a table for look-ups by one column: sorted, in small row groups and pages with Bloom filters on it.
+
+    Files hold ranges of the key, which takes a second run of what makes the last
+    partitions, for a sample. ``placed`` rows stay in the partitions they are in: each
+    file is sorted by itself, and a look-up asks the filters of one row group in each.
+    """
     options = {f"parquet.bloom.filter.enabled#{key}": "true", "parquet.block.size": str(ROW_GROUP), "parquet.page.row.count.limit": str(PAGE_ROWS)}
-    df.repartitionByRange(key).sortWithinPartitions(key).write.options(**options).parquet(path)
+    rows = df if placed else df.repartitionByRange(key)
+    rows.sortWithinPartitions(key).write.options(**options).parquet(path)
 
 
 def look_up(stored: DataFrame, key: str, values: Sequence, at_once: int = 8) -> DataFrame:

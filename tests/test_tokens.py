@@ -90,3 +90,26 @@ def test_vector_functions(spark):
     with pytest.raises(Exception, match="same length"):
         df.select(vectors.bit_op(a, F.slice(b, 1, 2), "OR")).collect()
     assert df.select(vectors.odd_sum(a)).first()[0] == 84
+
+
+def test_index_of_texts_shuffles_its_words_once(spark):
+    words = ["Alpha beta", "beta beta gamma", "", None, "gamma delta xy", "ärger"]
+    rows = [(f"r{i % 151:03}" if i % 7 else None, i, words[i % 6] + f" w{i % 11}w" if words[i % 6] is not None else None) for i in range(600)]
+    texts = spark.createDataFrame(rows, "ref string, batch int, text string")
+    long = texts.select("ref", "batch", F.explode(text.distinct_words(F.col("text"))).alias("token")).where(text.longer_than(F.col("token")))
+    got, want = tokens.index_texts(texts), tokens.index_batch(tokens.postings(long, distinct=True))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # More refs than one number has bits, and tokens that no text with a ref has.
+    assert max(len(r["refs"]) for r in got.collect()) > tokens.REF_BITS
+    alone = tokens.index_texts(spark.createDataFrame([(None, 1, "lone")], "ref string, batch int, text string")).first()
+    assert (alone["tokens"], alone["refs"], alone["tf"]) == (["lone"], [], 1)
+    assert tokens.index_texts(texts.limit(0)).count() == 0
+
+
+def test_documents_are_not_indexed_by_ref_and_token(spark):
+    import __spark_entry__ as driver
+
+    plan = driver.queries()["token_index_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(ref" not in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

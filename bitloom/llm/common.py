@@ -17,8 +17,10 @@ from bitloom.operators import skew
 from bitloom.sources.files import new_folder
 
 # Bytes of text that a Python worker works on at once; one longer text is worked on alone.
-SLICE_BYTES = 3_000_000
-
+SLICE_BYTES = 1_000_000
+# Bytes of rows that are sent to a Python worker at once, where the session does not say; Spark's own bounds are 10,000 rows and 64 MB.
+BATCH_BYTES = 4_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _RECORDS: list[list[str]] = []
 # The allocator of numpy and Python keeps what they free, unless it is told; not all systems can be.
@@ -33,10 +35,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     for record in _RECORDS:
         record.append(path)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside the block sends rows to Python workers in batches of few bytes, unless the session says how many.
+
+    An executor and its workers hold a batch for each task, and copies of it while it grows.
+    """
+    unset = spark.conf.get(_BATCH, None) is None
+    if unset:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if unset:
+            spark.conf.unset(_BATCH)
+
+
 @contextmanager
 def recording() -> Iterator[list[str]]:
     """The folders of all tables that are ``stored`` inside the block."""
@@ -127,10 +146,11 @@ def split_words(texts: pa.Array, fold: bool = False) -> tuple[pa.DictionaryArray
         upper = (packed >= 65) & (packed <= 90)
         upper[:-1] &= packed[1:] < 128
         packed[upper] |= 32
-    before = np.cumsum(inside, dtype=np.int64)
-    places = np.empty(len(starts) + 1, np.int64)
-    places[:-1] = before[starts] - 1
-    places[-1] = len(packed)
+    # A word ends where the next one begins without a gap, or before a byte outside words.
+    last = inside.copy()
+    last[:-1] &= first[1:] | ~inside[1:]
+    places = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.flatnonzero(last) - starts + 1, out=places[1:])
     words = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(packed)]
     )

@@ -75,21 +75,17 @@ def _pieces(lines: DataFrame, min_words: int) -> DataFrame:
     lines = lines.withColumn("streak", F.col("n") - F.row_number().over(by_n))
     upto = F.sum("words").over(Window.partitionBy("row", "streak").orderBy("n"))
     lines = lines.withColumns({"upto": upto, "base": F.col("g") - F.col("n")}).withColumn("before", F.col("upto") - F.col("words"))
-    keys = ["row", "base", "streak", "n"]
-
-    def reached(mark: Column, wish: Column, best, *order: Column) -> DataFrame:
-        """For each line, the best line among those whose mark meets its wish."""
-        marks = lines.select(*keys, mark.cast("long").alias("key"), F.lit(0).alias("asks"))
-        wishes = lines.select(*keys, wish.cast("long").alias("key"), F.lit(1).alias("asks"))
-        over = Window.partitionBy("row", "streak").orderBy(*order, "asks").rowsBetween(Window.unboundedPreceding, 0)
-        other = best(F.when(F.col("asks") == 0, F.col("n"))).over(over)
-        return marks.unionAll(wishes).withColumn("other", other).where("asks = 1 AND other IS NOT NULL")
-
-    ahead = reached(F.col("upto"), F.col("before") + min_words, F.min, F.col("key").desc())
-    back = reached(F.col("before"), F.col("upto") - min_words, F.max, F.col("key").asc())
-    ahead = ahead.select("row", "base", F.col("n").alias("s"), (F.col("other") - F.col("n") + 1).alias("len"))
-    back = back.select("row", "base", F.col("other").alias("s"), (F.col("n") - F.col("other") + 1).alias("len"))
-    return ahead.unionAll(back).distinct()
+    # Marks and wishes of both directions in one table: one sort finds, for each line, the best line among those
+    # whose mark meets its wish. Ahead that is the first mark of its key or more, back the last of its key or less.
+    asks = [(1, 0, -F.col("upto")), (1, 1, -(F.col("before") + min_words)), (0, 0, F.col("before")), (0, 1, F.col("upto") - min_words)]
+    points = F.array(*(F.struct(F.lit(d).alias("ahead"), F.lit(a).alias("asks"), key.cast("long").alias("key")) for d, a, key in asks))
+    points = lines.select("row", "base", "streak", "n", F.explode(points).alias("point")).select("row", "base", "streak", "n", "point.*")
+    over = Window.partitionBy("row", "streak", "ahead").orderBy("key", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(F.col("asks") == 0, F.col("n"))
+    found = points.withColumns({"least": F.min(mark).over(over), "most": F.max(mark).over(over)}).where("asks = 1 AND least IS NOT NULL")
+    s = F.when(F.col("ahead") == 1, F.col("n")).otherwise(F.col("most"))
+    upto = F.when(F.col("ahead") == 1, F.col("least")).otherwise(F.col("n"))
+    return found.select("row", "base", s.alias("s"), (upto - s + 1).alias("len")).distinct()
 
 
 def repeated_lines(keyed: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import filled, in_order, mix, nested, running_start, slices, split_words, stored
+from bitloom.llm.common import filled, in_order, mix, nested, running_start, slices, small_batches, split_words, stored
 
 BUCKETS = 1 << 17
 WINDOW = 16
@@ -138,7 +138,9 @@ def log_ratios(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str)
 
     sums = rows.mapInArrow(count, "model int, bucket int, raw double, good double")
     # At most a row for each bucket, fetched as Arrow columns: as Python objects they take some 200 MB of the driver.
-    sums = sums.groupBy("model", "bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    sums = sums.groupBy("model", "bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    with small_batches(docs.sparkSession):
+        sums = sums.toArrow()
     raw, good = np.zeros((2, len(MODELS), BUCKETS))
     for part in sums.to_batches():
         model, bucket, n_raw, n_good = (column.to_numpy(zero_copy_only=False) for column in part.columns)

@@ -84,3 +84,13 @@ def test_empty(empty):
 def test_native(spark, docs):
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pieces_are_found_with_three_sorts(spark):
+    lines = spark.createDataFrame([(0, n, n, 30) for n in range(4)], "row long, n int, g long, words int")
+    pieces = line_dedup._pieces(lines, 50)
+    assert sorted(map(tuple, pieces.collect())) == [(0, 0, 0, 2), (0, 0, 1, 2), (0, 0, 2, 2)]
+    plan = pieces._jdf.queryExecution().sparkPlan().toString() + pieces._jdf.queryExecution().executedPlan().toString()
+    final = plan.partition("Initial Plan")[0]
+    # Every sort of a task holds pages of its own: there were ten in one task.
+    assert "Union" not in final and len(re.findall(r"\bSort \[", final)) <= 3, final

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import slices, stored
+from bitloom.llm.common import BATCH_BYTES, slices, stored
 from bitloom.llm.token_counts import pieces_of, token_ids
 
 WINDOW = 2048
@@ -125,7 +125,8 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str, path:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = pieces_of(path), TaskContext.get().partitionId(), {}
-        for batch in slices(batches, "text"):
+        # A batch as ``stored`` sends them, with the row that goes beyond its bytes, is encoded whole.
+        for batch in slices(batches, "text", BATCH_BYTES * 9 // 8):
             ids = [np.append(i, np.uint32(END_ID)) for i in token_ids(batch.column(1), encoder)]
             local = []
             for queue, own in zip(batch.column(2).to_pylist(), ids):

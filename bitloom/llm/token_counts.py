@@ -23,6 +23,8 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 # How many pieces a Python worker remembers; it starts anew beyond them.
 REMEMBERED = 400_000
+# Bytes of text that are encoded at once: each distinct piece is looked up once for them.
+ENCODED_BYTES = 3_000_000
 
 # Letters that the tokenizer lower-cases one by one and never joins with a neighbour.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -151,7 +153,7 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces_of(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODED_BYTES):
             texts = filled(batch.column(1))
             n_bytes = pc.binary_length(texts).cast(pa.int64())
             n_tokens = pa.array(token_lengths(texts, encoder), pa.int64())
